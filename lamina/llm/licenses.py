@@ -43,18 +43,22 @@ def _words(text):
     return F.regexp_extract_all(bare, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
 
 
-def _shingles(words):
-    """Hashes of all runs of K words in order; of fewer words, the run of all."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(h)
-    at = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)])
-    return F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), at)).when(n > 0, F.array(F.xxhash64(F.lit("short"), words))).otherwise(F.array().cast("array<bigint>"))
+def _shingles(df: DataFrame, keep: str) -> DataFrame:
+    """``keep`` and ``s``: hashes of all runs of K words of ``text`` in order; of fewer words, the run of all.
+
+    Words and their hashes are columns of their own, so they are computed once a text.
+    """
+    hashed = df.select(keep, _words(F.col("text")).alias("words")).select(keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    n = F.size("h")
+    at = lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(K)])
+    short = F.array(F.xxhash64(F.lit("short"), "words"))
+    return hashed.select(keep, F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), at)).when(n > 0, short).otherwise(F.array().cast("array<bigint>")).alias("s"))
 
 
 def anchors(texts: list[str], threshold: float) -> list[str]:
     """Words of which any ``threshold`` of a template's shingles contain at least one.
 
-    Picked greedily, so that fewer than ``threshold`` of each template's shingles go
+    Picked greedily, long words first as they are rare, so that fewer than ``threshold`` of each template's shingles go
     without; a text without an anchor can't contain the template.
     """
     picked: set[str] = set()
@@ -64,7 +68,7 @@ def anchors(texts: list[str], threshold: float) -> list[str]:
         total = len(grams)
         grams = [g for g in grams if not g & picked]
         while grams and len(grams) >= threshold * total:
-            best = max(sorted(set().union(*grams)), key=lambda x: (sum(x in g for g in grams), len(x)))
+            best = max(sorted(set().union(*grams)), key=lambda x: (len(x) > 6, sum(x in g for g in grams), len(x)))
             picked.add(best)
             grams = [g for g in grams if best not in g]
     return sorted(picked)
@@ -87,7 +91,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     named = [(k, v) for k, v in (NOTICES if templates is None else templates).items() if v.split()]
     if not named:
         return docs.select("doc_id").limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("windows"))
-    rows = spark.createDataFrame(named, "license string, text string").select("license", F.array_distinct(_shingles(_words(F.col("text")))).alias("t"))
+    rows = _shingles(spark.createDataFrame(named, "license string, text string"), "license").select("license", F.array_distinct("s").alias("t"))
     # Classes of template lengths: powers of two of the number of shingles.
     length = {k: max(1, len(re.findall("[^\x20\x09-\x0d]+", v)) - K + 1) for k, v in named}
     classes = sorted({1 << ceil(log2(n)) for n in length.values()})
@@ -99,10 +103,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     # A lossless first cut: texts without any anchor word contain no template.
     words = anchors([v for _, v in named], threshold)
     near = F.col("text").rlike("(?i)(?:" + "|".join(re.escape(w).replace("\\-", "-") for w in words) + ")")
-    texts = docs.where(near).select("doc_id", _shingles(_words(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    texts = _shingles(docs.where(near), "doc_id").where(F.size("s") > 0)
+    # slice() would copy the whole array for each window.
+    piece = lambda i, n: F.transform(F.sequence(i, F.least(i + n, F.size("s")) - 1), lambda j: F.get(F.col("s"), j))
     cut = lambda m: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("s") - (1 if m == 1 else m + 1), F.lit(0)), F.lit(m)),
-        lambda i: F.struct(F.lit(m).alias("m"), i.alias("at"), F.slice("s", i + 1, F.lit(1 if m == 1 else 2 * m)).alias("w")),
+        lambda i: F.struct(F.lit(m).alias("m"), i.alias("at"), piece(i, 1 if m == 1 else 2 * m).alias("w")),
     )
     windows = texts.select("doc_id", F.explode(F.concat(*[cut(m) for m in classes])).alias("x")).select("doc_id", "x.*")
     found = (

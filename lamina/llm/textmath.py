@@ -99,7 +99,8 @@ def shingles(w: np.ndarray, row: np.ndarray, count: np.ndarray, k: int = 5):
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         first = np.r_[0, np.cumsum(count)]
-        extra = np.array([np.sum(w[first[r] : first[r + 1]] * PLACE[: count[r]], dtype=U) + U(count[r]) * PLACE[14] for r in short], U)
+        extra = np.array([np.sum(w[first[r] : first[r + 1]] * PLACE[: count[r]], dtype=U) for r in short], U)
+        extra += count[short].astype(U) * PLACE[14]
         rows, g = np.r_[rows, short], np.r_[g, mix(extra)]
     return rows, g
 
