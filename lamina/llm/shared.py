@@ -79,7 +79,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if found is None:
             found = hook
         else:
-            step = hook.withColumnsRenamed({"node": "root", "root": "next"})
+            step = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
             found = stage(found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
     if found is None:
         return spark.createDataFrame([], "node long, root long")
