@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lamina.llm.shared import stage
 
 #: Words that are encoded ahead, at most.
-WORDS = 1 << 18
+WORDS = 1 << 19
 SLOTS = 1 << 16
 #: White space of the pattern language that vocabularies are made with, for Java.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -103,6 +103,8 @@ class Bpe:
         pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             pieces[r] = t.hex().upper()
+        little = [r.to_bytes(4, "little").hex().upper() for r in range(len(pieces))]
+        self.little = _constant(spark.createDataFrame([(little,)], "p array<string>"), "lamina_bpe_little")
         self.pieces = _constant(spark.createDataFrame([(pieces,)], "p array<string>"), "lamina_bpe_pieces")
         self.spark, self.pattern = spark, java_pattern(pattern)
 
@@ -157,7 +159,7 @@ class Bpe:
             least = g
         if least is None:
             return None
-        return _table(counts.where(grade >= least).select(F.col("word").alias("key"), self.word_ids(F.col("word")).alias("value")), WORDS, "lamina_bpe_words")
+        return _table(counts.where(grade >= least).select(F.col("word").alias("key"), self.word_ids(F.col("word")).alias("value")), WORDS // 4, "lamina_bpe_words")
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``ids`` array<int> of each whole text, words split by the pattern.
@@ -168,7 +170,7 @@ class Bpe:
         known = self.common_words(docs)
         one = self.word_ids
         if known is not None:
-            one = lambda w: F.coalesce(_find(known, w, WORDS), self.word_ids(w))
+            one = lambda w: F.coalesce(_find(known, w, WORDS // 4), self.word_ids(w))
         row = docs.select(F.struct("*").alias("row"), self.words(F.col("text")).alias("words"))
         return row.select("row.*", F.flatten(F.transform("words", one)).alias("ids"))
 
@@ -176,8 +178,6 @@ class Bpe:
         """The bytes of ids; null for null."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
-
-def ids_bytes(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    one = lambda i: F.lpad(F.hex((i % 256) * 16777216 + (F.shiftright(i, 8) % 256) * 65536 + (F.shiftright(i, 16) % 256) * 256 + F.shiftright(i, 24)), 8, "0")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: one(i.cast("long"))), ""))
+    def ids_bytes(self, ids: Column) -> Column:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), ""))

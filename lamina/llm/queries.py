@@ -66,7 +66,7 @@ def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = code.encode(docs).select("doc_id", "ids")
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.ids_bytes(F.col("ids")), 256).alias("ids_sha256"), F.sha2(code.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2(code.ids_bytes(F.col("ids")), 256).alias("ids_sha256"), F.sha2(code.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
 
 
