@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lamina.llm import textmath as tm
 from lamina.llm.shared import stage
@@ -194,7 +195,7 @@ def score(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFram
                 severity, _ = judge(batch.column(place))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity)], [*batch.schema.names, "severity"])
 
-        return docs.mapInArrow(whole, docs.schema.add("severity", "double"))
+        return docs.mapInArrow(whole, StructType([*docs.schema.fields, StructField("severity", DoubleType())]))
 
     def run(batches):
         for batch in batches:
