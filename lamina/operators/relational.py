@@ -20,8 +20,7 @@ def fingerprint_match(units: DataFrame, runs: DataFrame) -> DataFrame:
     exact = both.where("n_u = 1 and n_r = 1").select("session", "unit", "run", F.lit("fingerprint_exact").alias("confidence"))
     # One unit and one run a hint, the first of each, so pairs are one to one.
     hinted = both.where("(n_u > 1 or n_r > 1) and hint = number")
-    hinted = hinted.withColumn("a", F.row_number().over(Window.partitionBy(*k, "hint").orderBy("unit"))).withColumn("b", F.row_number().over(Window.partitionBy(*k, "hint").orderBy("run")))
-    hinted = hinted.where("a = 1 and b = 1").select("session", "unit", "run", F.lit("fingerprint+comment_run").alias("confidence"))
+    hinted = hinted.groupBy(*k, "hint").agg(F.min("unit").alias("unit"), F.min("run").alias("run")).select("session", "unit", "run", F.lit("fingerprint+comment_run").alias("confidence"))
     done = exact.unionByName(hinted)
     left_u = u.join(done.select("session", "unit"), ["session", "unit"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy(*k).orderBy("unit")))
     left_r = r.join(done.select("session", "run"), ["session", "run"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy(*k).orderBy("run")))

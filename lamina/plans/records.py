@@ -92,7 +92,7 @@ def prj8_grid_filter(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 2, 3, 7, 32, 33, 34)")
 def prj9_range_spec(spark, d):
-    spec = spark.createDataFrame([("1-3, 7,32-34",)], "spec string").select(F.explode(fc.range_numbers(F.col("spec"))).cast("long").alias("o_orderkey"))
+    spec = spark.createDataFrame([("1-3, 7,32-34",)], "spec string").select(F.explode(fc.range_numbers(F.col("spec"))).alias("k")).select(F.col("k").cast("long").alias("o_orderkey"))
     return read(spark, d, "orders").join(F.broadcast(spec), "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
@@ -187,7 +187,7 @@ def src9_text_report(spark, d):
     return read(spark, d, "documents").select("doc_id", readers.report(report, {"frames": r"Frames: (\d+)", "loss": r"Loss: ([0-9.]+)"}).alias("r")).select("doc_id", "r.*")
 
 
-@query("SELECT user_id, channel, n FROM (SELECT user_id, event_type AS channel, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS i FROM events GROUP BY ALL) WHERE i = 1")
+@query("SELECT user_id, channel, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, channel) AS i FROM (SELECT user_id, event_type AS channel, count(*) AS n FROM events GROUP BY ALL)) WHERE i = 1")
 def src11_longest_channel(spark, d):
     n = read(spark, d, "events").groupBy("user_id", F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
     return rel.keep_latest(n, ["user_id"], [F.desc("n"), F.asc("channel")])
@@ -201,7 +201,7 @@ def src14_explode_nested(spark, d):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click_n, round(avg(value) FILTER (event_type = 'click'), 6) AS click_mean, count(*) FILTER (event_type = 'view') AS view_n, round(avg(value) FILTER (event_type = 'view'), 6) AS view_mean FROM events GROUP BY user_id")
 def src15_dict_to_wide(spark, d):
-    e = read(spark, d, "events").where("event_type in ('click', 'view')").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    e = read(spark, d, "events").where("event_type in ('click', 'view')").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     return read(spark, d, "events").select("user_id").distinct().join(e, "user_id", "left").select("user_id", *[F.coalesce(f"{c}_n", F.lit(0)).alias(f"{c}_n") for c in ("click", "view")], "click_mean", "view_mean")
 
 
@@ -341,7 +341,7 @@ def set4_subsets(spark, d):
     return stats.subsets(x, p, [F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.round(F.corr("x", "y"), 6).alias("r")])
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%Y') AS us, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days, lower(replace(o_orderpriority, '-', '_')) AS slug FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%Y') AS us, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') AS slug FROM orders")
 def scalar_strings_dates(spark, d):
     day = F.col("o_orderdate")
     return read(spark, d, "orders").select("o_orderkey", F.date_format(day, "MM-dd-yyyy").alias("us"), F.datediff(day, F.lit("1995-01-01").cast("date")).cast("long").alias("days"), fc.slug(F.col("o_orderpriority")).alias("slug"))
