@@ -54,14 +54,43 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thetas[None, :] - eta[:, None], -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1.0, steps: int = 30):
+#: Rows of the sparse matrix that the fit spreads out at a time.
+ROWS = 1024
+
+
+class Sparse:
+    """A matrix of zeros and ones: sorted row numbers, and the column of each one."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, d: int):
+        self.row, self.col, self.shape = row, col, (n, d)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.shape[0])
+
+    def into(self, v: np.ndarray) -> np.ndarray:
+        """The transposed matrix times a vector."""
+        return np.bincount(self.col, weights=v[self.row], minlength=self.shape[1])
+
+    def gram(self, weight: np.ndarray) -> np.ndarray:
+        """X' diag(weight) X, from ROWS rows at a time, so its memory doesn't grow with the rows."""
+        n, d = self.shape
+        root, out = np.sqrt(weight).astype(np.float32), np.zeros((d, d))
+        cuts = np.searchsorted(self.row, np.r_[np.arange(0, n, ROWS), n])
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            x = np.zeros((min(ROWS, n - i * ROWS), d), np.float32)
+            x[self.row[a:b] - i * ROWS, self.col[a:b]] = root[self.row[a:b]]
+            out += x.T @ x
+        return out
+
+
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int, ridge: float = 1.0, steps: int = 30):
     """Weights and thresholds of the penalised likelihood, by damped Newton steps."""
     n, d = x.shape
     share = np.clip(np.array([(y <= j).mean() for j in range(grades - 1)]), 1e-4, 1 - 1e-4)
     theta, w = np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1), np.zeros(d)
 
     def parts(theta, w):
-        eta = x @ w
+        eta = x.times(w)
         f = np.c_[np.zeros(n), 1 / (1 + np.exp(-np.clip(theta[None, :] - eta[:, None], -35, 35))), np.ones(n)]
         return f, np.clip(f[np.arange(n), y + 1] - f[np.arange(n), y], 1e-12, None)
 
@@ -73,18 +102,16 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1.0, s
         f, p = parts(theta, w)
         s = f * (1 - f)  # slopes of each cumulative probability; 0 at both ends
         up, low = s[np.arange(n), y + 1], s[np.arange(n), y]
-        g_eta = (up - low) / p
-        grad = np.r_[np.zeros(grades - 1), x.T @ g_eta + ridge * w]
-        info = up + low  # expected curvature bound of a row in eta
-        h_w = x.T @ (x * info[:, None]) + ridge * np.eye(d)
+        grad = np.r_[np.zeros(grades - 1), x.into((up - low) / p) + ridge * w]
         h = np.zeros((d + grades - 1,) * 2)
-        h[grades - 1 :, grades - 1 :] = h_w
+        # up + low bounds the expected curvature of a row in eta.
+        h[grades - 1 :, grades - 1 :] = x.gram(up + low) + ridge * np.eye(d)
         for j in range(grades - 1):
             at_up, at_low = y == j, y == j + 1
             grad[j] = -(s[at_up, j + 1] / p[at_up]).sum() + (s[at_low, j + 1] / p[at_low]).sum()
             c = s[:, j + 1] * (at_up | at_low)
             h[j, j] = c.sum() + 1e-6
-            h[j, grades - 1 :] = h[grades - 1 :, j] = -(x.T @ c)
+            h[j, grades - 1 :] = h[grades - 1 :, j] = -x.into(c)
         try:
             step = np.linalg.solve(h + 1e-6 * np.eye(len(h)), grad)
         except np.linalg.LinAlgError:
@@ -157,10 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
 
     data = known.mapInArrow(rows_of, "y int, n long, f array<int>").toArrow().combine_chunks()
     y, size, flat = data["y"].to_numpy().copy(), data["n"].to_numpy(), data["f"].combine_chunks()
-    x = np.zeros((len(y), len(keys)), np.float32)
-    x[np.repeat(np.arange(len(y)), np.diff(flat.offsets.to_numpy())), flat.flatten().to_numpy()] = 1
+    x = Sparse(np.repeat(np.arange(len(y)), np.diff(flat.offsets.to_numpy())), flat.flatten().to_numpy(), len(y), len(keys))
     if y.max() == 1:
-        density = (x @ only.astype(np.float32)) / np.maximum(size, 1)
+        density = x.times(only.astype(float)) / np.maximum(size, 1)
         y = np.where(y > 0, 1 + (density >= np.median(density[y > 0])), 0)
     grades = int(y.max()) + 1
     w, theta = fit_ordinal(x, y.astype(np.int64), grades)
