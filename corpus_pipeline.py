@@ -17,7 +17,7 @@ from lamina.llm.shared import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection line."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = toxicity.score(docs, model, keep_columns=True).where(F.col("severity") < toxicity.REJECT)
+    kept = toxicity.score(docs, model, keep_columns=True).where(F.col("severity") < model.reject)
     return kept.select(*docs.columns)
 
 
