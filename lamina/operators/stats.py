@@ -200,3 +200,11 @@ def subsets(df: DataFrame, predicates: dict[str, Column], aggs: list[Column]) ->
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """The Wilson score interval of a share k / n; null for n = 0."""
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return tuple((p + z * z / (2 * n) + side * half) / (1 + z * z / n) for side in (-1, 1))

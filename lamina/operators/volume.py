@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.readers import shared_path
+
 
 def offsets(axes: list[str], reach: dict[str, int] | None = None, faces: bool = False):
     """Neighbour steps along axes, without the zero step; ``faces``: one axis at a time."""
@@ -45,9 +47,10 @@ def neighbour_edges(vox: DataFrame, on: list[str], axes: list[str], key: str, fa
     return moved.join(vox.select(*on, *axes, key), [*on, *axes]).select(*on, F.least("_k", key).alias("src"), F.greatest("_k", key).alias("dst"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 4, rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``id, root`` with root the least id reachable, by min-label spreading with pointer jumps."""
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
+    shared_path(nodes.sparkSession, "")  # makes sure that there is a folder for checkpoints
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
     for turn in range(rounds):
         near = both.join(labels.select(F.col("id").alias("dst"), "root"), "dst").groupBy("src").agg(F.min("root").alias("_n"))
@@ -63,6 +66,7 @@ def components(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 4, ro
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 500) -> DataFrame:
     """``id, dist`` from the nearest source over ``src, dst, w``, relaxed a frontier at a time."""
+    shared_path(edges.sparkSession, "")
     both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).checkpoint()
     dist = sources.select("id", F.lit(0.0).alias("dist")).checkpoint()
     front = dist
@@ -135,3 +139,14 @@ def dp_path(df: DataFrame, on: list[str], x: str, y: str, cost: str, move: int =
         return out[[*on, x, y, "total"]]
 
     return df.select(*on, x, y, cost).groupBy(*on).applyInPandas(run, schema)
+
+
+def neighbour_correlation(vox: DataFrame, t: str, axes: list[str], v: str) -> DataFrame:
+    """The largest correlation over time of a voxel with a face neighbour, at least 0.
+
+    Voxels are spread to their neighbours' places and meet them by place and time.
+    """
+    step = F.explode(F.array(*[F.struct(*[F.lit(s).alias(a) for a, s in zip(axes, st, strict=True)]) for st in offsets(axes, faces=True)]))
+    moved = vox.select(t, *axes, F.col(v).alias("_w"), step.alias("_s")).select(t, "_w", "_s", *[(F.col(a) + F.col(f"_s.{a}")).alias(a) for a in axes])
+    r = vox.join(moved, [t, *axes]).groupBy(*axes, "_s").agg(F.corr(v, "_w").alias("r"))
+    return r.groupBy(*axes).agg(F.greatest(F.lit(0.0), F.max("r")).alias("r"))

@@ -54,8 +54,8 @@ def voxels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, d: str, least: float = 0.25) -> DataFrame:
-    """Voxels with |v| above a threshold in the first frames: ``frame, y, x``."""
-    return voxels(spark, d).where((F.abs("v") > least) & (F.col("frame") < 200)).select("frame", "y", "x")
+    """Voxels with |v| above a threshold: ``frame, y, x``."""
+    return voxels(spark, d).where(F.abs("v") > least).select("frame", "y", "x")
 
 
 TABLES = {
@@ -63,7 +63,7 @@ TABLES = {
     "points": "SELECT event_id, user_id, event_type AS region, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS s, value FROM events",
     "runs": "SELECT n_regionkey AS grp, n_nationkey AS sub, c_custkey AS run, c_acctbal AS x, y, n_orders, CAST(n_orders AS DOUBLE) AS z FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT o_custkey, avg(o_totalprice) AS y, count(*) AS n_orders FROM orders GROUP BY ALL) ON o_custkey = c_custkey",
     "voxels": "SELECT vec_id AS frame, label, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embeddings)",
-    "mask": "SELECT frame, y, x FROM voxels WHERE abs(v) > 0.25 AND frame < 200",
+    "mask": "SELECT frame, y, x FROM voxels WHERE abs(v) > 0.25",
     "dffs": "SELECT *, (f - f0) / greatest(f0, 1e-6) AS dff FROM (SELECT *, quantile_cont(f, 0.1) OVER (PARTITION BY region) AS f0 FROM panel)",
 }
 

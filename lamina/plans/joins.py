@@ -129,14 +129,14 @@ def join12_claims(spark, d):
 
 @query("""
 WITH p AS (SELECT unnest([0, 1, 2, 3]) AS i), s AS (SELECT a.vec_id AS key, b.vec_id AS candidate, avg(abs(CAST(a.embedding[1 + 16 * i] AS DOUBLE) - CAST(b.embedding[1 + 16 * i] AS DOUBLE))) AS score
- FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < 40 AND a.vec_id <> b.vec_id JOIN p ON true GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, candidate) AS r FROM s)
+ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN p ON true GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, candidate) AS r FROM s)
 SELECT key, max(candidate) FILTER (r = 1) AS candidate, round(max(score) FILTER (r = 1), 6) AS best, round(max(score) FILTER (r = 2), 6) AS runner_up, coalesce(max(score) FILTER (r = 2) < 5 * max(score) FILTER (r = 1), false) AS weak FROM k WHERE r <= 2 GROUP BY key
 """)
 def join13_shape_match(spark, d):
     e = read(spark, d, "embeddings")
     b = e.select(F.col("vec_id").alias("candidate"), "label", F.col("embedding").alias("w"))
     probe = lambda i: F.abs(F.get("embedding", F.lit(16 * i)).cast("double") - F.get("w", F.lit(16 * i)).cast("double"))
-    s = e.where("vec_id < 40").join(b, "label").where("vec_id <> candidate").withColumn("score", (probe(0) + probe(1) + probe(2) + probe(3)) / 4)
+    s = e.join(b, "label").where("vec_id <> candidate").withColumn("score", (probe(0) + probe(1) + probe(2) + probe(3)) / 4)
     out = rel.best_and_runner_up(s.withColumnRenamed("vec_id", "key"), "key", "candidate", "score")
     return out.select("key", "candidate", *r6("best", "runner_up"), "weak")
 

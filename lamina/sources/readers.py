@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +63,16 @@ def write_version(df: DataFrame, root: str, stamp: str, kind: str = "parquet") -
 def round_trip(df: DataFrame, spark: SparkSession) -> DataFrame:
     """The same rows after a pass through JSON text with the frame's own schema."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("j")).select(F.from_json("j", df.schema).alias("r")).select("r.*")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share.
+
+    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (tests, a laptop)
+    a folder of this machine is made and set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lamina-')}")
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
