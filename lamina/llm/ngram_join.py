@@ -3,8 +3,13 @@
 A document is the set of its distinct word shingles.  All documents put their shingles in
 one order, estimated rare ones first.  With t = ceil(0.8 n) the first n - t + l shingles of
 two similar documents have at least min(l, l') in common, so each document picks its own l:
-the longer, the more candidates its shingles are estimated to have.  Pairs with too few
-common prefix shingles are never verified.
+the one with the fewest estimated candidates, documents that share l shingles of a prefix
+whose lists hold s entries being s / l at most.  Pairs with too few common prefix shingles are
+never verified.
+
+Places in that order rule out more: the first l common shingles of documents of n and m
+shingles lie where n - place + l - 1 >= 4 / 9 (n + m), and likewise for m.  So documents that share
+only a common passage, behind their own rare shingles, don't meet at all.
 
 A group of thousands of near copies has millions of similar pairs, but its component needs
 only a spanning tree.  So candidates are first verified against one leader of each prefix
@@ -74,9 +79,13 @@ def _digest(g: np.ndarray, n: np.ndarray) -> np.ndarray:
     return tm.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64) * tm.PLACE[13]).view(np.int64)
 
 
-def _lengths(n: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """The multi-match count l of sets of size n, by the mean estimated list length."""
-    return 1 + np.where(cost <= 2, n // 32, np.where(cost <= 64, n // 16, n // 8))
+def _lengths(n: np.ndarray, est: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The multi-match count l of sets of size n with the fewest estimated candidates."""
+    total = np.r_[0.0, np.cumsum(est)]
+    least = (4 * n + 4) // 5
+    ells = np.stack([np.minimum(1 + n // k, least) for k in (32, 16, 8)])
+    cost = (total[np.minimum(begin[:-1] + n - least + ells, begin[1:])] - total[begin[:-1]]) / np.maximum(ells, 1)
+    return ells[cost.argmin(0), np.arange(len(n))]
 
 
 def _at_least(n):
@@ -84,6 +93,11 @@ def _at_least(n):
     return 1 + F.floor(F.floor(F.col(n) * 4 / 5) / 32)
 
 
+def _room(n: str = "n", place: str = "place"):
+    """The most shingles a document has at and after a place, which is kept in 255ths of n (a column)."""
+    return F.col(n) - F.floor(F.col(place) * F.col(n) / 255)
+
+
 def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
     """One row for each document: ``doc_id, n, node``, and packed prefix shingles by bucket.
 
@@ -95,15 +109,15 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
         held, size, seen = [], 0, set()
 
         def out():
-            nodes, ns, ells, idx, tok = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, ns, ells, idx, tok, at255 = (np.concatenate(x) for x in zip(*held, strict=True))
             place = (tok % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(buckets + 1))
-            cols = [[], [], [], [], [], []]
+            cols = [[], [], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(ends)):
                 own = order[ends[b] : ends[b + 1]]
                 used, at = np.unique(idx[own], return_inverse=True)
-                for c, v in zip(cols, (int(b), nodes[used].tobytes(), ns[used].astype(np.int32).tobytes(), ells[used].astype(np.int32).tobytes(), at.astype(np.uint32).tobytes(), tok[own].tobytes()), strict=True):
+                for c, v in zip(cols, (int(b), nodes[used].tobytes(), ns[used].astype(np.int32).tobytes(), ells[used].astype(np.int32).tobytes(), at.astype(np.uint32).tobytes(), tok[own].tobytes(), at255[own].tobytes()), strict=True):
                     c.append(v)
             none = pa.nulls(len(cols[0]), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
@@ -116,7 +130,7 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
                 node = _digest(g, n)
                 m = len(n)
                 empty = pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, m), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.nulls(m, pa.int32()), *[empty] * 5], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, m), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.nulls(m, pa.int32()), *[empty] * 6], names)
                 fresh = np.array([n[i] > 0 and not (d in seen or seen.add(d)) for i, d in enumerate(node.tolist())], bool)
                 if not fresh.any():
                     continue
@@ -132,11 +146,10 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
                 ns = np.where(fresh, n, 0)
                 begin = np.r_[0, np.cumsum(ns)]
                 rank = np.arange(len(g)) - begin[rows]
-                plain = ns - (4 * ns + 4) // 5 + 1
-                cost = np.bincount(rows, weights=np.where(rank < plain[rows], est, 0), minlength=m) / np.maximum(plain, 1)
-                ell = np.minimum(_lengths(ns, cost), (4 * ns + 4) // 5)
-                pick = rank < (plain + ell - 1)[rows]
-                held.append((node, ns, ell, rows[pick] + base, g[pick]))
+                ell = _lengths(ns, est, begin)
+                pick = rank < (ns - (4 * ns + 4) // 5 + ell)[rows]
+                place = (rank[pick] * 255 // ns[rows[pick]]).astype(np.uint8)
+                held.append((node, ns, ell, rows[pick] + base, g[pick], place))
                 base += m
                 size += int(pick.sum())
                 if size > FLUSH:
@@ -145,23 +158,23 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
         if held:
             yield out()
 
-    names = ["doc_id", "n", "node", "bucket", "nodes", "ns", "ells", "idx", "tok"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bucket int, nodes binary, ns binary, ells binary, idx binary, tok binary")
+    names = ["doc_id", "n", "node", "bucket", "nodes", "ns", "ells", "idx", "tok", "places"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bucket int, nodes binary, ns binary, ells binary, idx binary, tok binary, places binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """The (shingle, document) entries of one bucket whose shingle has two documents or more."""
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
     idx = get("idx", np.uint32)
-    tok = np.concatenate(get("tok", np.uint64))
+    tok, place = np.concatenate(get("tok", np.uint64)), np.concatenate(get("places", np.uint8))
     node, n, ell = (np.concatenate([v[i] for v, i in zip(get(c, kind), idx, strict=True)]) for c, kind in (("nodes", np.int64), ("ns", np.int32), ("ells", np.int32)))
     order = np.lexsort((node, tok))
-    tok, node, n, ell = tok[order], node[order], n[order], ell[order]
+    tok, node, n, ell, place = tok[order], node[order], n[order], ell[order], place[order]
     new = np.r_[True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])]
-    tok, node, n, ell = tok[new], node[new], n[new], ell[new]
+    tok, node, n, ell, place = tok[new], node[new], n[new], ell[new], place[new]
     head = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     many = np.repeat(np.diff(np.r_[head, len(tok)]), np.diff(np.r_[head, len(tok)])) > 1
-    return pa.table([pa.array(tok[many].view(np.int64)), pa.array(node[many]), pa.array(n[many]), pa.array(ell[many])], ["tok", "node", "n", "ell"])
+    return pa.table([pa.array(tok[many].view(np.int64)), pa.array(node[many]), pa.array(n[many]), pa.array(ell[many]), pa.array(place[many].astype(np.int16))], ["tok", "node", "n", "ell", "place"])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -217,7 +230,7 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     packed = stage(_prefixes(docs, frequent, k, partitions(spark)), "prefixes")
     sizes = packed.where("bucket is null").select("doc_id", "n", "node")
-    entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int"), "entries")
+    entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place smallint"), "entries")
     # Fewer common shingles than any partner's l: no link is possible.
     able = entries.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _at_least("n")).select("node")
     entries = stage(entries.join(able, "node", "left_semi"), "entries")
@@ -226,9 +239,9 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     sets = stage(_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k).dropDuplicates(["node"]), "sets")
 
     # First each entry's document against the leader of its shingle.
-    leader = entries.groupBy("tok").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("ell").alias("bl"))).alias("x")).select("tok", "x.b", "x.bn", "x.bl")
+    leader = entries.groupBy("tok").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("ell").alias("bl"), _room().alias("b_room"))).alias("x")).select("tok", "x.b", "x.bn", "x.bl", "x.b_room")
     star = (
-        entries.join(leader, "tok").where("node <> b and 5 * least(n, bn) >= 4 * greatest(n, bn)")
+        entries.withColumn("room", _room()).join(leader, "tok").where("node <> b and 5 * least(n, bn) >= 4 * greatest(n, bn) and 9 * (least(room, b_room) + least(ell, bl) - 1) >= 4 * (n + bn)")
         .groupBy("node", "b").agg(F.count("*").alias("c"), F.first(F.least("ell", "bl")).alias("l")).where("2 * c >= l")
     )
     one = sets.select(F.col("node").alias("b"), F.array(F.struct("node", "grams")).alias("members"))
@@ -239,10 +252,10 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     nodes = entries.select("node", "n").distinct().join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     weight = nodes.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     nodes = stage(nodes.join(weight, "root").select("node", "root", "m", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")), "nodes")
-    placed = entries.join(nodes, "node")
-    side = placed.groupBy("tok", F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("bl"), F.first("m").alias("bm"))
+    placed = entries.withColumn("room", _room()).join(nodes.drop("n"), "node")
+    side = placed.groupBy("tok", F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("bl"), F.max("ell").alias("b_most"), F.max("room").alias("b_room"), F.first("m").alias("bm"))
     meet = (
-        placed.join(side, "tok").where("root <> b_root and (m < bm or m = bm and root < b_root) and 5 * hi >= 4 * n and 4 * lo <= 5 * n")
+        placed.join(side, "tok").where("root <> b_root and (m < bm or m = bm and root < b_root) and 5 * hi >= 4 * n and 4 * lo <= 5 * n and 9 * (least(room, b_room) + least(ell, b_most) - 1) >= 4 * (n + greatest(lo, ceil(0.8 * n)))")
         .groupBy("node", "b_root", "b_part").agg(F.count("*").alias("c"), F.min(F.least("ell", "bl")).alias("l")).where("c >= l").select("node", "b_root", "b_part")
     )
     blocks = sets.join(nodes, "node").groupBy(F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.collect_list(F.struct("node", "grams")).alias("members"))
