@@ -81,7 +81,7 @@ def _digest(g: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _lengths(n: np.ndarray, est: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The multi-match count l of sets of size n with the fewest estimated candidates."""
-    total = np.r_[0.0, np.cumsum(est)]
+    total = np.r_[0.0, np.cumsum(est - 1.0)]  # partners of each shingle besides the set itself
     least = (4 * n + 4) // 5
     ells = np.stack([np.minimum(1 + n // k, least) for k in (32, 16, 8)])
     cost = (total[np.minimum(begin[:-1] + n - least + ells, begin[1:])] - total[begin[:-1]]) / np.maximum(ells, 1)
