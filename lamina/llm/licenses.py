@@ -1,23 +1,24 @@
 """Licence scans in DataFrame operations only.
 
 Templates are grouped by length.  For templates of up to m shingles, each text is cut into
-windows of 2 m shingles that start every m, so an occurrence lies whole in some window.
-MinHash bands of one row each retrieve templates for windows: at the threshold c the
-similarity of window and template is at least c m' / (2 m + (1 - c) m') for a template of
-m' > m / 2 shingles, and BANDS bands miss it with a chance below one in a thousand; templates
-of one shingle are their own band.  Retrieved pairs are verified by exact containment.
+windows of 2 m shingles that start every m, so an occurrence lies whole in some window.  The
+shingles of texts are joined by equality with those of all templates, and each window's share
+of a template's shingles is counted exactly, so no window is missed.  A template of fewer than
+K words is one shingle of its own length.
 """
 
 from __future__ import annotations
 
 import re
-from math import ceil, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.line_dedup import LOWER, UPPER
 
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+_GNU = {"gpl": "General", "lgpl": "Lesser General", "agpl": "Affero General"}
+
 #: Widely used licence notices, as their licences or Creative Commons and SPDX word them.
 NOTICES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -26,15 +27,54 @@ NOTICES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "unlicense-notice": "This is free and unencumbered software released into the public domain.",
+    "all-rights-reserved": "All rights reserved.",
+    "all-rights-reserved-bare": "All rights reserved",
+    "lgpl-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl-2.0-notice": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "agpl-notice": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "gpl-family-warranty": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU",
+    "gfdl-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "apache-2.0-asf": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+    "apache-1.1-clause": "This product includes software developed by the Apache Software Foundation",
+    "mit-licensed": "Licensed under the MIT License.",
+    "mit-terms": "This project is licensed under the MIT License",
+    "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "bsd-licensed": "Licensed under the BSD License.",
+    "bsd-3-clause-endorsement": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-4-clause-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "mpl-1.1-notice": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "epl-1.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cddl-notice": "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "cpl-notice": "are made available under the terms of the Common Public License",
+    "eupl-1.2-notice": "Licensed under the EUPL, Version 1.2",
+    "artistic-2.0-notice": "under the terms of the Artistic License 2.0",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "zlib-grant": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-clause": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "ncsa-line": "University of Illinois/NCSA Open Source License",
+    "ofl-1.1-line": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "wtfpl-line": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "public-domain-line": "This work is in the public domain.",
+    "public-domain-dedication": "This file has been dedicated to the public domain.",
+    "cc0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-1.0-waiver": "has waived all copyright and related or neighboring rights to this work",
+    "cc0-1.0-line": "Licensed under CC0 1.0 Universal.",
+} | {
+    f"cc-{k}-{v}-notice": f"This work is licensed under a Creative Commons {name} {v} {port} License." for k, name in _CC.items() for v, port in (("3.0", "Unported"), ("4.0", "International"))
+} | {
+    f"cc-{k}-{v}-line": f"Licensed under CC {k.upper()} {v}." for k in _CC for v in ("2.0", "2.5", "3.0", "4.0")
+} | {
+    f"{k}-{v}-line": f"This work is licensed under the GNU {name} Public License, version {v.removesuffix('.0')}." for k, name in _GNU.items() for v in (("2.1", "3.0") if k == "lgpl" else ("3.0",) if k == "agpl" else ("2.0", "3.0"))
+} | {
+    f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}"
+    for x in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense")
 }
-#: Misses a similarity of 0.3 with a chance of 0.7**20 < 0.001.
-BANDS = 20
 K = 5
 
 
@@ -43,16 +83,19 @@ def _words(text):
     return F.regexp_extract_all(bare, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
 
 
-def _shingles(df: DataFrame, keep: str) -> DataFrame:
-    """``keep`` and ``s``: hashes of all runs of K words of ``text`` in order; of fewer words, the run of all.
+def _shingles(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """``keep`` and ``s``: structs ``n, pos, of, h`` of all runs of n words of ``text``, for each n of ``lengths``.
 
-    Words and their hashes are columns of their own, so they are computed once a text.
+    ``of`` is the number of runs.  Words and their hashes are columns of their own, so they are computed once a text.
     """
-    hashed = df.select(keep, _words(F.col("text")).alias("words")).select(keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    n = F.size("h")
-    at = lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(K)])
-    short = F.array(F.xxhash64(F.lit("short"), "words"))
-    return hashed.select(keep, F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), at)).when(n > 0, short).otherwise(F.array().cast("array<bigint>")).alias("s"))
+    hashed = df.select(*keep, _words(F.col("text")).alias("words")).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+
+    def runs(n):
+        of = F.size("w") - (n - 1)
+        at = lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), of.alias("of"), F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(n)]).alias("h"))
+        return F.transform(F.when(of > 0, F.sequence(F.lit(0), of - 1)).otherwise(F.array().cast("array<int>")), at)
+
+    return hashed.select(*keep, F.concat(*[runs(n) for n in lengths]).alias("s"))
 
 
 def anchors(texts: list[str], threshold: float) -> list[str]:
@@ -81,40 +124,33 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     name to text, a list that a person keeps (up to some thousands), ``NOTICES`` if None.
     Returns ``doc_id, license, containment`` double: the largest share of the template's
     distinct 5-word shingles in one window, if at least ``threshold``; and ``windows`` long:
-    the windows that reach it.  A template of fewer than five words matches only as the whole
-    sequence of a text that short.
+    the windows that reach it.  A template of fewer than five words is one shingle of that many
+    words, and its windows are its occurrences.
 
     Null and blank texts match nothing, as do blank templates.  Null doc_ids are kept, and
     rows that repeat a doc_id count together.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    named = [(k, v) for k, v in (NOTICES if templates is None else templates).items() if v.split()]
+    named = {k: re.findall("[^\x20\x09-\x0d]+", v) for k, v in (NOTICES if templates is None else templates).items()}
+    named = {k: w for k, w in named.items() if w}
     if not named:
         return docs.select("doc_id").limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("windows"))
-    rows = _shingles(spark.createDataFrame(named, "license string, text string"), "license").select("license", F.array_distinct("s").alias("t"))
+    rows = spark.createDataFrame([(k, " ".join(w), min(len(w), K)) for k, w in named.items()], "license string, text string, own int")
+    lengths = sorted({min(len(w), K) for w in named.values()})
+    rows = _shingles(rows, ["license", "own"], lengths).select("license", F.array_distinct(F.transform(F.filter("s", lambda x: x["n"] == F.col("own")), lambda x: F.struct("own", x["h"].alias("h")))).alias("t"))
     # Classes of template lengths: powers of two of the number of shingles.
-    length = {k: max(1, len(re.findall("[^\x20\x09-\x0d]+", v)) - K + 1) for k, v in named}
-    classes = sorted({1 << ceil(log2(n)) for n in length.values()})
-    group = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("t"), F.lit(1))))).cast("int")
-    band = lambda xs: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(xs, lambda x: F.xxhash64(x, b))).alias("low")))
-    lone = lambda xs: F.transform(xs, lambda x: F.struct(F.lit(-1).alias("band"), x.alias("low")))
-    keys = rows.withColumn("m", group).withColumn("key", F.explode(F.when(F.col("m") == 1, lone(F.col("t"))).otherwise(band(F.col("t"))))).select("license", "t", "m", "key.*")
+    total = F.size("t")
+    keys = rows.select("license", total.alias("total"), F.pow(F.lit(2), F.ceil(F.log2(total))).cast("int").alias("m"), F.explode("t").alias("k")).select("license", "total", "m", F.col("k.own").alias("n"), F.col("k.h").alias("h"))
 
     # A lossless first cut: texts without any anchor word contain no template.
-    words = anchors([v for _, v in named], threshold)
+    words = anchors([" ".join(w) for w in named.values()], threshold)
+    words = [w for w in words if not any(x != w and x in w for x in words)]
     near = F.col("text").rlike("(?i)(?:" + "|".join(re.escape(w).replace("\\-", "-") for w in words) + ")")
-    texts = _shingles(docs.where(near), "doc_id").where(F.size("s") > 0)
-    # slice() would copy the whole array for each window.
-    piece = lambda i, n: F.transform(F.sequence(i, F.least(i + n, F.size("s")) - 1), lambda j: F.get(F.col("s"), j))
-    cut = lambda m: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("s") - (1 if m == 1 else m + 1), F.lit(0)), F.lit(m)),
-        lambda i: F.struct(F.lit(m).alias("m"), i.alias("at"), piece(i, 1 if m == 1 else 2 * m).alias("w")),
-    )
-    windows = texts.select("doc_id", F.explode(F.concat(*[cut(m) for m in classes])).alias("x")).select("doc_id", "x.*")
-    found = (
-        windows.withColumn("key", F.explode(F.when(F.col("m") == 1, lone(F.col("w"))).otherwise(band(F.col("w")))))
-        .select("doc_id", "m", "at", "w", "key.*").join(F.broadcast(keys), ["m", "band", "low"])
-        .select("doc_id", "m", "at", "license", (F.size(F.array_intersect("t", "w")) / F.size("t")).alias("c")).where(F.col("c") >= threshold)
-    )
-    hits = found.groupBy("doc_id", "license", "at").agg(F.max("c").alias("c"))
-    return hits.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("windows"))
+    texts = docs.where(near).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    hits = _shingles(texts, ["doc_id", "row"], lengths).select("doc_id", "row", F.explode("s").alias("s")).select("doc_id", "row", "s.*").join(F.broadcast(keys), ["n", "h"])
+    # The windows of a shingle: that of its own m and the one before; the last m of a text start none.
+    own = F.col("pos") - F.col("pos") % F.col("m")
+    starts = F.when(F.col("m") == 1, F.array("pos")).otherwise(F.filter(F.array(own, own - F.col("m")), lambda i: (i >= 0) & ((i == 0) | (i + F.col("m") < F.col("of")))))
+    share = hits.select("doc_id", "row", "license", "total", "h", F.explode(starts).alias("at")).groupBy("doc_id", "row", "license", "total", "at").agg((F.count_distinct("h") / F.col("total")).alias("c"))
+    found = share.where(F.col("c") >= threshold).groupBy("doc_id", "license", "at").agg(F.max("c").alias("c"))
+    return found.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("windows"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lamina.llm import vector_search
+from lamina.llm import licenses, vector_search
 
 
 def best(x, q, k, ids=None):
@@ -49,3 +49,15 @@ def test_nearest_counts_a_repeated_id_once(spark):
     for whole in (vector_search.WHOLE, 0):
         got = [r["vec_id"] for r in vector_search.nearest(df, df.where("vec_id = 1"), whole=whole).orderBy("rank").collect()]
         assert got == list(range(2, 22))
+
+
+def test_short_notices_inside_texts(spark):
+    rows = [(1, "Some words.\nAll rights reserved.\nMore words follow here."), (2, "all  RIGHTS\treserved."), (3, "all other rights reserved."), (4, "x " * 50 + "All rights reserved. " * 3), (5, "Licensed under CC BY-SA 3.0. and more")]
+    got = sorted(map(tuple, licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, "all-rights-reserved", 1.0, 1), (2, "all-rights-reserved", 1.0, 1), (4, "all-rights-reserved", 1.0, 3), (5, "cc-by-sa-3.0-line", 1.0, 1)]
+
+
+def test_every_notice_is_found_in_a_text(spark):
+    rows = list(enumerate(f"before it {v} after it" for v in licenses.NOTICES.values()))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(enumerate(licenses.NOTICES)) <= got
