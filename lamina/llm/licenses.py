@@ -10,6 +10,8 @@ K words is one shingle of its own length.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     # A lossless first cut: texts without any anchor word contain no template.
     words = anchors([" ".join(w) for w in named.values()], threshold)
     words = [w for w in words if not any(x != w and x in w for x in words)]
-    near = F.col("text").rlike("(?i)(?:" + "|".join(re.escape(w).replace("\\-", "-") for w in words) + ")")
+    near = reduce(or_, (F.contains(F.lower("text"), F.lit(w)) for w in words))
     texts = docs.where(near).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     hits = _shingles(texts, ["doc_id", "row"], lengths).select("doc_id", "row", F.explode("s").alias("s")).select("doc_id", "row", "s.*").join(F.broadcast(keys), ["n", "h"])
     # The windows of a shingle: that of its own m and the one before; the last m of a text start none.

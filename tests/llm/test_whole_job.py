@@ -61,3 +61,12 @@ def test_every_notice_is_found_in_a_text(spark):
     rows = list(enumerate(f"before it {v} after it" for v in licenses.NOTICES.values()))
     got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(enumerate(licenses.NOTICES)) <= got
+
+
+def test_windows_at_the_threshold_are_all_found(spark):
+    w = licenses.NOTICES["bsd-grant"].split()
+    n = len(w) - 4
+    cut = " ".join(w[: -(-8 * n // 10) + 4])
+    rows = [(i, f"{'lead ' * (i % 40)}{i} a b c d {cut} {i} e f g h") for i in range(2000)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {"bsd-grant": licenses.NOTICES["bsd-grant"]})
+    assert got.count() == 2000 and got.where("containment < 0.8").count() == 0
