@@ -28,10 +28,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """One document of each group of near copies, that of the least doc_id.
+
+    Of rows that repeat this doc_id the one with the least hash stays.  A null doc_id names no
+    group, so all rows with one stay.
+    """
     groups = ngram_join.similar_groups(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
+    found = docs.join(kept.hint("shuffle_hash"), "doc_id")
+    row = F.struct(*docs.columns)
+    repeated = found.where("rows_of_id > 1").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64(*docs.columns), "text")).alias("row")).select("row.*")
+    return found.where("rows_of_id = 1").select(*docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

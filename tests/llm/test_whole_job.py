@@ -1,5 +1,6 @@
 """Cases where an operator once did less than its whole job."""
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -70,3 +71,11 @@ def test_windows_at_the_threshold_are_all_found(spark):
     rows = [(i, f"{'lead ' * (i % 40)}{i} a b c d {cut} {i} e f g h") for i in range(2000)]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {"bsd-grant": licenses.NOTICES["bsd-grant"]})
     assert got.count() == 2000 and got.where("containment < 0.8").count() == 0
+
+
+def test_pipeline_keeps_null_ids_and_one_row_of_a_group(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text), (3, "other words that stand alone in this small table"), (None, "no name but words of its own to keep"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted({(i, t) for i, t in rows if i != 2}, key=str)
