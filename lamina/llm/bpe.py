@@ -1,28 +1,38 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Bytes are kept as Latin-1 characters, one a byte.  The rank map is one constant array of small
-maps: a token's hash gives the map that holds its rank.  A word that is no token itself starts
-as its bytes, and a fold merges the adjacent pair of the least rank, leftmost first, until no
-pair has one; only the pairs beside a merge are looked up again.
-
-The distinct words of the corpus are counted, the WORDS commonest are encoded once and kept as
-another constant of that form, of bounded size; all other words are folded where they occur.
-Decoding concatenates the bytes of the ids.
+Texts are split into words by the vocabulary's pattern once.  Each task numbers the distinct words
+of a chunk of texts (some MB), writes the texts as numbers and the words as rows.  The distinct
+words of all chunks are encoded once each: bytes are Latin-1 characters, the rank map is one
+constant array of small maps, found by a token's hash, and a fold merges the adjacent pair of the
+least rank, leftmost first, until no pair has one; only the pairs beside a merge are looked up
+again.  The ids go back to the chunks by equality of words, and each chunk's texts take theirs by
+number.  Decoding concatenates the bytes of the ids.
+
+A word is first cut between two bytes that stand together inside no token, as no merge crosses
+there; so long blobs become short pieces.  A piece that is still longer than LONG bytes is merged by
+a heap instead of the fold, in the same order, as a fold would copy it at every merge.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from lamina.llm.shared import stage
+from lamina.llm.shared import partitions, stage
 
-#: Words that are encoded ahead, at most.
-WORDS = 1 << 19
 SLOTS = 1 << 16
+#: Bytes from which a piece without a cut is merged by a heap.
+LONG = 256
 #: White space of the pattern language that vocabularies are made with, for Java.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -89,6 +99,59 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a long piece: the merges of the fold, the next one taken from a heap."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts here; -1 end: none does
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if j < 0 or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, -1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    return [ranks[piece[i:e]] for i, e in enumerate(end) if e > 0]
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A column of the byte runs between the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _numbered(words: pa.ListArray, inside: np.ndarray):
+    """The pieces of each row's words as numbers, their offsets by row, and the distinct pieces.
+
+    ``inside`` tells for each pair of bytes whether a token holds it; common pieces get low numbers.
+    """
+    bounds = np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))].astype(np.int64)
+    coded = words.flatten().cast(pa.binary()).dictionary_encode()
+    which, held = coded.indices.to_numpy(), coded.dictionary
+    at = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    raw = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]] if len(held) else np.zeros(0, np.uint8)
+    at = at - at[0]
+    cut = np.ones(len(raw) + 1, bool)
+    cut[1:-1] = ~inside[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+    cut[at] = True
+    edges = np.flatnonzero(cut)
+    first = np.searchsorted(edges, at)
+    pieces = _binary(raw, edges).dictionary_encode() if len(raw) else pa.array([], pa.binary()).dictionary_encode()
+    number = pieces.indices.to_numpy().astype(np.int64)
+    many = np.diff(first)[which]
+    ends = np.r_[0, np.cumsum(many)]
+    flat = number[np.repeat(first[which] - ends[:-1], many) + np.arange(ends[-1])]
+    order = np.argsort(-np.bincount(flat, minlength=len(pieces.dictionary)), kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order))
+    return place[flat], ends[bounds], pieces.dictionary.take(pa.array(order))
+
+
 class Bpe:
     """A vocabulary of ranks: ``encode`` texts to ids, ``decode`` ids to bytes.
 
@@ -96,88 +159,125 @@ class Bpe:
     """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        ranks = read_ranks(path)
-        rows = [(t.decode("latin-1"), r) for t, r in ranks.items()]
-        table = spark.createDataFrame(rows, "key string, value int")
-        self.ranks = _table(table, SLOTS, "lamina_bpe_ranks")
-        pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            pieces[r] = t.hex().upper()
-        little = [r.to_bytes(4, "little").hex().upper() for r in range(len(pieces))]
-        self.little = _constant(spark.createDataFrame([(little,)], "p array<string>"), "lamina_bpe_little")
-        self.pieces = _constant(spark.createDataFrame([(pieces,)], "p array<string>"), "lamina_bpe_pieces")
+        self.ranks = read_ranks(path)
         self.spark, self.pattern = spark, java_pattern(pattern)
-
-    def rank(self, token: Column) -> Column:
-        return _find(self.ranks, token, SLOTS)
+        self.name = hashlib.sha256(Path(path).read_bytes()).hexdigest()[:16]
+        self.inside = np.zeros(1 << 16, bool)
+        for t in self.ranks:
+            b = np.frombuffer(t, np.uint8).astype(np.int64)
+            self.inside[b[:-1] * 256 + b[1:]] = True
+        pieces: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            pieces[r] = t.hex().upper()
+        self.pieces = _constant(spark.createDataFrame([(pieces,)], "p array<string>"), f"lamina_bpe_pieces_{self.name}")
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def word_ids(self, word: Column) -> Column:
-        """Ids of one word of the pattern, by folding merges over its bytes."""
+    def rank_of(self):
+        """The literal rank map, as a function of a token's column, and its name."""
+        table = self.spark.createDataFrame([(t.decode("latin-1"), r) for t, r in self.ranks.items()], "key string, value int")
+        name = f"lamina_bpe_ranks_{self.name}"
+        ranks = _table(table, SLOTS, name)
+        return (lambda token: _find(ranks, token, SLOTS)), name
+
+    @staticmethod
+    def word_ids(word: Column, rank) -> Column:
+        """Ids of one word of the pattern or a piece of one, by folding merges over its bytes."""
+        none = F.lit(2**31 - 1)
+        ranked = lambda t: F.coalesce(rank(t), none)
 
         def merge(s, _):
-            def at(k, p, r):
-                whole = F.concat(F.get(p, k - 1), F.get(p, k))
+            p, r = s["p"], s["r"]
 
+            def at(q):
                 def put(m):
-                    left = F.when(k > 1, F.array(self.rank(F.concat(F.get(p, k - 2), m)))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(k < F.size(r), F.array(self.rank(F.concat(m, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-                    n = F.size(p)
-                    return F.struct(
-                        F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, n)).alias("p"),
-                        F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, n)).alias("r"),
-                    )
+                    left = F.when(q > 0, ranked(F.concat(F.get(p, q - 1), m))).otherwise(none)
+                    right = F.when(q + 2 < F.size(p), ranked(F.concat(m, F.get(p, q + 2)))).otherwise(none)
+                    # Null marks what the merge takes away.
+                    tokens = F.transform(p, lambda x, i: F.when(i == q, m).when(i != q + 1, x))
+                    ranks = F.transform(r, lambda x, i: F.when(i == q - 1, left).when(i == q + 1, right).when(i != q, x))
+                    return F.struct(F.filter(tokens, lambda x: x.isNotNull()).alias("p"), F.filter(ranks, lambda x: x.isNotNull()).alias("r"))
 
-                return _let(whole, put)
+                return _let(F.concat(F.get(p, q), F.get(p, q + 1)), put)
 
-            best = F.array_min(s["r"])
-            return F.when(best.isNull(), s).otherwise(_let(F.array_position(s["r"], best).cast("int"), lambda k: at(k, s["p"], s["r"])))
+            return _let(F.array_min(r), lambda best: F.when(F.coalesce(best, none) == none, s).otherwise(_let((F.array_position(r, best) - 1).cast("int"), at)))
 
         def fold(b):
-            chars = F.split(b, "", -1)
-            return _let(chars, lambda p: F.aggregate(
-                F.sequence(F.lit(2), F.size(p)),
-                F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.get(p, i - 1), F.get(p, i)))).alias("r")),
-                merge,
-                lambda s: F.transform(s["p"], self.rank),
-            ))
-
-        return _let(latin(word), lambda b: _let(self.rank(b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(b))))
-
-    def common_words(self, docs: DataFrame) -> Column | None:
-        """The commonest distinct words of the texts with their ids, as a constant."""
-        counts = stage(docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
-        # Classes of counts, a 16th of a power of two wide, from the top while all fit.
-        grade = F.floor(16 * F.log2("n"))
-        classes = sorted(((r["g"], r["c"]) for r in counts.groupBy(grade.alias("g")).agg(F.count("*").alias("c")).collect()), reverse=True)
-        total, least = 0, None
-        for g, c in classes:
-            if (total := total + c) > WORDS:
-                break
-            least = g
-        if least is None:
-            return None
-        return _table(counts.where(grade >= least).select(F.col("word").alias("key"), self.word_ids(F.col("word")).alias("value")), WORDS // 4, "lamina_bpe_words")
+            start = F.struct(
+                F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substr(b, i, F.lit(1))).alias("p"),
+                F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: ranked(F.substr(b, i, F.lit(2)))).alias("r"),
+            )
+            return F.aggregate(F.sequence(F.lit(2), F.length(b)), start, merge, lambda s: F.transform(s["p"], rank))
+
+        return _let(latin(word), lambda b: _let(rank(b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(b))))
+
+    def _word_table(self, words: DataFrame) -> DataFrame:
+        """``word, ids`` of the distinct words, each encoded once."""
+        distinct = words.select("word").repartition(partitions(self.spark), "word").distinct()
+        rank, name = self.rank_of()
+        ranks = self.spark.sparkContext.broadcast(self.ranks)
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merged(w, ranks.value) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+
+        short = distinct.where(F.octet_length("word") <= LONG).select("word", self.word_ids(F.col("word"), rank).alias("ids"))
+        long = distinct.where(F.octet_length("word") > LONG).mapInArrow(run, "word binary, ids array<int>")
+        out = stage(short.unionByName(long), "words")
+        self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+        return out
 
     def encode(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``ids`` array<int> of each whole text, words split by the pattern.
+        """The ids of each whole ``text``, words split by the pattern.
 
-        A null or empty text has no ids.  Other columns stay (``ids`` is replaced).
+        Returns the columns of ``docs`` but ``text``, and ``ids`` array<int> and ``packed`` binary, the
+        ids as little-endian unsigned 32-bit integers (of these names in ``docs``, ours replace them).
+        A null or empty text has no ids.  Null and repeated doc_ids are kept, each row with its ids.
+        An empty table gives none.
         """
-        docs = docs.drop("ids")
-        known = self.common_words(docs)
-        one = self.word_ids
-        if known is not None:
-            one = lambda w: F.coalesce(_find(known, w, WORDS // 4), self.word_ids(w))
-        row = docs.select(F.struct("*").alias("row"), self.words(F.col("text")).alias("words"))
-        return row.select("row.*", F.flatten(F.transform("words", one)).alias("ids"))
+        docs = docs.drop("ids", "packed")
+        row = docs.select(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("row"), self.words(F.col("text")).alias("words"))
+        inside, planes = self.inside, ["b0", "b1", "b2", "b3"]
+
+        def number(batches):
+            chunk = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                flat, bounds, pieces = _numbered(batch.column(1), inside)
+                n, m = len(batch), len(pieces)
+                # The bytes of equal weight together: the upper ones are mostly zero and pack well.
+                parts = [_binary(((flat >> np.uint32(8 * i)) & np.uint32(255)).astype(np.uint8), bounds) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column(0), *parts, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                if m:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, batch.schema.field(0).type), *[pa.nulls(m, pa.binary())] * 4, pa.array(np.arange(m, dtype=np.int32)), pieces], names)
+                chunk += 1
+
+        names = ["chunk", "row", *planes, "slot", "word"]
+        kind = row.schema["row"].dataType
+        coded = stage(row.mapInArrow(number, StructType([
+            StructField("chunk", LongType()), StructField("row", kind), *[StructField(b, BinaryType()) for b in planes], StructField("slot", IntegerType()), StructField("word", BinaryType()),
+        ])), "coded")
+        words = coded.where("word is not null").select("chunk", "slot", "word")
+        found = words.join(self._word_table(words), "word").select(F.col("chunk").alias("of"), "slot", "ids")
+
+        def take(texts: pa.Table, ids: pa.Table) -> pa.Table:
+            order = np.argsort(ids["slot"].to_numpy())
+            lists = ids["ids"].combine_chunks().take(pa.array(order)) if len(ids) else pa.array([], pa.list_(pa.int32()))
+            size = np.diff(np.r_[lists.offsets.to_numpy()])
+            begin, values = np.r_[0, np.cumsum(size)], lists.flatten().to_numpy()
+            low = [np.frombuffer(b"".join(texts[b].to_pylist()), np.uint8).astype(np.int64) for b in planes]
+            flat = low[0] | low[1] << 8 | low[2] << 16 | low[3] << 24
+            of = np.r_[0, np.cumsum(pc.binary_length(texts["b0"]).to_numpy())]
+            many = size[flat]
+            ends = np.r_[0, np.cumsum(many)]
+            out = values[np.repeat(begin[flat] - ends[:-1], many) + np.arange(ends[-1])].astype(np.int32)
+            bounds = ends[of]
+            return pa.table([texts["row"], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out)), _binary(out.astype("<u4").view(np.uint8), 4 * bounds)], ["row", "ids", "packed"])
+
+        kinds = StructType([coded.schema["row"], *StructType.fromDDL("ids array<int>, packed binary").fields])
+        texts = coded.where("row is not null").select("chunk", "row", *planes)
+        return texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(take, kinds).select("row.*", "ids", "packed").drop("_")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids; null for null."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
-
-    def ids_bytes(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), ""))

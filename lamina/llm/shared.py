@@ -6,22 +6,29 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whether Spark removes a query's shuffle files at its end.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of one Arrow batch that a task gets, so that many long texts don't come at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a folder of this process is made, set as checkpoint folder and removed at exit.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests, a laptop) a folder of this process is made, set as checkpoint folder and
+    removed at exit.  On a cluster without the setting this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lamina-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{folder}")
@@ -43,12 +50,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     # Nothing reads this query's shuffle files after the write, so they need not stay on disk.
-    before = spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
+    own = {TIDY: "true", BATCH: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,13 +66,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as ``src, dst`` longs: ``node, root``.
 
     Each round every node hooks to the neighbour (itself included) with the least hash of
     that round, edges are redrawn between the hooks and the edges inside one hook vanish.
     Hashed priorities keep long chains from shrinking by one node a round.  ``root`` is
     some node of the component; nodes without edges don't occur.  Null ends are ignored.
+    The rounds go on until no edge is left: the largest hash of a round hooks wherever it
+    has an edge, so each round has fewer nodes than the one before.
     """
     spark = edges.sparkSession
     live = stage(
@@ -70,7 +82,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         "edges",
     )
     found = None
-    for turn in range(rounds):
+    for turn in count():
         if live.isEmpty():
             break
         both = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

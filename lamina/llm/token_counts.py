@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def _encode(texts: DataFrame, tokenizer_path: str) -> DataFrame:
         tok.no_truncation()
         tok.no_padding()
         for batch in batches:
-            size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
             cuts = np.unique(np.r_[0, np.searchsorted(size, np.arange(BATCH_BYTES, size[-1] + 1, BATCH_BYTES)) + 1, len(size)]) if len(size) else []
             counts = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
