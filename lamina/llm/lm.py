@@ -1,26 +1,28 @@
-"""LM scoring with a weighted backoff automaton.
+"""LM scoring with a weighted backoff automaton of n-grams.
 
-States are one-word histories (and the start of a text); from the state of v an arc of word w
-holds the smoothed log probability of the bigram v w and leads to the state of w.  A state's
-failure arc, taken where it has no arc of the next word, adds the state's backoff weight and
-goes to the empty history, whose arcs are the add-one unigrams (unknown words included):
+States are histories of up to order - 1 tokens (a text starts in the state of START).  From the
+state of h an arc of word w holds the smoothed log probability of h w and leads to the state of the
+longest suffix of h w that is a history.  A state's failure arc, taken where it has no arc of the
+next word, adds the state's backoff weight and goes to the state without h's first token; the
+last state, of no tokens, has an arc for every word, known or not.  Smoothing is Dirichlet's:
 
-    p(w | v) = (c(v w) - D) / c(v) + D t(v) / c(v) p(w)     with an arc
-             =                       D t(v) / c(v) p(w)     over the failure arc
+    p(w | h) = (c(h w) + M p(w | h')) / (c(h) + M)      with an arc
+             =          M / (c(h) + M)  p(w | h')       over the failure arc
 
-with t(v) the different words after v, and D from the counts of counts.  For known v these sum
-to one over all words.  A state without training counts fails with weight one.
+with h' the history without its first token, c(h) the times that h is followed by a token, and
+add-one unigrams at the end.  So p( | h) sums to one over all words, and arcs need counts only.
 
-Counting and lookup never hold the model in one place.  Each chunk of texts sends its distinct
-bigrams and words, packed by hash of the history, to the task that sums that history; that
-task answers each chunk with the counts of what it asked, in its order.  The chunk's texts
-then run through their own piece of the automaton.
+Each text is walked once from left to right, carrying its state.  No model is held in one place:
+texts come in chunks of bytes; a chunk asks for the counts of its distinct n-grams, which are dealt by
+hash over buckets whose number grows with the corpus, and the answers make the part of the automaton that
+its texts can reach.  All counts cover all training texts, in 64 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,187 +31,223 @@ from lamina.llm.shared import partitions, stage
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint64(0x73746172745F6F66)
-CHUNK = 4096
-
-
-def file_chunk() -> Column:
-    """Chunks of rows that one split of a file holds, in the order of the file."""
-    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.floor(F.col("_metadata.row_index") / CHUNK))
-
-
-def _sequence(texts: pa.Array):
-    """Token hashes of texts, each text closed by END; histories; tokens of each text."""
-    tok, n = [], []
+ORDER = 3
+#: Prior weight of the shorter history, in tokens.
+PRIOR = 8.0
+#: Bytes of text in one chunk, about, and for each bucket of counts.
+CHUNK_BYTES = 4 << 20
+#: Bytes of an n-gram's name inside its bucket: a bucket holds some millions, so two share a name with a chance of 1e-8.
+NAME = 6
+
+
+def _tokens(texts: pa.Array):
+    """Token hashes of texts, each closed by END, and the tokens of each text."""
+    tok, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, raw, offs in tm.slices(texts):
         start, end, row, count = tm.words(raw, offs)
         out = np.full(len(row) + len(count), END, np.uint64)
         out[np.arange(len(row)) + row] = tm.span_hashes(raw, start, end)
         tok.append(out)
         n.append(count + 1)
-    tok = np.concatenate(tok) if tok else np.zeros(0, np.uint64)
-    n = np.concatenate(n) if n else np.zeros(0, np.int64)
-    hist = np.r_[START, tok[:-1]][: len(tok)]
-    hist[np.r_[0, np.cumsum(n)][:-1]] = START
-    return tok, hist, n
+    return np.concatenate(tok), np.concatenate(n)
 
 
-def _distinct(tok: np.ndarray, hist: np.ndarray, buckets: int):
-    """The order of bigrams by (bucket, history, word), their groups and where each one went.
+def _grams(tok: np.ndarray, n: np.ndarray, order: int):
+    """Hashes of the 1- to order-grams that end at each token, 0 where START leaves no room.
 
-    END closes a text, so it is no history; each text gives it the history END once, with
-    the word 0, to have its count as a word among the counts of histories.
+    Longer ones may begin with START; row k - 1 holds the k-grams.
     """
-    place = hist % np.uint64(buckets)
-    order = np.lexsort((tok, hist, place))
-    h, w, p = hist[order], tok[order], place[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])][: len(h)]
-    slot = np.empty(len(tok), np.int64)
-    slot[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    return h[at], w[at], p[at].astype(np.int64), slot
-
-
-def _ask(texts, train, buckets):
-    tok, hist, n = _sequence(texts)
-    doc = np.repeat(np.arange(len(n)), n)
-    own = np.repeat(train, n)
-    # A history END of word 0 for each text: END's count as a word.
-    tok2 = np.r_[tok, np.zeros(len(n), np.uint64)]
-    hist2 = np.r_[hist, np.full(len(n), END)]
-    h, w, p, slot = _distinct(tok2, hist2, buckets)
-    c = np.bincount(slot, weights=np.r_[own, train], minlength=len(h)).astype(np.int64)
-    # c(v) of word counts v as often as it is followed; every word but END is.
-    return tok, hist, n, doc, h, w, p, slot, c
-
-
-def _questions(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed distinct bigrams of each chunk by bucket, with their training counts."""
+    at = np.arange(len(tok)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
+    out = np.zeros((order, len(tok)), np.uint64)
+    out[0] = tm.mix(tok)
+    for k in range(2, order + 1):
+        # The k-gram is the (k - 1)-gram that ends here, behind the token k - 1 before.
+        first = np.full(len(tok), START, np.uint64)
+        if len(tok) >= k:
+            first[k - 1 :] = tok[: len(tok) - k + 1]
+        first[at == k - 2] = START
+        out[k - 1] = np.where(at >= k - 2, tm.mix(out[k - 2] ^ (tm.mix(first) + np.uint64(k))), 0)
+    return out
+
+
+def _distinct(grams: np.ndarray, own: np.ndarray, buckets: int):
+    """Distinct n-grams by (bucket, order, name): bucket, order, name, hash, own count; where each one went."""
+    order, size = grams.shape
+    flat = grams.ravel()
+    g, slot = np.unique(flat, return_inverse=True)
+    c = np.bincount(slot, weights=np.tile(own, order), minlength=len(g)).astype(np.int64)
+    k = np.zeros(len(g), np.int64)
+    k[slot] = np.repeat(np.arange(1, order + 1), size)
+    if len(g) and g[0] == 0:  # no n-gram
+        k[0] = 0
+    bucket, name = (g % np.uint64(buckets)).astype(np.int64), g // np.uint64(buckets) & np.uint64((1 << 8 * NAME) - 1)
+    by = np.lexsort((name, k, bucket))
+    by = by[k[by] > 0]
+    place = np.full(len(g), -1, np.int64)
+    place[by] = np.arange(len(by))
+    return bucket[by], k[by], name[by], c[by], place[slot].reshape(order, size)
+
+
+def _short(name: np.ndarray) -> bytes:
+    return name.view(np.uint8).reshape(-1, 8)[:, :NAME].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, NAME)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :NAME] = short
+    return out.view(np.uint64).ravel()
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Rows ``chunk, ids, train, texts`` of about CHUNK_BYTES of text, written once."""
 
     def run(batches):
-        held, chunk = [], None
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def out():
             t = pa.concat_tables(held).combine_chunks()
-            _, _, _, _, h, w, p, _, c = _ask(t["text"], t["train"].to_numpy(zero_copy_only=False), buckets)
-            ends = np.searchsorted(p, np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(ends))
-            cols = [[], [], [], []]
-            for b in used:
-                s = slice(ends[b], ends[b + 1])
-                head = np.flatnonzero(np.r_[True, h[s][1:] != h[s][:-1]])
-                many = np.diff(np.r_[head, len(h[s])])
-                for col, v in zip(cols, (h[s][head], many.astype(np.uint32), w[s], np.minimum(c[s], 2**32 - 1).astype(np.uint32)), strict=True):
-                    col.append(v.tobytes())
-            k = len(used)
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["chunk", "bucket", "h", "m", "w", "c"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t[c].combine_chunks()) for c in ("doc_id", "train", "text")]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *lists], ["chunk", "ids", "train", "texts"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            keys = t["chunk"].to_numpy()
-            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if held and chunk != keys[a]:
+            sizes = np.cumsum(t["size"].to_numpy())
+            i = 0
+            while i < len(t):
+                base = sizes[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(sizes, base + CHUNK_BYTES - size, "right")))
+                held.append(t.slice(i, j - i))
+                size += int(sizes[j - 1] - base)
+                i = j
+                if size >= CHUNK_BYTES or i < len(t):
                     yield out()
-                    held = []
-                chunk = int(keys[a])
-                held.append(t.slice(a, b - a))
+                    chunk, held, size = chunk + 1, [], 0
         if held:
             yield out()
 
-    return docs.select("chunk", "train", "text").mapInArrow(run, "chunk long, bucket int, h binary, m binary, w binary, c binary")
+    sized = docs.select("doc_id", "train", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    return stage(sized.mapInArrow(run, "chunk long, ids array<long>, train array<boolean>, texts array<string>"), "chunks")
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Sums of one bucket: for each chunk the counts of its histories and bigrams in its order.
+def _unpack(texts, train):
+    tok, n = _tokens(texts)
+    return tok, n, np.repeat(train.to_numpy(zero_copy_only=False).astype(np.int64), n)
+
+
+def _questions(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Each chunk's distinct n-grams by bucket, with its own training counts."""
 
-    A row of a null chunk holds sums for the whole bucket: tokens, words, ones and twos.
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                chunk, texts, train = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].values
+                tok, n, own = _unpack(texts, train)
+                bucket, k, name, c, _ = _distinct(_grams(tok, n, order), own, buckets)
+                ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(ends))
+                for part in range(0, len(used), 256):
+                    cuts = [slice(ends[b], ends[b + 1]) for b in used[part : part + 256]]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([chunk] * len(cuts), pa.int64()), pa.array(used[part : part + 256].astype(np.int64)), pa.array([np.bincount(k[s], minlength=order + 1)[1:].tolist() for s in cuts], pa.list_(pa.int64())),
+                        pa.array([_short(name[s]) for s in cuts], pa.binary()), pa.array([c[s].astype(np.uint32).tobytes() for s in cuts], pa.binary()),
+                    ], ["chunk", "bucket", "many", "names", "counts"])
+
+    return chunks.select("chunk", "texts", "train").mapInArrow(run, "chunk long, bucket long, many array<long>, names binary, counts binary")
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Sums of one bucket, for each chunk in its own order; a row of a null chunk has tokens and words."""
+    many = np.array(table["many"].to_pylist())
+    order = many.shape[1]
+    names = np.concatenate([_long(x) for x in table["names"].to_pylist()])
+    own = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+    k = np.repeat(np.tile(np.arange(1, order + 1, dtype=np.uint64), len(many)), many.ravel())
+    key, slot = np.unique(names | k << np.uint64(8 * NAME), return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, slot, own)
+    ends = np.r_[0, np.cumsum(many.sum(1))]
+    words = total[key >> np.uint64(8 * NAME) == 1]
+    counts = [total[slot[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    n = len(counts)
+    return pa.table([
+        pa.array([*table["chunk"].to_pylist(), None], pa.int64()), pa.array([*table["bucket"].to_pylist(), None], pa.int64()),
+        pa.array([*counts, None], pa.binary()), pa.array([None] * n + [[int(words.sum()), int((words > 0).sum())]], pa.list_(pa.int64())),
+    ], ["of", "bucket", "counts", "sums"])
+
+
+class Automaton:
+    """The part of the automaton that a chunk's texts can reach.
+
+    The arc that a state has for a token is the n-gram of both, so arcs are told by token: ``known``
+    is the longest n-gram that ends there and has training counts, ``arc[k - 1]`` the weight of
+    the arc that makes a k-gram, ``back[k]`` that of the failure arc from the state of k tokens.
     """
-    get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-    hs, ms, ws, cs = get("h", np.uint64), get("m", np.uint32), get("w", np.uint64), get("c", np.uint32)
-    h = np.concatenate([np.repeat(a, m) for a, m in zip(hs, ms, strict=True)])
-    w, c = np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-    order = np.lexsort((w, h))
-    h1, w1 = h[order], w[order]
-    new_h = np.r_[True, h1[1:] != h1[:-1]]
-    new = new_h | np.r_[True, w1[1:] != w1[:-1]]
-    big, his = np.cumsum(new) - 1, np.cumsum(new_h) - 1
-    total = np.bincount(big, weights=c[order]).astype(np.int64)
-    of = his[new]
-    c_h = np.bincount(of, weights=total).astype(np.int64)
-    t_h = np.bincount(of, weights=total > 0).astype(np.int64)
-    slot_b, slot_h = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-    slot_b[order], slot_h[order] = big, his
-    ends = np.r_[0, np.cumsum([len(x) for x in ws])]
-    rows = [[], [], [], [], [], []]
-    for i, chunk in enumerate(table["chunk"].to_pylist()):
-        s = slice(ends[i], ends[i + 1])
-        first = np.r_[0, np.cumsum(ms[i])[:-1]].astype(np.int64)
-        mine = slot_h[s][first]
-        for r, v in zip(rows, (chunk, total[slot_b[s]].astype(np.uint32).tobytes(), c_h[mine].tobytes(), t_h[mine].astype(np.uint32).tobytes(), None, table["bucket"][i].as_py()), strict=True):
-            r.append(v)
-    names = h1[new_h]
-    word, known = (names != START), c_h > 0
-    real = (w1[new] != 0) | (names[of] != END)
-    sums = [int(c_h[word].sum()), int((word & known).sum()), int(((total == 1) & real).sum()), int(((total == 2) & real).sum())]
-    for r, v in zip(rows, (None, None, None, None, sums, table["bucket"][0].as_py()), strict=True):
-        r.append(v)
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32())
-    return pa.table([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["chunk", "c", "ch", "th", "sums", "bucket"])
-
-
-def score_texts(docs: DataFrame, train: Column, chunk: Column | None = None) -> DataFrame:
-    """Score whole texts with a bigram model of the documents where ``train`` holds.
+
+    def __init__(self, counts: np.ndarray, first: np.ndarray, starts: int, tokens: int, words: int, prior: float):
+        """``counts``: of the k-gram that ends at each token, row k - 1; ``first``: which tokens begin a text."""
+        self.order, size = counts.shape
+        self.known = np.cumprod(counts > 0, axis=0).sum(0)
+        p = (counts[0] + 1.0) / (tokens + 1.0 * (words + 1))
+        self.arc, self.back = [np.log10(p)], [np.zeros(size)]
+        for k in range(2, self.order + 1):
+            history = np.r_[0, counts[k - 2][:-1]][:size].astype(float)
+            history[first] = starts if k == 2 else 0
+            weight = prior / (history + prior)
+            p = counts[k - 1] / (history + prior) + weight * p
+            self.arc.append(np.log10(p))
+            self.back.append(np.log10(weight))
+
+    def walk(self, begin: int, end: int) -> float:
+        """The log probability of the tokens of one text, from left to right."""
+        known, top = self.known[begin:end].tolist(), self.order - 1
+        arc, back = ([x[begin:end].tolist() for x in rows] for rows in (self.arc, self.back))
+        state, total = min(1, top), 0.0  # the state of START
+        for i, longest in enumerate(known):
+            while state and longest <= state:
+                total += back[state][i]
+                state -= 1
+            total += arc[state][i]
+            state = min(state + 1, top) if longest > state else 0
+        return total
+
+
+def score_texts(docs: DataFrame, train: Column, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+    """Score whole texts with an n-gram model of the documents where ``train`` holds.
 
     Args: ``docs`` with ``doc_id`` and ``text``; ``train``: a condition on its columns, null is
-    false; ``chunk``: a long that puts some thousands of documents in one chunk; all rows of a
-    chunk must come to one task one after the other, as ``file_chunk`` makes sure for rows
-    read from files.  By default rows are dealt out by 4096 neighbouring doc_ids.
+    false; ``order``: tokens of the longest n-grams; ``prior``: the weight M of shorter histories.
     Returns ``doc_id, trained`` (the condition), ``n_tokens, n_known, train_tokens`` longs,
     ``base_score, score`` doubles, base 10 logarithms.
 
     A null or empty text is its end token alone.  Null and repeated doc_ids are kept, each row
     with its score.  Without training documents every word is unknown; an empty table gives
-    no rows.  All counts cover all training documents.
+    no rows.  The scores are the same however the rows are dealt.
     """
     spark = docs.sparkSession
-    pick = lambda c: docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text", c.cast("long").alias("chunk"))
-    if chunk is None:
-        docs = pick(F.floor(F.coalesce("doc_id", F.lit(0)) / CHUNK)).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
-    else:
-        docs = pick(chunk)
-    buckets = 2 * partitions(spark)
-    answers = stage(_questions(docs, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, c binary, ch binary, th binary, sums array<long>, bucket int"), "answers")
-    n, v, ones, twos = answers.where("chunk is null").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(4)]).first()
-    n, v, ones, twos = (x or 0 for x in (n, v, ones, twos))
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-
-    def run(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        tok, hist, size, doc, h, w, p, slot, _ = _ask(texts["text"], texts["train"].to_numpy(zero_copy_only=False), buckets)
-        # Answers of buckets in order fit the distinct bigrams in order.
-        order = np.argsort(counts["bucket"].to_numpy())
-        get = lambda name, kind: np.concatenate([np.frombuffer(counts[name][int(i)].as_py(), kind) for i in order])
-        c, ch, th = get("c", np.uint32), get("ch", np.int64), get("th", np.uint32)
-        head = np.r_[True, h[1:] != h[:-1]]
-        group = np.cumsum(head) - 1
-        # Counts of a token as a word: every token of the chunk is a history of it too.
-        names = h[head]
-        sort = np.argsort(names)
-        at = sort[np.searchsorted(names, tok, sorter=sort)]
-        unigram = np.log10(ch[at] + 1.0) - np.log10(n + 1.0 * (v + 1))
-        state = group[slot[: len(tok)]]
-        arc = c[slot[: len(tok)]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(ch > 0, discount * th / ch, 1.0)[state]
-            over = np.log10(back) + unigram
-            direct = np.where(arc > 0, np.log10(np.maximum(arc - discount, 1e-300) / ch[state] + back * 10**unigram), over)
-        many = len(size)
-        total = lambda x: np.bincount(doc, weights=x, minlength=many)
-        return pa.table([texts["doc_id"], texts["train"], pa.array(size.astype(np.int64)), pa.array(total(ch[at] > 0).astype(np.int64)), pa.array(np.full(many, n, np.int64)), pa.array(total(unigram)), pa.array(total(direct))], out)
+    chunks = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text")))
+    buckets = max(partitions(spark), chunks.count())
+    answers = stage(_questions(chunks, order, buckets).groupBy("bucket").applyInArrow(_answer, "of long, bucket long, counts binary, sums array<long>"), "answers")
+    n, v = (x or 0 for x in answers.where("of is null").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(2)]).first())
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        ids, train, words = (texts[c].combine_chunks().flatten() for c in ("ids", "train", "texts"))
+        tok, size, own = _unpack(words, train)
+        *_, slot = _distinct(_grams(tok, size, order), own, buckets)
+        # Answers of buckets in order fit the distinct n-grams in order.
+        by = np.argsort(counts["bucket"].to_numpy())
+        held = np.concatenate([*(np.frombuffer(counts["counts"][int(i)].as_py(), np.int64) for i in by), np.zeros(1, np.int64)])
+        c = held[slot]  # -1, no n-gram, takes the last, 0
+        ends = np.cumsum(size)
+        first = np.zeros(len(tok), bool)
+        first[ends - size] = True
+        model = Automaton(c, first, int(c[0][ends[0] - 1]), n, v, prior)
+        doc = np.repeat(np.arange(len(size)), size)
+        total = lambda x: np.bincount(doc, weights=x, minlength=len(size))
+        score = np.array([model.walk(int(b), int(e)) for b, e in zip(ends - size, ends, strict=True)])
+        return pa.table([ids, train, pa.array(size.astype(np.int64)), pa.array(total(c[0] > 0).astype(np.int64)), pa.array(np.full(len(size), n, np.int64)), pa.array(total(model.arc[0])), pa.array(score)], out)
 
     out = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    back = answers.where("chunk is not null").drop("sums")
-    return docs.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, schema)
+    back = answers.where("of is not null").select("of", "bucket", "counts")
+    return chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(run, schema)

@@ -41,8 +41,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", lm.file_chunk().alias("chunk"))
-    out = lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.col("chunk"))
+    out = lm.score_texts(_read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -63,10 +62,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Token numbers and digests of the ids and of the bytes they decode to."""
     code = bpe.Bpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = code.encode(docs).select("doc_id", "ids")
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(code.ids_bytes(F.col("ids")), 256).alias("ids_sha256"), F.sha2(code.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    return code.encode(docs.select("doc_id", "text")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(code.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
 
 

@@ -107,17 +107,31 @@ def test_vectors(spark):
     assert hits >= 0.9 * 10 * len(found) and set(found) == {q for q in good if q % 20 == 0}
 
 
-def test_lm_base_scores(docs):
+def backoff(history, word, count, starts, n, v, prior):
+    """p(word | history) by plain recursion over counts of n-grams."""
+    if not history:
+        return (count[(word,)] + 1) / (n + v + 1)
+    shorter = backoff(history[1:], word, count, starts, n, v, prior)
+    followed = starts if history == ("<s>",) else count[history]
+    return (count[(*history, word)] + prior * shorter) / (followed + prior)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_as_the_recursion(docs, order):
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
-    count = Counter(w for i, t in TEXTS if not held(i) for w in [*words(t), "</end>"])
-    n, v = sum(count.values()), len(count)
-    out = lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    text = dict(TEXTS)
-    for r in out.collect():
-        tok = [*words(text[r["doc_id"]]), "</end>"]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tok), sum(count[w] > 0 for w in tok), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tok), rel=1e-9)
-        assert r["score"] < 0
+    line = {i: ["<s>", *words(t), "</s>"] for i, t in TEXTS}
+    count = Counter(tuple(x[j : j + k]) for i, t in TEXTS if not held(i) for x in [["<s>", *words(t), "</s>"]] for k in range(1, order + 1) for j in range(len(x) - k + 1) if k > 1 or j)
+    n = sum(c for g, c in count.items() if len(g) == 1)
+    v, starts = sum(len(g) == 1 for g in count), sum(not held(i) for i, _ in TEXTS)
+    rule = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    got = [sorted(map(tuple, lm.score_texts(d, rule, order).collect()), key=str) for d in (docs, docs.repartition(1).orderBy("text"))]
+    assert [r[:5] for r in got[0]] == [r[:5] for r in got[1]] and len(got[0]) == len(TEXTS)
+    for r, other in zip(*got, strict=True):
+        x = line[r[0]]
+        assert r[2:5] == (len(x) - 1, sum(count[(w,)] > 0 for w in x[1:]), n)
+        assert r[5] == pytest.approx(sum(math.log10((count[(w,)] + 1) / (n + v + 1)) for w in x[1:]), rel=1e-9)
+        want = sum(math.log10(backoff(tuple(x[max(0, j - order + 1) : j]), x[j], count, starts, n, v, lm.PRIOR)) for j in range(1, len(x)))
+        assert r[6] == pytest.approx(want, rel=1e-9) == other[6]
 
 
 def test_token_counts_use_the_cache(docs, tmp_path):
@@ -145,6 +159,18 @@ def test_bpe_as_the_library(spark, docs):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_long_pieces_merge_as_the_library(spark):
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(7)
+    texts = ["a" * 100_000, "ab" * 20_000, "漢字" * 5000, "".join(rng.choice(list("etaoinshr"), 30_000)), "".join(rng.choice(list("QzX9kvJw0b"), 200_000))]
+    code = bpe.Bpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = code.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_licenses(spark):
     grant = licenses.NOTICES["mit-grant"]
     rows = [(1, "intro words here " + grant + " and more"), (2, grant.upper()), (3, " ".join(grant.split()[:12])), (4, None), (5, "nothing of note")]
