@@ -7,9 +7,12 @@ the one with the fewest estimated candidates, documents that share l shingles of
 whose lists hold s entries being s / l at most.  Pairs with too few common prefix shingles are
 never verified.
 
-Places in that order rule out more: the first l common shingles of documents of n and m
-shingles lie where n - place + l - 1 >= 4 / 9 (n + m), and likewise for m.  So documents that share
-only a common passage, behind their own rare shingles, don't meet at all.
+Places in that order rule out more.  Documents of n and m shingles are similar if
+4 / 9 (n + m) are common, so their i-th common shingle has that many less i - 1 behind it on both sides.
+The first l common shingles of a document with one that is no smaller lie among its first
+n - ceil(8 / 9 n) + l: lone documents are indexed by these only and probed by larger ones.  So
+documents that share only a common passage, behind their own rare shingles, don't meet at
+all, and the cost that picks l counts only the places that can meet.
 
 A group of thousands of near copies has millions of similar pairs, but its component needs
 only a spanning tree.  So candidates are first verified against one leader of each prefix
@@ -83,19 +86,21 @@ def _lengths(n: np.ndarray, est: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The multi-match count l of sets of size n with the fewest estimated candidates."""
     total = np.r_[0.0, np.cumsum(est - 1.0)]  # partners of each shingle besides the set itself
     least = (4 * n + 4) // 5
-    ells = np.stack([np.minimum(1 + n // k, least) for k in (32, 16, 8)])
-    cost = (total[np.minimum(begin[:-1] + n - least + ells, begin[1:])] - total[begin[:-1]]) / np.maximum(ells, 1)
+    ells = np.stack([np.minimum(np.maximum(1, 1 + n // k), np.maximum(least, 1)) for k in (1 << 40, 32, 16, 8)])
+    # Partners of about n shingles: the l-th common one is among the first n / 9 + l.
+    reach = np.minimum(begin[:-1] + n - (8 * n + 8) // 9 + ells, begin[1:])
+    cost = (total[reach] - total[begin[:-1]]) / ells
     return ells[cost.argmin(0), np.arange(len(n))]
 
 
-def _at_least(n):
-    """The least l that a set similar to one of size n can have (a column)."""
-    return 1 + F.floor(F.floor(F.col(n) * 4 / 5) / 32)
+#: Places are exact up to so many shingles, beyond it in shares of the set's size.
+EXACT = 65_535
 
 
 def _room(n: str = "n", place: str = "place"):
-    """The most shingles a document has at and after a place, which is kept in 255ths of n (a column)."""
-    return F.col(n) - F.floor(F.col(place) * F.col(n) / 255)
+    """The most shingles a document has at and after a place (a column)."""
+    at = F.when(F.col(n) <= EXACT, F.col(place)).otherwise(F.floor(F.col(place) * F.col(n) / EXACT))
+    return (F.col(n) - at).cast("long")
 
 
 def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
@@ -109,15 +114,15 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
         held, size, seen = [], 0, set()
 
         def out():
-            nodes, ns, ells, idx, tok, at255 = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, ns, ells, idx, tok, at = (np.concatenate(x) for x in zip(*held, strict=True))
             place = (tok % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(buckets + 1))
             cols = [[], [], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(ends)):
                 own = order[ends[b] : ends[b + 1]]
-                used, at = np.unique(idx[own], return_inverse=True)
-                for c, v in zip(cols, (int(b), nodes[used].tobytes(), ns[used].astype(np.int32).tobytes(), ells[used].astype(np.int32).tobytes(), at.astype(np.uint32).tobytes(), tok[own].tobytes(), at255[own].tobytes()), strict=True):
+                used, member = np.unique(idx[own], return_inverse=True)
+                for c, v in zip(cols, (int(b), nodes[used].tobytes(), ns[used].astype(np.int32).tobytes(), ells[used].astype(np.int32).tobytes(), member.astype(np.uint32).tobytes(), tok[own].tobytes(), at[own].tobytes()), strict=True):
                     c.append(v)
             none = pa.nulls(len(cols[0]), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
@@ -148,7 +153,8 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
                 rank = np.arange(len(g)) - begin[rows]
                 ell = _lengths(ns, est, begin)
                 pick = rank < (ns - (4 * ns + 4) // 5 + ell)[rows]
-                place = (rank[pick] * 255 // ns[rows[pick]]).astype(np.uint8)
+                of = ns[rows[pick]]
+                place = np.where(of <= EXACT, rank[pick], rank[pick] * EXACT // of).astype(np.uint16)
                 held.append((node, ns, ell, rows[pick] + base, g[pick], place))
                 base += m
                 size += int(pick.sum())
@@ -166,7 +172,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """The (shingle, document) entries of one bucket whose shingle has two documents or more."""
     get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
     idx = get("idx", np.uint32)
-    tok, place = np.concatenate(get("tok", np.uint64)), np.concatenate(get("places", np.uint8))
+    tok, place = np.concatenate(get("tok", np.uint64)), np.concatenate(get("places", np.uint16))
     node, n, ell = (np.concatenate([v[i] for v, i in zip(get(c, kind), idx, strict=True)]) for c, kind in (("nodes", np.int64), ("ns", np.int32), ("ells", np.int32)))
     order = np.lexsort((node, tok))
     tok, node, n, ell, place = tok[order], node[order], n[order], ell[order], place[order]
@@ -174,7 +180,7 @@ def _shared(table: pa.Table) -> pa.Table:
     tok, node, n, ell, place = tok[new], node[new], n[new], ell[new], place[new]
     head = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     many = np.repeat(np.diff(np.r_[head, len(tok)]), np.diff(np.r_[head, len(tok)])) > 1
-    return pa.table([pa.array(tok[many].view(np.int64)), pa.array(node[many]), pa.array(n[many]), pa.array(ell[many]), pa.array(place[many].astype(np.int16))], ["tok", "node", "n", "ell", "place"])
+    return pa.table([pa.array(tok[many].view(np.int64)), pa.array(node[many]), pa.array(n[many]), pa.array(ell[many]), pa.array(place[many].astype(np.int32))], ["tok", "node", "n", "ell", "place"])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -230,9 +236,9 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     packed = stage(_prefixes(docs, frequent, k, partitions(spark)), "prefixes")
     sizes = packed.where("bucket is null").select("doc_id", "n", "node")
-    entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place smallint"), "entries")
-    # Fewer common shingles than any partner's l: no link is possible.
-    able = entries.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _at_least("n")).select("node")
+    entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place int"), "entries")
+    # The first common shingle of a set with a similar one has 4 / 5 of the set at and after it.
+    able = entries.withColumn("room", _room()).where("5 * room >= 4 * n").select("node").distinct()
     entries = stage(entries.join(able, "node", "left_semi"), "entries")
     reps = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = reps.join(able, "node", "left_semi").select("doc_id")
@@ -253,10 +259,15 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     weight = nodes.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     nodes = stage(nodes.join(weight, "root").select("node", "root", "m", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")), "nodes")
     placed = entries.withColumn("room", _room()).join(nodes.drop("n"), "node")
-    side = placed.groupBy("tok", F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("bl"), F.max("ell").alias("b_most"), F.max("room").alias("b_room"), F.first("m").alias("bm"))
+    indexed = placed.where("m > 1 or room > ceil(8 * n / 9) - ell")
+    side = indexed.groupBy("tok", F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("bl"), F.max("ell").alias("b_most"), F.max("room").alias("b_room"), F.first("m").alias("bm"))
+    # Lone documents: the larger one probes.  Else the document of the smaller component does.
+    turn = "(m = 1 and bm = 1 and (n > hi or n = hi and root < b_root)) or (bm > 1 and (m < bm or m = bm and root < b_root))"
     meet = (
-        placed.join(side, "tok").where("root <> b_root and (m < bm or m = bm and root < b_root) and 5 * hi >= 4 * n and 4 * lo <= 5 * n and 9 * (least(room, b_room) + least(ell, b_most) - 1) >= 4 * (n + greatest(lo, ceil(0.8 * n)))")
-        .groupBy("node", "b_root", "b_part").agg(F.count("*").alias("c"), F.min(F.least("ell", "bl")).alias("l")).where("c >= l").select("node", "b_root", "b_part")
+        placed.join(side, "tok").where(f"root <> b_root and ({turn}) and 5 * hi >= 4 * n and 4 * lo <= 5 * n and 9 * (least(room, b_room) + least(ell, b_most) - 1) >= 4 * (n + greatest(lo, ceil(0.8 * n)))")
+        .groupBy("node", "b_root", "b_part").agg(
+            F.count("*").alias("c"), F.min(F.least("ell", "bl")).alias("l"), F.max(F.least("room", "b_room")).alias("most"), F.first("n").alias("n"), F.min("lo").alias("lo"))
+        .where("c >= l and 9 * most >= 4 * (n + greatest(lo, ceil(0.8 * n)))").select("node", "b_root", "b_part")
     )
     blocks = sets.join(nodes, "node").groupBy(F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.collect_list(F.struct("node", "grams")).alias("members"))
     more = _verify(meet.join(sets, "node").join(blocks, ["b_root", "b_part"]).select("node", "grams", "members"))
