@@ -1,22 +1,28 @@
-"""Licence scans in DataFrame operations only.
-
-Templates are grouped by length.  For templates of up to m shingles, each text is cut into
-windows of 2 m shingles that start every m, so an occurrence lies whole in some window.  The
-shingles of texts are joined by equality with those of all templates, and each window's share
-of a template's shingles is counted exactly, so no window is missed.  A template of fewer than
-K words is one shingle of its own length.
+"""Licence scans by MinHash bands over overlapping windows, in DataFrame operations only.
+
+Templates are grouped by length: class m holds those of m / 2 to m distinct shingles of K words.  For each class a
+text is cut into windows of 2 m shingles that start every m, so an occurrence lies whole in some
+window.  Only shingles that some template has are kept of a window, which takes nothing from
+what it shares with a template and raises their similarity.
+
+A window that holds ``threshold`` of a template's t shingles has with it a similarity of at least
+threshold t / (2 m + (1 - threshold) t) in any case.  Each class has as many bands of one MinHash
+each as make the chance that none collides at most MISS for the least such similarity.
+Windows and templates that share a band meet, and the window's exact share of the
+template's shingles decides.  A template of fewer than K words is one shingle of that many words,
+its windows are single shingles, and one band finds it always.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
+from math import ceil, log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.line_dedup import LOWER, UPPER
+from lamina.llm.shared import stage
 
 _CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 _GNU = {"gpl": "General", "lgpl": "Lesser General", "agpl": "Affero General"}
@@ -78,26 +84,38 @@ NOTICES = {
     for x in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense")
 }
 K = 5
+#: The most likely miss of a window that reaches the threshold.
+MISS = 1e-3
 
 
-def _words(text):
-    bare = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def _words(text: Column) -> Column:
+    bare = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
     return F.regexp_extract_all(bare, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
 
 
+def _runs(n: int) -> Column:
+    """``n, pos, of, h`` of all runs of n of the word hashes ``w``; ``of`` is the number of runs."""
+    of = F.size("w") - (n - 1)
+    at = lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), of.alias("of"), F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(n)]).alias("h"))
+    return F.transform(F.when(of > 0, F.sequence(F.lit(0), of - 1)).otherwise(F.array().cast("array<int>")), at)
+
+
 def _shingles(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """``keep`` and ``s``: structs ``n, pos, of, h`` of all runs of n words of ``text``, for each n of ``lengths``.
+    """``keep`` and ``n, pos, of, h`` of all runs of n of ``words``, for each n of ``lengths``."""
+    hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    return hashed.select(*keep, F.explode(F.concat(*[_runs(n) for n in lengths])).alias("s")).select(*keep, "s.*")
 
-    ``of`` is the number of runs.  Words and their hashes are columns of their own, so they are computed once a text.
-    """
-    hashed = df.select(*keep, _words(F.col("text")).alias("words")).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
 
-    def runs(n):
-        of = F.size("w") - (n - 1)
-        at = lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), of.alias("of"), F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(n)]).alias("h"))
-        return F.transform(F.when(of > 0, F.sequence(F.lit(0), of - 1)).otherwise(F.array().cast("array<int>")), at)
+def bands(least: float) -> int:
+    """Single MinHashes of which all differ with a chance of at most MISS at a similarity of ``least``."""
+    return 1 if least >= 1 else ceil(log(MISS) / log(1 - least))
 
-    return hashed.select(*keep, F.concat(*[runs(n) for n in lengths]).alias("s"))
+
+def _minhashes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``keys, band, low``: for each group the least hash of its ``h`` in each of its ``bands`` bands."""
+    lows = [F.min(F.xxhash64(F.lit(i), "h")).alias(f"b{i}") for i in range(most)]
+    sketch = rows.groupBy(*keys).agg(F.first("bands").alias("bands"), *lows)
+    return sketch.select(*keys, "bands", F.posexplode(F.array(*[f"b{i}" for i in range(most)])).alias("band", "low")).where("band < bands").drop("bands")
 
 
 def anchors(texts: list[str], threshold: float) -> list[str]:
@@ -137,22 +155,41 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     named = {k: w for k, w in named.items() if w}
     if not named:
         return docs.select("doc_id").limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("windows"))
-    rows = spark.createDataFrame([(k, " ".join(w), min(len(w), K)) for k, w in named.items()], "license string, text string, own int")
     lengths = sorted({min(len(w), K) for w in named.values()})
-    rows = _shingles(rows, ["license", "own"], lengths).select("license", F.array_distinct(F.transform(F.filter("s", lambda x: x["n"] == F.col("own")), lambda x: F.struct("own", x["h"].alias("h")))).alias("t"))
-    # Classes of template lengths: powers of two of the number of shingles.
-    total = F.size("t")
-    keys = rows.select("license", total.alias("total"), F.pow(F.lit(2), F.ceil(F.log2(total))).cast("int").alias("m"), F.explode("t").alias("k")).select("license", "total", "m", F.col("k.own").alias("n"), F.col("k.h").alias("h"))
+    rows = spark.createDataFrame([(k, " ".join(w), min(len(w), K)) for k, w in named.items()], "license string, text string, own int")
+    grams = _shingles(rows.withColumn("words", _words(F.col("text"))), ["license", "own"], lengths).where("n = own").select("license", "n", "h").distinct()
+    sizes = grams.groupBy("license").agg(F.count("*").alias("total")).withColumn("m", F.pow(F.lit(2), F.ceil(F.log2("total"))).cast("int"))
+    # The least similarity that a class must find, and its bands.
+    worst: dict[int, float] = {}
+    for r in sizes.select("total", "m").distinct().collect():
+        at_least = 1.0 if r["m"] == 1 else ceil(threshold * r["total"] - 1e-9) / (2 * r["m"] + r["total"] - ceil(threshold * r["total"] - 1e-9))
+        worst[r["m"]] = min(worst.get(r["m"], 1.0), at_least)
+    many = {m: bands(j) for m, j in worst.items()}
+    of_class = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    grams = stage(grams.join(sizes, "license").withColumn("bands", of_class[F.col("m")]), "templates")
+    most = max(many.values())
 
     # A lossless first cut: texts without any anchor word contain no template.
     words = anchors([" ".join(w) for w in named.values()], threshold)
-    words = [w for w in words if not any(x != w and x in w for x in words)]
-    near = reduce(or_, (F.contains(F.lower("text"), F.lit(w)) for w in words))
-    texts = docs.where(near).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    hits = _shingles(texts, ["doc_id", "row"], lengths).select("doc_id", "row", F.explode("s").alias("s")).select("doc_id", "row", "s.*").join(F.broadcast(keys), ["n", "h"])
-    # The windows of a shingle: that of its own m and the one before; the last m of a text start none.
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _words(F.col("text")).alias("words")).where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in words])))
+    known = grams.select("n", "h").distinct()
+    hits = stage(_shingles(texts, ["doc_id", "row"], lengths).join(F.broadcast(known), ["n", "h"]), "hits")
+
+    # The windows of a shingle in each class: the one it starts in and the one before; the last m of a text start none.
+    classes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n in lengths for m in (sorted(many) if n == K else [1])])
+    placed = hits.withColumn("c", F.explode(F.filter(classes, lambda x: x["n"] == F.col("n")))).withColumn("m", F.col("c.m"))
     own = F.col("pos") - F.col("pos") % F.col("m")
     starts = F.when(F.col("m") == 1, F.array("pos")).otherwise(F.filter(F.array(own, own - F.col("m")), lambda i: (i >= 0) & ((i == 0) | (i + F.col("m") < F.col("of")))))
-    share = hits.select("doc_id", "row", "license", "total", "h", F.explode(starts).alias("at")).groupBy("doc_id", "row", "license", "total", "at").agg((F.count_distinct("h") / F.col("total")).alias("c"))
-    found = share.where(F.col("c") >= threshold).groupBy("doc_id", "license", "at").agg(F.max("c").alias("c"))
-    return found.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("windows"))
+    window = ["doc_id", "row", "n", "m", "at"]
+    inside = placed.select("doc_id", "row", "n", "m", F.explode(starts).alias("at"), "h").withColumn("bands", of_class[F.col("m")])
+    sketched = _minhashes(inside, window, most)
+    keys = _minhashes(grams, ["license", "n", "m", "total"], most)
+    candidates = sketched.join(F.broadcast(keys), ["n", "m", "band", "low"]).select(*window, "license", "total").distinct()
+
+    # Exactly the shingles that window and template share.
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    c = candidates.withColumnsRenamed({"doc_id": "c_doc", "row": "c_row", "n": "c_n", "m": "c_m", "at": "c_at"})
+    met = inside.join(c, (F.col("row") == F.col("c_row")) & (F.col("n") == F.col("c_n")) & (F.col("m") == F.col("c_m")) & (F.col("at") == F.col("c_at")) & same("doc_id", "c_doc"))
+    met = met.join(F.broadcast(grams.select(F.col("license").alias("g_license"), F.col("n").alias("g_n"), F.col("h").alias("g_h"))), (F.col("license") == F.col("g_license")) & (F.col("n") == F.col("g_n")) & (F.col("h") == F.col("g_h")))
+    share = met.groupBy("doc_id", "row", "license", "total", "at").agg((F.count_distinct("h") / F.col("total")).alias("c"))
+    return share.where(F.col("c") >= threshold).groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("windows"))
