@@ -185,6 +185,10 @@ def test_toxicity_held_out(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(None, 1), (500, None)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["rejected"] for r in toxicity.score(df, toxicity.train(df, labels)).where("doc_id >= 400").collect()}
     assert all(v == (i % 5 == 0) for i, v in got.items()) and len(got) == 200
+    models = [toxicity.train(df.repartition(n), labels.repartition(m)) for n, m in ((1, 1), (7, 2), (3, 5))]
+    assert len({(m.reject, m.weights.tobytes(), m.thetas.tobytes(), m.keys.tobytes()) for m in models}) == 1
+    clash = toxicity.score(df.withColumn("severity", F.lit("own")), models[0], keep_columns=True)
+    assert sorted(clash.columns) == ["doc_id", "severity", "text"] and clash.where("severity is null").count() == 0
 
 
 def test_empty_tables(spark, tmp_path):
