@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import textmath as tm
-from lamina.llm.shared import partitions, stage
+from lamina.llm.shared import packed, partitions, stage, unpacked
 
 END = np.uint64(0x656E645F6F665F74)
 START = np.uint64(0x73746172745F6F66)
@@ -88,15 +88,17 @@ def _distinct(grams: np.ndarray, own: np.ndarray, buckets: int):
     return bucket[by], k[by], name[by], c[by], place[slot].reshape(order, size)
 
 
-def _short(name: np.ndarray) -> bytes:
-    return name.view(np.uint8).reshape(-1, 8)[:, :NAME].tobytes()
+def _steps(name: np.ndarray, many: list[int]) -> np.ndarray:
+    """Names, sorted within each order, as steps from one to the next."""
+    out = np.diff(name, prepend=np.zeros(1, np.uint64))
+    head = np.cumsum(many)[:-1]
+    head = head[head < len(name)]
+    out[head] = name[head]
+    return out
 
 
-def _long(data: bytes) -> np.ndarray:
-    short = np.frombuffer(data, np.uint8).reshape(-1, NAME)
-    out = np.zeros((len(short), 8), np.uint8)
-    out[:, :NAME] = short
-    return out.view(np.uint64).ravel()
+def _names(steps: np.ndarray, many: list[int]) -> np.ndarray:
+    return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in np.split(steps, np.cumsum(many)[:-1])])
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -148,9 +150,10 @@ def _questions(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 used = np.flatnonzero(np.diff(ends))
                 for part in range(0, len(used), 256):
                     cuts = [slice(ends[b], ends[b + 1]) for b in used[part : part + 256]]
+                    many = [np.bincount(k[s], minlength=order + 1)[1:].tolist() for s in cuts]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([chunk] * len(cuts), pa.int64()), pa.array(used[part : part + 256].astype(np.int64)), pa.array([np.bincount(k[s], minlength=order + 1)[1:].tolist() for s in cuts], pa.list_(pa.int64())),
-                        pa.array([_short(name[s]) for s in cuts], pa.binary()), pa.array([c[s].astype(np.uint32).tobytes() for s in cuts], pa.binary()),
+                        pa.array([chunk] * len(cuts), pa.int64()), pa.array(used[part : part + 256].astype(np.int64)), pa.array(many, pa.list_(pa.int64())),
+                        pa.array([packed(_steps(name[s], m)) for s, m in zip(cuts, many, strict=True)], pa.binary()), pa.array([packed(c[s].astype(np.uint32)) for s in cuts], pa.binary()),
                     ], ["chunk", "bucket", "many", "names", "counts"])
 
     return chunks.select("chunk", "texts", "train").mapInArrow(run, "chunk long, bucket long, many array<long>, names binary, counts binary")
@@ -160,20 +163,20 @@ def _answer(table: pa.Table) -> pa.Table:
     """Sums of one bucket, for each chunk in its own order; a row of a null chunk has tokens and words."""
     many = np.array(table["many"].to_pylist())
     order = many.shape[1]
-    names = np.concatenate([_long(x) for x in table["names"].to_pylist()])
-    own = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+    names = np.concatenate([_names(unpacked(x.as_py(), m.sum(), np.uint64), m) for x, m in zip(table["names"], many, strict=True)])
+    own = np.concatenate([unpacked(x.as_py(), m.sum(), np.uint32) for x, m in zip(table["counts"], many, strict=True)]).astype(np.int64)
     k = np.repeat(np.tile(np.arange(1, order + 1, dtype=np.uint64), len(many)), many.ravel())
     key, slot = np.unique(names | k << np.uint64(8 * NAME), return_inverse=True)
     total = np.zeros(len(key), np.int64)
     np.add.at(total, slot, own)
     ends = np.r_[0, np.cumsum(many.sum(1))]
     words = total[key >> np.uint64(8 * NAME) == 1]
-    counts = [total[slot[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    counts = [packed(total[slot[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     n = len(counts)
     return pa.table([
         pa.array([*table["chunk"].to_pylist(), None], pa.int64()), pa.array([*table["bucket"].to_pylist(), None], pa.int64()),
-        pa.array([*counts, None], pa.binary()), pa.array([None] * n + [[int(words.sum()), int((words > 0).sum())]], pa.list_(pa.int64())),
-    ], ["of", "bucket", "counts", "sums"])
+        pa.array([*many.sum(1).tolist(), None], pa.int64()), pa.array([*counts, None], pa.binary()), pa.array([None] * n + [[int(words.sum()), int((words > 0).sum())]], pa.list_(pa.int64())),
+    ], ["of", "bucket", "n", "counts", "sums"])
 
 
 class Automaton:
@@ -227,7 +230,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, prior: float
     spark = docs.sparkSession
     chunks = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text")))
     buckets = max(partitions(spark), chunks.count())
-    answers = stage(_questions(chunks, order, buckets).groupBy("bucket").applyInArrow(_answer, "of long, bucket long, counts binary, sums array<long>"), "answers")
+    answers = stage(_questions(chunks, order, buckets).groupBy("bucket").applyInArrow(_answer, "of long, bucket long, n long, counts binary, sums array<long>"), "answers")
     n, v = (x or 0 for x in answers.where("of is null").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(2)]).first())
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -236,7 +239,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, prior: float
         *_, slot = _distinct(_grams(tok, size, order), own, buckets)
         # Answers of buckets in order fit the distinct n-grams in order.
         by = np.argsort(counts["bucket"].to_numpy())
-        held = np.concatenate([*(np.frombuffer(counts["counts"][int(i)].as_py(), np.int64) for i in by), np.zeros(1, np.int64)])
+        held = np.concatenate([*(unpacked(counts["counts"][int(i)].as_py(), counts["n"][int(i)].as_py(), np.int64) for i in by), np.zeros(1, np.int64)])
         c = held[slot]  # -1, no n-gram, takes the last, 0
         ends = np.cumsum(size)
         first = np.zeros(len(tok), bool)
@@ -249,5 +252,5 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, prior: float
 
     out = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    back = answers.where("of is not null").select("of", "bucket", "counts")
+    back = answers.where("of is not null").select("of", "bucket", "n", "counts")
     return chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(run, schema)
