@@ -26,13 +26,17 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from lamina.llm.shared import partitions, stage
+from lamina.llm.shared import packed, partitions, stage, unpacked
 
 SLOTS = 1 << 16
 #: Bytes from which a piece without a cut is merged by a heap.
 LONG = 256
+#: Bytes of words in one chunk, about.
+CHUNK_BYTES = 32 << 20
+#: Encoded words that one task packs for their chunks at a time.
+PACK = 1 << 20
 #: White space of the pattern language that vocabularies are made with, for Java.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -238,44 +242,78 @@ class Bpe:
         """
         docs = docs.drop("ids", "packed")
         row = docs.select(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("row"), self.words(F.col("text")).alias("words"))
-        inside, planes = self.inside, ["b0", "b1", "b2", "b3"]
+        inside = self.inside
 
         def number(batches):
             chunk = TaskContext.get().partitionId() << 32
             for batch in batches:
                 flat, bounds, pieces = _numbered(batch.column(1), inside)
-                n, m = len(batch), len(pieces)
-                # The bytes of equal weight together: the upper ones are mostly zero and pack well.
-                parts = [_binary(((flat >> np.uint32(8 * i)) & np.uint32(255)).astype(np.uint8), bounds) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column(0), *parts, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, batch.schema.field(0).type), *[pa.nulls(m, pa.binary())] * 4, pa.array(np.arange(m, dtype=np.int32)), pieces], names)
+                m, rows = len(pieces), batch.column(0)
+                one = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), one, pa.array([packed(np.diff(bounds))]), pa.array([len(flat)]), pa.array([packed(flat)]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
+                for i in range(0, m, 1 << 16):
+                    part = pieces.slice(i, 1 << 16)
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, one.type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(i, i + n, dtype=np.int32)), part], names)
                 chunk += 1
 
-        names = ["chunk", "row", *planes, "slot", "word"]
+        names = ["chunk", "rows", "sizes", "n", "numbers", "slot", "word"]
         kind = row.schema["row"].dataType
         coded = stage(row.mapInArrow(number, StructType([
-            StructField("chunk", LongType()), StructField("row", kind), *[StructField(b, BinaryType()) for b in planes], StructField("slot", IntegerType()), StructField("word", BinaryType()),
-        ])), "coded")
+            StructField("chunk", LongType()), StructField("rows", ArrayType(kind)), StructField("sizes", BinaryType()), StructField("n", LongType()), StructField("numbers", BinaryType()), StructField("slot", IntegerType()), StructField("word", BinaryType()),
+        ])), "coded", CHUNK_BYTES)
         words = coded.where("word is not null").select("chunk", "slot", "word")
-        found = words.join(self._word_table(words), "word").select(F.col("chunk").alias("of"), "slot", "ids")
-
-        def take(texts: pa.Table, ids: pa.Table) -> pa.Table:
-            order = np.argsort(ids["slot"].to_numpy())
-            lists = ids["ids"].combine_chunks().take(pa.array(order)) if len(ids) else pa.array([], pa.list_(pa.int32()))
-            size = np.diff(np.r_[lists.offsets.to_numpy()])
-            begin, values = np.r_[0, np.cumsum(size)], lists.flatten().to_numpy()
-            low = [np.frombuffer(b"".join(texts[b].to_pylist()), np.uint8).astype(np.int64) for b in planes]
-            flat = low[0] | low[1] << 8 | low[2] << 16 | low[3] << 24
-            of = np.r_[0, np.cumsum(pc.binary_length(texts["b0"]).to_numpy())]
-            many = size[flat]
-            ends = np.r_[0, np.cumsum(many)]
-            out = values[np.repeat(begin[flat] - ends[:-1], many) + np.arange(ends[-1])].astype(np.int32)
+        known = self._word_table(words)
+
+        def pack(batches):
+            held, size = [], 0
+
+            def out():
+                t = pa.concat_tables(held).combine_chunks()
+                chunk, slot = t["of"].to_numpy(), t["slot"].to_numpy()
+                order = np.lexsort((slot, chunk))
+                chunk, slot, ids = chunk[order], slot[order], t["ids"].combine_chunks().take(pa.array(order))
+                many, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
+                ends, edges = np.r_[0, np.cumsum(many)], np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)]
+                for part in range(0, len(edges) - 1, 256):
+                    cuts = list(zip(edges[part : part + 256], edges[part + 1 : part + 257], strict=False))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int(chunk[a]) for a, _ in cuts], pa.int64()), pa.array([[int(b - a), int(ends[b] - ends[a])] for a, b in cuts], pa.list_(pa.int64())),
+                        *(pa.array([packed(x) for x in xs], pa.binary()) for xs in ([np.diff(slot[a:b], prepend=np.int32(0)) for a, b in cuts], [many[a:b].astype(np.int32) for a, b in cuts], [flat[ends[a] : ends[b]] for a, b in cuts])),
+                    ], ["of", "n", "slots", "many", "ids"])
+
+            for batch in batches:
+                held.append(pa.Table.from_batches([batch]))
+                size += len(batch)
+                if size >= PACK:
+                    yield from out()
+                    held, size = [], 0
+            if held:
+                yield from out()
+
+        found = words.join(known, "word").select(F.col("chunk").alias("of"), "slot", "ids").mapInArrow(pack, "of long, n array<long>, slots binary, many binary, ids binary")
+        found = stage(found, "found")
+
+        def take(texts: pa.Table, parts: pa.Table) -> pa.Table:
+            slots, many, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for n, a, b, c in zip(parts["n"].to_pylist(), parts["slots"], parts["many"], parts["ids"], strict=True):
+                slots.append(np.cumsum(unpacked(a.as_py(), n[0], np.int32)))
+                many.append(unpacked(b.as_py(), n[0], np.int32))
+                ids.append(unpacked(c.as_py(), n[1], np.int32))
+            slots, many, values = (np.concatenate(x) for x in (slots, many, ids))
+            size, begin = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+            size[slots], begin[slots] = many, np.r_[0, np.cumsum(many)][:-1]
+            rows = texts["rows"].combine_chunks().flatten()
+            flat = unpacked(texts["numbers"][0].as_py(), texts["n"][0].as_py(), np.uint32)
+            of = np.r_[0, np.cumsum(unpacked(texts["sizes"][0].as_py(), len(rows), np.int64))]
+            long = size[flat]
+            ends = np.r_[0, np.cumsum(long)]
+            out = values[np.repeat(begin[flat] - ends[:-1], long) + np.arange(ends[-1])]
             bounds = ends[of]
-            return pa.table([texts["row"], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out)), _binary(out.astype("<u4").view(np.uint8), 4 * bounds)], ["row", "ids", "packed"])
+            return pa.table([rows, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out)), _binary(out.astype("<u4").view(np.uint8), 4 * bounds)], ["row", "ids", "packed"])
 
-        kinds = StructType([coded.schema["row"], *StructType.fromDDL("ids array<int>, packed binary").fields])
-        texts = coded.where("row is not null").select("chunk", "row", *planes)
+        kinds = StructType([StructField("row", coded.schema["rows"].dataType.elementType), *StructType.fromDDL("ids array<int>, packed binary").fields])
+        texts = coded.where("word is null").select("chunk", "rows", "sizes", "n", "numbers")
         return texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(take, kinds).select("row.*", "ids", "packed").drop("_")
 
     def decode(self, ids: Column) -> Column:

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +43,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the tasks that ran on it, not the plan
-    behind the table.
+    behind the table.  Tasks get Arrow batches of about ``batch_bytes``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     # Nothing reads this query's shuffle files after the write, so they need not stay on disk.
-    own = {TIDY: "true", BATCH: str(BATCH_BYTES)}
+    own = {TIDY: "true", BATCH: str(batch_bytes)}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
@@ -62,6 +64,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of an array of one dimension, those of equal weight together, compressed."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
+    """The array of ``n`` values that ``packed`` packed."""
+    size = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(dtype).ravel()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
