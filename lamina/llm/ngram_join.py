@@ -17,7 +17,8 @@ all, and the cost that picks l counts only the places that can meet.
 A group of thousands of near copies has millions of similar pairs, but its component needs
 only a spanning tree.  So candidates are first verified against one leader of each prefix
 shingle, and only documents that this leaves in different components meet in full: each
-document of the smaller component against blocks of the larger one, whose exact overlaps are
+document of the smaller component against blocks of the larger one, and each lone document
+against blocks of lone ones that have a common prefix shingle.  Exact overlaps with a block are
 counted inside one task.  No pair inside a component is ever written.
 """
 
@@ -34,8 +35,8 @@ from lamina.llm.shared import connected_components, partitions, stage
 #: Shingles the frequency estimate keeps at most (the order of others is by hash alone).
 FREQUENT = 1 << 17
 FLUSH = 1_500_000
-#: Shingle hashes in one block of a large component.
-BLOCK = 1 << 16
+#: Shingle hashes in one block of a component or of lone documents.
+BLOCK = 1 << 15
 
 
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,21 +257,28 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     # Then documents that are still apart, against blocks of the larger component.
     root = connected_components(links)
     nodes = entries.select("node", "n").distinct().join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    weight = nodes.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    nodes = stage(nodes.join(weight, "root").select("node", "root", "m", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")), "nodes")
-    placed = entries.withColumn("room", _room()).join(nodes.drop("n"), "node")
-    indexed = placed.where("m > 1 or room > ceil(8 * n / 9) - ell")
-    side = indexed.groupBy("tok", F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("bl"), F.max("ell").alias("b_most"), F.max("room").alias("b_room"), F.first("m").alias("bm"))
-    # Lone documents: the larger one probes.  Else the document of the smaller component does.
-    turn = "(m = 1 and bm = 1 and (n > hi or n = hi and root < b_root)) or (bm > 1 and (m < bm or m = bm and root < b_root))"
+    nodes = nodes.join(nodes.groupBy("root").agg(F.count("*").alias("m")), "root")
+    # Lone documents stand in one block with those that share their commonest prefix shingle.
+    common = entries.join(entries.groupBy("tok").agg(F.count("*").alias("c")), "tok").groupBy("node").agg(F.max(F.struct("c", "tok"))["tok"].alias("common"))
+    nodes = nodes.join(common, "node").withColumn("lone", F.col("m") == 1).withColumn("block", F.when(F.col("lone"), F.col("common")).otherwise(F.col("root")))
+    weight = nodes.groupBy("lone", "block").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    nodes = stage(nodes.join(weight, ["lone", "block"]).select("node", "root", "m", "lone", "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "nodes")
+    placed = entries.withColumn("room", _room()).join(nodes, "node")
+    indexed = placed.where("not lone or room > ceil(8 * n / 9) - ell")
+    own = {"lone": "b_lone", "block": "b_block", "part": "b_part"}
+    side = indexed.withColumnsRenamed(own).groupBy("tok", *own.values()).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("ell").alias("bl"), F.max("ell").alias("b_most"), F.max("room").alias("b_room"), F.first("m").alias("bm"))
+    # Of two lone documents the larger one probes.  Else the document of the smaller component does.
+    turn = "(lone and b_lone and n >= lo) or (not b_lone and root <> b_block and (m < bm or m = bm and root < b_block))"
+    least = "4 * (n + greatest(lo, ceil(0.8 * n)))"
     meet = (
-        placed.join(side, "tok").where(f"root <> b_root and ({turn}) and 5 * hi >= 4 * n and 4 * lo <= 5 * n and 9 * (least(room, b_room) + least(ell, b_most) - 1) >= 4 * (n + greatest(lo, ceil(0.8 * n)))")
-        .groupBy("node", "b_root", "b_part").agg(
+        placed.drop("block", "part").join(side, "tok").where(f"({turn}) and 5 * hi >= 4 * n and 4 * lo <= 5 * n and 9 * (least(room, b_room) + least(ell, b_most) - 1) >= {least}")
+        .groupBy("node", *own.values()).agg(
             F.count("*").alias("c"), F.min(F.least("ell", "bl")).alias("l"), F.max(F.least("room", "b_room")).alias("most"), F.first("n").alias("n"), F.min("lo").alias("lo"))
-        .where("c >= l and 9 * most >= 4 * (n + greatest(lo, ceil(0.8 * n)))").select("node", "b_root", "b_part")
+        .where(f"c >= l and 9 * most >= {least}").select("node", *own.values())
     )
-    blocks = sets.join(nodes, "node").groupBy(F.col("root").alias("b_root"), F.col("part").alias("b_part")).agg(F.collect_list(F.struct("node", "grams")).alias("members"))
-    more = _verify(meet.join(sets, "node").join(blocks, ["b_root", "b_part"]).select("node", "grams", "members"))
+    blocks = sets.join(nodes, "node").withColumnsRenamed(own).groupBy(*own.values()).agg(F.collect_list(F.struct("node", "grams")).alias("members"))
+    more = _verify(meet.join(sets, "node").join(blocks, list(own.values())).select("node", "grams", "members"))
     links = stage(links.unionByName(more), "links")
 
     root = connected_components(links)
