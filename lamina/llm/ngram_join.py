@@ -87,13 +87,18 @@ def _lengths(n: np.ndarray, est: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The multi-match count l of sets of size n with the fewest estimated candidates."""
     total = np.r_[0.0, np.cumsum(est - 1.0)]  # partners of each shingle besides the set itself
     least = (4 * n + 4) // 5
-    ells = np.stack([np.minimum(np.maximum(1, 1 + n // k), np.maximum(least, 1)) for k in (1 << 40, 32, 16, 8)])
+    ells = np.stack([np.minimum(1 + n // k, np.maximum(least, 1)) for k in (32, 16, 8)])
     # Partners of about n shingles: the l-th common one is among the first n / 9 + l.
     reach = np.minimum(begin[:-1] + n - (8 * n + 8) // 9 + ells, begin[1:])
     cost = (total[reach] - total[begin[:-1]]) / ells
     return ells[cost.argmin(0), np.arange(len(n))]
 
 
+def _at_least(n: str = "n"):
+    """The least l that a set similar to one of size n can have (a column)."""
+    return 1 + F.floor(F.floor(F.col(n) * 4 / 5) / 32)
+
+
 #: Places are exact up to so many shingles, beyond it in shares of the set's size.
 EXACT = 65_535
 
@@ -239,7 +244,8 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     sizes = packed.where("bucket is null").select("doc_id", "n", "node")
     entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place int"), "entries")
     # The first common shingle of a set with a similar one has 4 / 5 of the set at and after it.
-    able = entries.withColumn("room", _room()).where("5 * room >= 4 * n").select("node").distinct()
+    # It has as many common ones with its prefix as the least l of the two.
+    able = entries.withColumn("room", _room()).groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max("room").alias("most")).where("5 * most >= 4 * n").where(F.col("c") >= _at_least()).select("node")
     entries = stage(entries.join(able, "node", "left_semi"), "entries")
     reps = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = reps.join(able, "node", "left_semi").select("doc_id")
@@ -277,7 +283,9 @@ def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
             F.count("*").alias("c"), F.min(F.least("ell", "bl")).alias("l"), F.max(F.least("room", "b_room")).alias("most"), F.first("n").alias("n"), F.min("lo").alias("lo"))
         .where(f"c >= l and 9 * most >= {least}").select("node", *own.values())
     )
-    blocks = sets.join(nodes, "node").withColumnsRenamed(own).groupBy(*own.values()).agg(F.collect_list(F.struct("node", "grams")).alias("members"))
+    meet = stage(meet, "meet")
+    met = nodes.withColumnsRenamed(own).join(meet.select(*own.values()).distinct(), list(own.values()), "left_semi")
+    blocks = sets.join(met, "node").groupBy(*own.values()).agg(F.collect_list(F.struct("node", "grams")).alias("members"))
     more = _verify(meet.join(sets, "node").join(blocks, list(own.values())).select("node", "grams", "members"))
     links = stage(links.unionByName(more), "links")
 
