@@ -201,9 +201,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
-    """Of rows ``a, a_grams, members(node, grams)`` the exact links ``src, dst``."""
+    """Of rows ``a, a_grams, members(node, grams)`` the exact links ``src, dst``.
+
+    A task leaves out links between documents that its earlier ones connect.
+    """
 
     def run(batches):
+        up: dict[int, int] = {}
+
+        def top(z):
+            while up.setdefault(z, z) != z:
+                up[z] = up[up[z]]
+                z = up[z]
+            return z
+
         for batch in batches:
             src, dst = [], []
             for a, mine, members in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -218,7 +229,9 @@ def _verify(pairs: DataFrame) -> DataFrame:
                 common = np.add.reduceat(hit, np.r_[0, np.cumsum(sizes)[:-1]])
                 ok = 100 * common >= 80 * (len(x) + sizes - common)
                 for b in ids[ok].tolist():
-                    if b != a:
+                    p, q = top(a), top(b)
+                    if p != q:
+                        up[p] = q
                         src.append(a)
                         dst.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
