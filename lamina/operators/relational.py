@@ -145,9 +145,12 @@ def claim_once(wants: DataFrame, owner: str, thing: str, rank: str) -> DataFrame
 
 def best_and_runner_up(scores: DataFrame, key: str, candidate: str, score: str, factor: float = 5.0) -> DataFrame:
     """The least score of each key, the next, and whether the match is weak (next < factor * best)."""
-    top = scores.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(score, candidate))), 1, 2).alias("_s"))
-    best, nxt = F.get("_s", F.lit(0)), F.get("_s", F.lit(1))
-    return top.select(key, best[candidate].alias(candidate), best[score].alias("best"), nxt[score].alias("runner_up"), F.coalesce(nxt[score] < factor * best[score], F.lit(False)).alias("weak"))
+    # Ranks up to 2 are cut before the shuffle, so a key with many scores sends two from each task.
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).asc_nulls_last(), candidate))
+    two = scores.select(key, candidate, score).withColumn("_i", rank).where("_i <= 2")
+    pick = lambda i, c: F.max(F.when(F.col("_i") == i, F.col(c)))
+    top = two.groupBy(key).agg(pick(1, candidate).alias(candidate), pick(1, score).alias("best"), pick(2, score).alias("runner_up"))
+    return top.withColumn("weak", F.coalesce(F.col("runner_up") < factor * F.col("best"), F.lit(False)))
 
 
 def keep_latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

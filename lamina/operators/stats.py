@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.relational import band_join
 from lamina.operators.series import add_group, average_rank
 
 
@@ -22,18 +23,29 @@ def benjamini_hochberg(df: DataFrame, p: str, family: list[str], key: str) -> Da
 
 
 def signed_rank(df: DataFrame, on: list[str], d: str) -> DataFrame:
-    """Exact Wilcoxon signed-rank test of differences, zeros left out, by all sign vectors.
+    """Exact Wilcoxon signed-rank test of differences, zeros left out, for groups of any size.
 
-    ``n, w`` (sum of positive ranks), one-sided ``p_greater`` and two-sided ``p_two``; up to 15
-    differences a group (others null), 2**n sign vectors a group.
+    ``n, w`` (sum of positive ranks), one-sided ``p_greater`` and two-sided ``p_two``.  The null chances
+    of each sum of doubled ranks grow by one difference at a time, n**3 steps for a group.
     """
     x = df.where(F.col(d) != 0).withColumn("_a", F.abs(d))
     x = x.withColumn("_r", average_rank("_a", on))
-    g = x.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.array_sort(F.collect_list("_r")).alias("ranks")).where("n <= 15")
-    all_w = g.withColumn("s", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1))).withColumn(
-        "v", F.aggregate(F.transform("ranks", lambda r, i: F.when(F.floor(F.col("s") / F.pow(F.lit(2), i)).cast("long") % 2 == 1, r).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b))
-    ge, le = F.avg((F.col("v") >= F.col("w") - 1e-9).cast("int")), F.avg((F.col("v") <= F.col("w") + 1e-9).cast("int"))
-    return all_w.groupBy(*on, "n", "w").agg(ge.alias("p_greater"), F.least(F.lit(1.0), 2 * F.least(ge, le)).alias("p_two"))
+    g = x.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.collect_list(F.round(2 * F.col("_r")).cast("int")).alias("_ranks"))
+    start = F.transform(F.sequence(F.lit(0), (F.col("n") * (F.col("n") + 1)).cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    grow = lambda s, r: F.transform(s, lambda c, i: (c + F.when(i >= r, F.get(s, i - r)).otherwise(0.0)) / 2)
+    g = g.withColumn("_null", F.aggregate("_ranks", start, grow)).withColumn("_s", F.round(2 * F.col("w")).cast("int"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    ge = total(F.slice("_null", F.col("_s") + 1, F.size("_null"))).alias("p_greater")
+    le = total(F.slice("_null", F.lit(1), F.col("_s") + 1)).alias("_le")
+    return g.select(*on, "n", "w", ge, le).select(*on, "n", "w", "p_greater", F.least(F.lit(1.0), 2 * F.least("p_greater", "_le")).alias("p_two"))
+
+
+def signed_rank_z(df: DataFrame, on: list[str], d: str) -> DataFrame:
+    """``n, w, z``: the signed-rank sum in standard units, ties counted; partial sums only, for large groups."""
+    x = df.where(F.col(d) != 0).withColumn("_a", F.abs(d))
+    x = x.withColumn("_r", average_rank("_a", on))
+    g = x.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.sum("_r").alias("_all"), F.sum(F.col("_r") ** 2).alias("_sq"))
+    return g.select(*on, "n", "w", ((F.col("w") - F.col("_all") / 2) / F.sqrt(F.col("_sq") / 4)).alias("z"))
 
 
 def spearman(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
@@ -93,12 +105,12 @@ def shift_null(src: DataFrame, ref: DataFrame, on: list[str], t: str, period: in
     All shifts of ``ref`` from ``least`` to period - least - 1 are taken.  The observed fraction
     uses linear distance, shifted ones circular distance: ``observed, null_mean, p`` with
     p = (1 + shifts at or below the observed) / (1 + shifts).  Each pair of events forbids a run of
-    shifts, so shifts are counted by equality joins on (event, shift).
+    shifts; all pairs of a key's events are made, as every pair counts for some shifts.
     """
     s = src.select(*on, F.col(t).alias("a")).distinct()
     r = ref.select(*on, F.col(t).alias("b")).distinct()
     n = s.groupBy(*on).agg(F.count("*").alias("n"))
-    near = s.join(r, on).where(F.abs(F.col("a") - F.col("b")) <= window).select(*on, "a").distinct().groupBy(*on).agg(F.count("*").alias("hit"))
+    near = band_join(s, r, on, "a", "b", -window, window).select(*on, "a").distinct().groupBy(*on).agg(F.count("*").alias("hit"))
     hit = s.join(r, on).select(*on, "a", F.explode(F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda k: F.pmod(F.col("a") - F.col("b") + k, F.lit(period)))).alias("shift"))
     hit = hit.where(F.col("shift").between(least, period - least - 1)).distinct().groupBy(*on, "shift").agg(F.count("*").alias("c"))
     shifts = period - 2 * least

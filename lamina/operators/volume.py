@@ -39,6 +39,26 @@ def erode(vox: DataFrame, on: list[str], axes: list[str]) -> DataFrame:
     return vox.select(*on, *axes).join(n, [*on, *axes], "left_semi")
 
 
+def close(vox: DataFrame, on: list[str], axes: list[str]) -> DataFrame:
+    """Closing: spread to all neighbours, then keep the cells all of whose neighbourhood is covered."""
+    steps = [tuple([0] * len(axes)), *[s for s in offsets(axes) if any(s)]]
+    grown = shifted(vox, on, axes, steps).select(*on, *axes).distinct()
+    return shifted(grown, on, axes, steps).groupBy(*on, *axes).agg(F.count("*").alias("_n")).where(F.col("_n") == len(steps)).drop("_n")
+
+
+def fill_holes(vox: DataFrame, space: DataFrame, on: list[str], axes: list[str], box: dict[str, tuple[int, int]]) -> DataFrame:
+    """The mask and the cells of ``space`` that no path of faces through the rest joins to the box's edge."""
+    cells = space.select(*on, *axes).distinct()
+    rest = cells.join(vox, [*on, *axes], "left_anti").withColumn("id", F.xxhash64(*on, *axes))
+    found = components(rest.select("id"), neighbour_edges(rest, on, axes, "id", faces=True))
+    edge = F.lit(False)
+    for a, (lo, hi) in box.items():
+        edge = edge | (F.col(a) == lo) | (F.col(a) == hi)
+    placed = rest.join(found, "id")
+    outside = placed.where(edge).select("root").distinct()
+    return cells.join(placed.join(outside, "root", "left_semi").select(*on, *axes), [*on, *axes], "left_anti")
+
+
 def neighbour_edges(vox: DataFrame, on: list[str], axes: list[str], key: str, faces: bool = False) -> DataFrame:
     """Pairs ``src < dst`` of keys of neighbouring voxels."""
     half = [s for s in offsets(axes, faces=faces) if s > tuple([0] * len(axes))]
@@ -47,12 +67,12 @@ def neighbour_edges(vox: DataFrame, on: list[str], axes: list[str], key: str, fa
     return moved.join(vox.select(*on, *axes, key), [*on, *axes]).select(*on, F.least("_k", key).alias("src"), F.greatest("_k", key).alias("dst"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, root`` with root the least id reachable, by min-label spreading with pointer jumps."""
     shared_path(nodes.sparkSession, "")  # makes sure that there is a folder for checkpoints
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("root")).checkpoint()
-    for turn in range(rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels.select(F.col("id").alias("dst"), "root"), "dst").groupBy("src").agg(F.min("root").alias("_n"))
         new = labels.join(near, labels.id == near.src, "left").select("id", F.least("root", F.coalesce("_n", "root")).alias("root"), F.col("root").alias("_old"))
         jump = new.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
@@ -60,24 +80,24 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFra
         done = new.where("root <> _old").isEmpty()
         labels = new.drop("_old")
         if done:
-            break
-    return labels
+            return labels
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 500) -> DataFrame:
-    """``id, dist`` from the nearest source over ``src, dst, w``, relaxed a frontier at a time."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``id, dist`` from the nearest source over ``src, dst, w``, relaxed a frontier at a time; no w may be negative."""
+    if not edges.where("w < 0").isEmpty():
+        raise ValueError("a negative weight")
     shared_path(edges.sparkSession, "")
     both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).checkpoint()
     dist = sources.select("id", F.lit(0.0).alias("dist")).checkpoint()
     front = dist
-    for _ in range(rounds):
+    while True:  # distances only fall, so this ends
         step = front.join(both, front.id == both.src).groupBy("dst").agg(F.min(F.col("dist") + F.col("w")).alias("_d"))
         new = dist.join(step, dist.id == step.dst, "full_outer").select(F.coalesce("id", "dst").alias("id"), F.least("dist", "_d").alias("dist"), (F.col("dist").isNull() | (F.col("_d") < F.col("dist"))).alias("_better")).checkpoint()
         front = new.where("_better").select("id", "dist")
         dist = new.select("id", "dist")
         if front.isEmpty():
-            break
-    return dist
+            return dist
 
 
 def nearest_set_distance(vox: DataFrame, targets: DataFrame, axes: list[str], spacing: list[float], reach: int) -> DataFrame:

@@ -223,9 +223,54 @@ def src19_path_parsing(spark, d):
     return read(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size(F.split("url", "/")).cast("long").alias("parts"), F.lpad(F.col("page_id").cast("string"), 6, "0").alias("code"))
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def snk1_round_trip(spark, d):
-    return readers.round_trip(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), spark)
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    for kind in ("csv", "json", "orc"):
+        path = readers.shared_path(spark, kind)
+        rows.write.format(kind).option("compression", "none" if kind == "orc" else "gzip").save(path)
+        rows = spark.read.format(kind).schema(rows.schema).load(path)
+    return rows
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey AS region FROM nation")
+def src8_csv(spark, d):
+    path = readers.shared_path(spark, "csv")
+    read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path, header=True)
+    return readers.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int", {"region": ["area", "n_regionkey"]}).select("n_nationkey", "n_name", "region")
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events")
+def src10_trace_csv(spark, d):
+    path = readers.shared_path(spark, "trace")
+    read(spark, d, "events").select("event_id", "value").write.csv(path, header=True)
+    return readers.read_csv(spark, path, "event_id long, value double").select("event_id", (F.col("value") * 2).alias("twice"))
+
+
+@query("SELECT n_regionkey AS area, count(*) AS n, min(n_name) AS first FROM nation GROUP BY ALL")
+def src13_json_harvest(spark, d):
+    root = readers.shared_path(spark, "tree")
+    # One document a region, each an array of its nations.
+    doc = F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))
+    docs = read(spark, d, "nation").groupBy("n_regionkey").agg(doc.alias("value")).select("value", F.col("n_regionkey").alias("area"))
+    docs.repartition("area").write.partitionBy("area").text(f"{root}/now")
+    docs.repartition("area").write.partitionBy("area").text(f"{root}/old/before")
+    found = readers.read_json_tree(spark, root, "n_nationkey int, n_name string, n_regionkey int")
+    return found.groupBy(F.col("n_regionkey").alias("area")).agg(F.count("*").alias("n"), F.min("n_name").alias("first"))
+
+
+@query("SELECT n_nationkey, 'b' AS stamp FROM nation WHERE n_regionkey < 3")
+def snk2_versions(spark, d):
+    root, rows = readers.shared_path(spark, "versions"), read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    readers.write_version(rows, root, "a")
+    readers.write_version(rows.where("n_regionkey < 3"), root, "b")
+    return readers.latest_version(rows, root, "n_nationkey int, n_regionkey int").select("n_nationkey", "stamp")
+
+
+@query("SELECT o_custkey AS unit, count(*) AS frames, count(*) // 2 AS volumes FROM orders GROUP BY ALL HAVING count(*) >= 4 AND count(*) % 2 = 0")
+def src2_unit_lookup(spark, d):
+    units = readers.usable_units(read(spark, d, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.count("*").alias("frames")), "frames", 2, 4)
+    return readers.unit_or_fail(units, F.col("unit").isNotNull(), "frames", 2).select("unit", "frames", "volumes")
 
 
 @query("SELECT sub AS grp, round(avg(m), 6) AS mean_of_means, count(*) AS groups FROM (SELECT grp AS sub, sub AS s, avg(y) AS m FROM runs GROUP BY ALL) GROUP BY ALL")

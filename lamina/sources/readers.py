@@ -53,8 +53,15 @@ def read_json_tree(spark: SparkSession, path: str, schema: str, skip: str = r"/(
     return df if ignored is None else df.join(ignored, ignored.columns, "left_anti")
 
 
+def latest_version(df: DataFrame, root: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """Rows of the newest stamp under root; older versions stay as the archive.  ``df`` lends its session."""
+    every = df.sparkSession.read.format(kind).schema(schema).option("recursiveFileLookup", "true").load(root).withColumn("stamp", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1))
+    newest = every.agg(F.max("stamp").alias("stamp"))
+    return every.join(F.broadcast(newest), "stamp")
+
+
 def write_version(df: DataFrame, root: str, stamp: str, kind: str = "parquet") -> str:
-    """Write under root/stamp and never over an older version; the path is returned."""
+    """Write under root/stamp and never over an older version, which so stays archived; the path is returned."""
     path = f"{root.rstrip('/')}/{stamp}"
     getattr(df.write.mode("errorifexists"), kind)(path)
     return path
@@ -69,10 +76,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (tests, a laptop)
-    a folder of this machine is made and set.
+    and the master is local a folder of this machine is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lamina-')}")
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
