@@ -58,9 +58,10 @@ class LineRuns:
         Lines that are settled are left out by a merge anti-join; their count is known to
         suffice and no document of this batch can be their keeper.
         """
-        if self.settled is not None:
-            batch = batch.join(self.settled.hint("merge"), HASH, "left_anti")
+        # Summed first, so that a line of many documents is one row of the merge.
         run = batch.groupBy(*HASH).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+        if self.settled is not None:
+            run = run.join(self.settled.hint("merge"), HASH, "left_anti")
         self.levels[0].append(self._write(run))
         self._compact()
 
@@ -83,8 +84,8 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """Drop repeated lines except in the document of the largest doc_id that holds them.
 
-    Args: ``docs`` with ``doc_id`` and ``text``; other columns stay as they are.  ``batches``
-    doc_id ranges are taken in, largest first.
+    Args: ``docs`` with ``doc_id`` long and ``text``; other columns stay as they are.  ``batches``
+    doc_id ranges of like numbers of lines are taken in, largest ids first.
     Returns the columns of ``docs`` with the kept lines as ``kept_text`` and ``n_lines``,
     ``n_dropped`` longs added (of the same names in ``docs``, ours replace them).
 
@@ -100,15 +101,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         docs.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(long, _hashes))).alias("h")).select("doc_id", "h.*").distinct(),
         "lines",
     )
-    lo, hi = held.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if lo is None:
+    # Batches of like numbers of rows, whatever ids the documents have.
+    edges = held.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches + 1)], 10_000)).first()[0]
+    if edges is None:
         lines = lines_of(F.col("text"))
         return docs.select("*", F.coalesce("text", F.lit("")).alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     runs = LineRuns(spark, min_docs)
-    edges = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
+    edges = [-(1 << 63), *edges[1:-1], None]
     for a, b in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
-        if a < b:
-            runs.add(held.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+        if b is None or a < b:
+            runs.add(held.where((F.col("doc_id") >= a) & (F.lit(True) if b is None else F.col("doc_id") < b)))
     frequent = stage(runs.frequent(), "frequent")
 
     # Fewer than 1024 lines can each hold over a 1024th of all entries: these are broadcast,
