@@ -54,10 +54,10 @@ def _blocks(sorted_rows: DataFrame, dims: int) -> DataFrame:
             yield made([pack(rest)])
 
     def made(rows):
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["pid", "seq", "label", "reps", "copies", "vecs", "lo", "hi"])
 
-    return sorted_rows.mapInArrow(run, "pid int, seq long, label int, reps binary, copies binary, vecs binary, lo array<double>, hi array<double>")
+    return sorted_rows.mapInArrow(run, "pid int, seq long, label long, reps binary, copies binary, vecs binary, lo array<double>, hi array<double>")
 
 
 def _apart(eps: float):
@@ -118,25 +118,27 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     Returns ``vec_id, n_links, component_id, kept`` for every row: the other rows linked to it,
     the least vec_id that links reach, and whether it is that row.
 
-    Null labels, null, empty or zero vectors, those with null or non-finite components and
-    those of an uncommon width link with nothing.  Equal vectors are compared once and count
+    Null labels, null, empty or zero vectors and those with null or non-finite components
+    link with nothing.  Vectors of different widths don't link; each width is joined by itself,
+    the commonest along its principal directions, others along their first components.  Equal vectors are compared once and count
     as often as they occur; rows that repeat a vec_id count each.  A row with a null vec_id
     is kept, links with nothing and has a null component.  An empty table gives none.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").cast("int").alias("label"))
     fit = vectors.where(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     d = width(fit, "v")
-    fit = fit.where(F.size("v") == d)
     # -0.0 and 0.0 are equal as numbers but not as keys.
     v = F.transform("v", lambda x: x + F.lit(0.0)).cast("array<double>")
-    groups = stage(fit.groupBy("label", v.alias("v")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    # Blocks are of one label and one width: both make one number.
+    group = (F.col("label").cast("long") * (1 << 24) + F.size("v")).alias("label")
+    groups = stage(fit.groupBy(group, v.alias("v")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     dims = min(DIMS, d)
-    axes = basis(groups, "v", dims)
+    axes = basis(groups.where(F.size("v") == d), "v", dims)
     eps = float(np.sqrt(max(0.0, 2 - 2 * least)))
     if dims:
         unit = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         dot = lambda i: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axes[:, i]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / F.col("unit")
-        placed = groups.withColumn("unit", unit).select("*", F.array(*[dot(i) for i in range(dims)]).alias("p"))
+        placed = groups.withColumn("unit", unit).select("*", F.array(*[F.when(F.size("v") == d, dot(i)).otherwise(F.coalesce(F.get("v", F.lit(i)) / F.col("unit"), F.lit(0.0))) for i in range(dims)]).alias("p"))
         cells = [F.floor(F.get("p", F.lit(i)) / eps).alias(f"c{i}") for i in range(dims)]
         placed = placed.select("label", "v", "rep", "copies", "p", *cells)
         order = ["label", *[f"c{i}" for i in range(dims)], "rep"]
@@ -174,6 +176,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     degree = links.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("weight").alias("linked"))
     named = named.join(least_id, "root").join(degree, "rep", "left").select("label", F.col("v").alias("w"), "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     key = F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), v)
-    out = vectors.withColumn("w", key).join(named.hint("shuffle_hash"), ["label", "w"], "left")
+    out = vectors.withColumn("w", key).withColumn("label", F.when(F.col("label").isNotNull() & F.col("w").isNotNull(), group)).join(named.hint("shuffle_hash"), ["label", "w"], "left")
     alone = F.col("component_id").isNull()
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
