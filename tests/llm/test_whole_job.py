@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from lamina.llm import licenses, vector_search
+from lamina.llm import licenses, line_dedup, mixing, vector_dedup, vector_search
 
 
 def best(x, q, k, ids=None):
@@ -73,6 +73,84 @@ def test_windows_at_the_threshold_are_all_found(spark):
     assert got.count() == 2000 and got.where("containment < 0.8").count() == 0
 
 
+def test_vectors_of_a_rarer_width_link_too(spark):
+    rows = [(i, [1.0, i / 10, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 1) for i in range(9)] + [(20, [1.0, 0.0, 0.0], 1), (21, [2.0, 0.01, 0.0], 1), (22, [1.0, 0.0, 0.0], 2), (23, [5.0], 1), (24, [1.0], 1), (24, [1.0], 1)]
+    got = sorted(map(tuple, vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).where("vec_id >= 20").collect()))
+    assert got == [(20, 1, 20, True), (21, 1, 20, False), (22, 0, 22, True), (23, 2, 23, True), (24, 2, 23, False), (24, 2, 23, False)]
+
+
+def test_lines_with_an_outlying_id(spark):
+    line = "this is a line that many documents hold, long enough to count"
+    rows = [(i, f"{line}\nown {i}") for i in range(8)] + [(1 << 60, line), (-(1 << 60), line)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i != 1 << 60) for i, _ in rows}
+
+
+def test_mixing_deals_the_excess_again_as_a_loop(spark):
+    sizes = {"a": 10, "b": 500, "c": 40, "d": 3000, None: 7}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    weight = dict(zip([*sorted(k for k in sizes if k), None], [3, 1, 2, 3, 1], strict=True))
+    target, free, left = {}, set(sizes), 1.5 * sum(sizes.values())
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if unit * weight[s] >= 2 * sizes[s]}
+        target |= {s: 2.0 * sizes[s] for s in over} if over else {s: unit * weight[s] for s in free}
+        left -= sum(2 * sizes[s] for s in over)
+        free = free - over if over else set()
+    assert {r["source"]: r["target"] for r in mixing.source_targets(df).collect()} == pytest.approx(target)
+
+
+def test_license_windows_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    names = {k: licenses.NOTICES[k].lower().split() for k in ("mit-grant", "bsd-grant", "gpl-notice", "mit-line")}
+    rows = []
+    for i in range(300):
+        w = list(names[list(names)[i % 4]])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = f"edit{i}"
+        rows.append((i, " ".join([*(f"a{j}" for j in range(int(rng.integers(0, 70)))), *w, *(f"b{j}" for j in range(int(rng.integers(0, 30))))])))
+    grams = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    want = {(i, k) for i, t in rows for k, w in names.items() if len(grams(w) & grams(t.split())) >= 0.8 * len(grams(w))}
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {k: licenses.NOTICES[k] for k in names}).collect()}
+    assert got <= want and len(want - got) <= 1  # bands miss one window of a thousand at most
+
+
+def test_pipeline_against_its_stages(spark):
+    """run() on the smallest tables: each stage's rows against what brute force keeps of its predecessor's."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from lamina.llm import bpe
+    from lamina.llm.shared import stage
+
+    d = "/root/testdata/sf0.001"
+    docs, rows = spark.read.parquet(f"{d}/documents.parquet"), []
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, d), "test-stage")
+        rows.append({"columns": docs.columns, "rows": docs.collect()})
+    toxic, lines, near, mixed = (x["rows"] for x in rows)
+    assert all(x["columns"] == spark.read.parquet(f"{d}/documents.parquet").columns for x in rows)
+    assert sorted(r["doc_id"] for r in toxic) == sorted(r["doc_id"] for r in lines)
+    sets = {}
+    for r in lines:
+        w = "".join(c.lower() if c.isascii() else c for c in r["text"] or "").split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for _ in range(6):
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert sorted(r["doc_id"] for r in near) == sorted(i for i in sets if root[i] == i)
+    kept = {r["doc_id"]: r["text"] for r in near}
+    assert all(kept[r["doc_id"]] == r["text"] for r in mixed) and len(mixed) <= 2 * len(near)
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = sorted((r["doc_id"], len(ids), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in mixed for ids in [enc.encode_ordinary(r["text"] or "")])
+    assert sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, d).collect()) == want
+
+
 def test_pipeline_keeps_null_ids_and_one_row_of_a_group(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, text), (1, text), (2, text), (3, "other words that stand alone in this small table"), (None, "no name but words of its own to keep"), (None, text)]
