@@ -60,8 +60,8 @@ STAGES = [
     ("byte-level BPE", encode_bytes),
 ]
 
-#: Regression, Newton steps and BPE merges have no SQL form.  Tests hold single stages
-#: against brute force; none checks the rows of run().
+#: Regression, Newton steps and BPE merges have no SQL form.  Tests hold the stages and the rows of
+#: run() against brute force on the smallest tables.
 ORACLE_SQL = None
 
 
