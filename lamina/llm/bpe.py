@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from lamina.llm.shared import packed, partitions, stage, unpacked
+from lamina.llm.shared import discard, fresh_path, packed, partitions, stage, stage_at, unpacked
 
 SLOTS = 1 << 16
 #: Bytes from which a piece without a cut is merged by a heap.
@@ -37,6 +37,8 @@ LONG = 256
 CHUNK_BYTES = 32 << 20
 #: Encoded words that one task packs for their chunks at a time.
 PACK = 1 << 20
+#: Words that are sent to all tasks with their ids, those of most chunks, and bytes of the longest such word.
+FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 #: White space of the pattern language that vocabularies are made with, for Java.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -216,22 +218,42 @@ class Bpe:
 
         return _let(latin(word), lambda b: _let(rank(b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(b))))
 
-    def _word_table(self, words: DataFrame) -> DataFrame:
-        """``word, ids`` of the distinct words, each encoded once."""
-        distinct = words.select("word").repartition(partitions(self.spark), "word").distinct()
+    def _word_table(self, words: DataFrame, path: str) -> DataFrame:
+        """``word, chunks, ids`` of the distinct words, each encoded once, and how many chunks hold it."""
+        distinct = words.select("word").repartition(partitions(self.spark), "word").groupBy("word").agg(F.count("*").alias("chunks"))
         rank, name = self.rank_of()
         ranks = self.spark.sparkContext.broadcast(self.ranks)
 
         def run(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merged(w, ranks.value) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([merged(w, ranks.value) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "chunks", "ids"])
 
-        short = distinct.where(F.octet_length("word") <= LONG).select("word", self.word_ids(F.col("word"), rank).alias("ids"))
-        long = distinct.where(F.octet_length("word") > LONG).mapInArrow(run, "word binary, ids array<int>")
-        out = stage(short.unionByName(long), "words")
+        short = distinct.where(F.octet_length("word") <= LONG).select("word", "chunks", self.word_ids(F.col("word"), rank).alias("ids"))
+        long = distinct.where(F.octet_length("word") > LONG).mapInArrow(run, "word binary, chunks long, ids array<int>")
+        out = stage_at(short.unionByName(long), path)
         self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
         return out
 
+    @staticmethod
+    def _with_ids(words: DataFrame, known: DataFrame) -> DataFrame:
+        """``chunk, slot, ids`` of the words of all chunks.
+
+        At most FREQUENT words, those of most chunks, are broadcast, so that their many rows stay
+        where they are; all others are joined by a shuffle.
+        """
+        bin_of, small = F.floor(8 * F.log2("chunks")), F.octet_length("word") <= FREQUENT_BYTES
+        # One row for each eighth of a power of two.
+        bins = sorted(known.where(small).groupBy(bin_of.alias("bin")).count().collect(), reverse=True)
+        least, total = 1 << 16, 0
+        for b, n in bins:
+            total += n
+            if total > FREQUENT:
+                break
+            least = b
+        frequent = F.broadcast(known.where(small & (bin_of >= least)).select("word", "ids"))
+        rest = words.join(frequent.select("word"), "word", "left_anti").join(known.where(~(small & (bin_of >= least))), "word")
+        return words.join(frequent, "word").select("chunk", "slot", "ids").unionByName(rest.select("chunk", "slot", "ids"))
+
     def encode(self, docs: DataFrame) -> DataFrame:
         """The ids of each whole ``text``, words split by the pattern.
 
@@ -259,11 +281,13 @@ class Bpe:
 
         names = ["chunk", "rows", "sizes", "n", "numbers", "slot", "word"]
         kind = row.schema["row"].dataType
-        coded = stage(row.mapInArrow(number, StructType([
+        path, known_path = fresh_path(self.spark, "coded"), fresh_path(self.spark, "words")
+        coded = row.mapInArrow(number, StructType([
             StructField("chunk", LongType()), StructField("rows", ArrayType(kind)), StructField("sizes", BinaryType()), StructField("n", LongType()), StructField("numbers", BinaryType()), StructField("slot", IntegerType()), StructField("word", BinaryType()),
-        ])), "coded", CHUNK_BYTES)
-        words = coded.where("word is not null").select("chunk", "slot", "word")
-        known = self._word_table(words)
+        ])).withColumn("part", F.when(F.col("word").isNull(), "texts").otherwise("words"))
+        coded = stage_at(coded, path, CHUNK_BYTES, ("part",))
+        words = coded.where("part = 'words'").select("chunk", "slot", "word")
+        known = self._word_table(words, known_path)
 
         def pack(batches):
             held, size = [], 0
@@ -291,8 +315,11 @@ class Bpe:
             if held:
                 yield from out()
 
-        found = words.join(known, "word").select(F.col("chunk").alias("of"), "slot", "ids").mapInArrow(pack, "of long, n array<long>, slots binary, many binary, ids binary")
+        found = self._with_ids(words, known).withColumnRenamed("chunk", "of").mapInArrow(pack, "of long, n array<long>, slots binary, many binary, ids binary")
         found = stage(found, "found")
+        # The texts and the packed ids are all that is read from here on.
+        discard(self.spark, f"{path}/part=words")
+        discard(self.spark, known_path)
 
         def take(texts: pa.Table, parts: pa.Table) -> pa.Table:
             slots, many, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
@@ -313,7 +340,7 @@ class Bpe:
             return pa.table([rows, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out)), _binary(out.astype("<u4").view(np.uint8), 4 * bounds)], ["row", "ids", "packed"])
 
         kinds = StructType([StructField("row", coded.schema["rows"].dataType.elementType), *StructType.fromDDL("ids array<int>, packed binary").fields])
-        texts = coded.where("word is null").select("chunk", "rows", "sizes", "n", "numbers")
+        texts = coded.where("part = 'texts'").select("chunk", "rows", "sizes", "n", "numbers")
         return texts.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(take, kinds).select("row.*", "ids", "packed").drop("_")
 
     def decode(self, ids: Column) -> Column:

@@ -18,6 +18,8 @@ TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of one Arrow batch that a task gets, so that many long texts don't come at once.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 16 << 20
+#: Output folders that a task writes side by side, so that rows needn't be sorted by folder.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,21 +51,31 @@ def stage(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame
     This cuts the lineage: a lost executor costs the tasks that ran on it, not the plan
     behind the table.  Tasks get Arrow batches of about ``batch_bytes``.
     """
+    return stage_at(df, fresh_path(df.sparkSession, name), batch_bytes)
+
+
+def stage_at(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
+    """``stage`` at a given path, with a folder for each of the few values of the columns ``by``."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
     # Nothing reads this query's shuffle files after the write, so they need not stay on disk.
-    own = {TIDY: "true", BATCH: str(batch_bytes)}
+    own = {TIDY: "true", BATCH: str(batch_bytes), WRITERS: "4"}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def packed(x: np.ndarray) -> bytes:
     """The bytes of an array of one dimension, those of equal weight together, compressed."""
     return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
