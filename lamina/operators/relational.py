@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.readers import staged
+
 
 def fingerprint_match(units: DataFrame, runs: DataFrame) -> DataFrame:
     """Pair ``units(session, unit, key, hint)`` with ``runs(session, run, key, number)`` by key.
@@ -15,19 +17,20 @@ def fingerprint_match(units: DataFrame, runs: DataFrame) -> DataFrame:
     """
     k = ["session", "key"]
     count = lambda df, c: df.withColumn(f"n_{c}", F.count("*").over(Window.partitionBy(*k)))
-    u, r = count(units, "u"), count(runs, "r")
+    # Many joins read both sides, so each is computed once.
+    u, r = staged(count(units, "u"), "units"), staged(count(runs, "r"), "runs")
     both = u.join(r, k)
     exact = both.where("n_u = 1 and n_r = 1").select("session", "unit", "run", F.lit("fingerprint_exact").alias("confidence"))
     # One unit and one run a hint, the first of each, so pairs are one to one.
     hinted = both.where("(n_u > 1 or n_r > 1) and hint = number")
     hinted = hinted.groupBy(*k, "hint").agg(F.min("unit").alias("unit"), F.min("run").alias("run")).select("session", "unit", "run", F.lit("fingerprint+comment_run").alias("confidence"))
-    done = exact.unionByName(hinted)
+    done = staged(exact.unionByName(hinted), "matched")
     left_u = u.join(done.select("session", "unit"), ["session", "unit"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy(*k).orderBy("unit")))
     left_r = r.join(done.select("session", "run"), ["session", "run"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy(*k).orderBy("run")))
     ordered = left_u.join(left_r, [*k, "i"]).select("session", "unit", "run", F.lit("fingerprint+order").alias("confidence"))
-    done = done.unionByName(ordered)
-    rest_u = units.join(done.select("session", "unit"), ["session", "unit"], "left_anti").select("session", "unit", F.lit(None).cast(runs.schema["run"].dataType).alias("run"), F.lit("no_run").alias("confidence"))
-    rest_r = runs.join(done.select("session", "run"), ["session", "run"], "left_anti").select("session", F.lit(None).cast(units.schema["unit"].dataType).alias("unit"), "run", F.lit("no_unit").alias("confidence"))
+    done = staged(done.unionByName(ordered), "matched")
+    rest_u = u.join(done.select("session", "unit"), ["session", "unit"], "left_anti").select("session", "unit", F.lit(None).cast(runs.schema["run"].dataType).alias("run"), F.lit("no_run").alias("confidence"))
+    rest_r = r.join(done.select("session", "run"), ["session", "run"], "left_anti").select("session", F.lit(None).cast(units.schema["unit"].dataType).alias("unit"), "run", F.lit("no_unit").alias("confidence"))
     return done.unionByName(rest_u).unionByName(rest_r)
 
 

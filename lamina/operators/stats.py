@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.ranking import place
 from lamina.operators.relational import band_join
 from lamina.operators.series import add_group, average_rank
 
@@ -41,16 +41,42 @@ def signed_rank(df: DataFrame, on: list[str], d: str) -> DataFrame:
 
 
 def signed_rank_z(df: DataFrame, on: list[str], d: str) -> DataFrame:
-    """``n, w, z``: the signed-rank sum in standard units, ties counted; partial sums only, for large groups."""
+    """``n, w, z`` and the one-sided normal ``p``: the signed-rank sum in standard units, ties counted;
+    partial sums only, for large groups."""
     x = df.where(F.col(d) != 0).withColumn("_a", F.abs(d))
     x = x.withColumn("_r", average_rank("_a", on))
     g = x.groupBy(*on).agg(F.count("*").alias("n"), F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.sum("_r").alias("_all"), F.sum(F.col("_r") ** 2).alias("_sq"))
-    return g.select(*on, "n", "w", ((F.col("w") - F.col("_all") / 2) / F.sqrt(F.col("_sq") / 4)).alias("z"))
+    return g.select(*on, "n", "w", ((F.col("w") - F.col("_all") / 2) / F.sqrt(F.col("_sq") / 4)).alias("z")).withColumn("p", normal_above(F.col("z")))
+
+
+def normal_above(z: Column) -> Column:
+    """P(Z > z) of a standard normal by its series, to about 1e-15 absolute; beyond 8.3 it is 0 or 1 to that."""
+    z = F.greatest(F.lit(-8.3), F.least(F.lit(8.3), z))
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    step = lambda a, k: F.struct((a["term"] * z * z / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * z * z / (2 * k + 1)).alias("sum"))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 - F.exp(-z * z / 2) / float(np.sqrt(2 * np.pi)) * F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda a: a["sum"])))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n rows by Student's t with n - 2 degrees of freedom; null for n < 3.
+
+    With sin = |r| the chance within is a finite sum of n / 2 terms, in powers of cos.
+    """
+    s, c2, odd = F.abs(r), 1 - r * r, n % 2 == 1
+    terms = F.floor(F.when(odd, (n - 3) / 2).otherwise((n - 2) / 2)).cast("int")
+    more = F.when(terms >= 2, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>"))
+    grow = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k)) * c2
+    step = lambda a, k: F.struct((a["term"] * grow(k)).alias("term"), (a["sum"] + a["term"] * grow(k)).alias("sum"))
+    total = F.when(terms >= 1, F.aggregate(more, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step, lambda a: a["sum"])).otherwise(0.0)
+    within = F.when(odd, (F.asin(s) + s * F.sqrt(c2) * total) * (2 / np.pi)).otherwise(s * total)
+    return F.when(n >= 3, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - within)))
 
 
 def spearman(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
+    """``n, rho`` and its two-sided ``p`` of the average ranks of rows that have both values."""
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, on)).withColumn("_y", average_rank(y, on))
-    return r.groupBy(*on).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("rho"))
+    g = r.groupBy(*on).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("rho"))
+    return g.withColumn("p", correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "rho")), F.col("n")))
 
 
 def partial_spearman(df: DataFrame, on: list[str], x: str, y: str, z: str) -> DataFrame:
@@ -124,13 +150,17 @@ def shift_null(src: DataFrame, ref: DataFrame, on: list[str], t: str, period: in
 
 def cluster_bootstrap(df: DataFrame, group: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """Two-stage bootstrap of the mean of group means: groups, then rows in them, are drawn by
-    hashes of (seed, draw, position), so any cluster gives the same draws: ``mean, lo, hi``."""
-    members = df.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)
+    hashes of (seed, draw, position), so any cluster gives the same draws: ``mean, lo, hi``.
+
+    A group's rows meet the list of the draws that took it, about ``draws`` long, in one row."""
+    members = place(df.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v")), group, name="g").withColumn("g", (F.col("g") - 1).cast("int"))
     n = members.count()
     b = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.lit(max(n, 1))).cast("int"))
     m = F.size("v")
-    pick = F.transform(F.sequence(F.lit(1), m), lambda i: F.get(F.col("v"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw"), F.col("slot"), i), m).cast("int")))
-    one = b.join(members, "g").withColumn("m", F.aggregate(pick, F.lit(0.0), lambda a, x: a + x) / m)
+    pick = lambda s: F.transform(F.sequence(F.lit(1), m), lambda i: F.get(F.col("v"), F.pmod(F.xxhash64(F.lit(seed + 1), s["draw"], s["slot"], i), m).cast("int")))
+    took = b.groupBy("g").agg(F.collect_list(F.struct("draw", "slot")).alias("took"))
+    mean = lambda s: F.struct(s["draw"].alias("draw"), (F.aggregate(pick(s), F.lit(0.0), lambda a, x: a + x) / m).alias("m"))
+    one = members.join(took, "g").select(F.inline(F.transform("took", mean)))
     return one.groupBy("draw").agg(F.avg("m").alias("m")).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
@@ -173,35 +203,25 @@ def mad_outliers(df: DataFrame, on: list[str], value: str, factor: float = 4.0)
 
 
 def random_intercept(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """y ~ x + (1 | group) by profile likelihood over the variance ratio, on group sums only.
+    """y ~ x + (1 | group) by profile likelihood over a grid of variance ratios.
 
-    Sums by group are what a group sends; one row a group is brought together for the fit.
+    A group counts by its sums, and each ratio by sums over groups, so one row a ratio is left.
     Returns ``slope, intercept, ratio, loglik`` and the likelihood ratio to slope 0, ``lr``.
     """
     s = df.groupBy(group).agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(y) * F.col(y)).alias("yy"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sx, sy, xx, xy, yy = (pdf[c].to_numpy(float) for c in ("n", "sx", "sy", "xx", "xy", "yy"))
-        total = n.sum()
-
-        def best(slope: bool):
-            top = (-np.inf, 0.0, 0.0, 0.0)
-            for ratio in np.r_[0, np.logspace(-4, 3, 141)]:
-                k = ratio / (1 + n * ratio)  # inverse of I + ratio 11' is I - k 11'
-                a = np.array([[n - k * n * n, sx - k * n * sx], [sx - k * n * sx, xx - k * sx * sx]]).sum(2)
-                b = np.array([sy - k * n * sy, xy - k * sx * sy]).sum(1)
-                q = (yy - k * sy * sy).sum()
-                beta = np.linalg.solve(a, b) if slope else np.array([b[0] / a[0, 0], 0.0])
-                rss = q - 2 * beta @ b + beta @ a @ beta
-                ll = -0.5 * (total * np.log(2 * np.pi * rss / total) + total + np.log1p(n * ratio).sum())
-                if ll > top[0]:
-                    top = (ll, beta[1], beta[0], ratio)
-            return top
-
-        full, null = best(True), best(False)
-        return pd.DataFrame([{"slope": full[1], "intercept": full[2], "ratio": full[3], "loglik": full[0], "lr": max(0.0, 2 * (full[0] - null[0]))}])
-
-    return s.groupBy(F.lit(1).alias("one")).applyInPandas(fit, "slope double, intercept double, ratio double, loglik double, lr double")
+    # The inverse of I + ratio 11' is I - k 11'.
+    s = s.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in np.r_[0, np.logspace(-4, 3, 141)]]))).withColumn("k", F.col("ratio") / (1 + F.col("n") * F.col("ratio")))
+    of = lambda full, a, b: F.sum(F.col(full) - F.col("k") * F.col(a) * F.col(b))
+    g = s.groupBy("ratio").agg(
+        of("n", "n", "n").alias("a"), of("sx", "n", "sx").alias("b"), of("xx", "sx", "sx").alias("c"), of("sy", "n", "sy").alias("u"), of("xy", "sx", "sy").alias("v"), of("yy", "sy", "sy").alias("q"),
+        F.sum("n").alias("total"), F.sum(F.log1p(F.col("n") * F.col("ratio"))).alias("logdet"),
+    )
+    det = F.col("a") * F.col("c") - F.col("b") ** 2
+    g = g.withColumn("slope", (F.col("a") * F.col("v") - F.col("b") * F.col("u")) / F.nullif(det, F.lit(0.0))).withColumn("intercept", (F.col("u") - F.col("b") * F.col("slope")) / F.col("a"))
+    likely = lambda rss: -0.5 * (F.col("total") * F.log(2 * np.pi * rss / F.col("total")) + F.col("total") + F.col("logdet"))
+    g = g.withColumn("full", likely(F.col("q") - F.col("intercept") * F.col("u") - F.col("slope") * F.col("v"))).withColumn("null", likely(F.col("q") - F.col("u") ** 2 / F.col("a")))
+    best = F.max_by(F.struct("slope", "intercept", "ratio"), F.struct("full", -F.col("ratio"))).alias("best")
+    return g.agg(best, F.max("full").alias("loglik"), F.max("null").alias("null")).select("best.*", "loglik", F.greatest(F.lit(0.0), 2 * (F.col("loglik") - F.col("null"))).alias("lr"))
 
 
 def subsets(df: DataFrame, predicates: dict[str, Column], aggs: list[Column]) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.ranking import place
 from lamina.sources.readers import shared_path
 
 
@@ -130,8 +131,9 @@ def overlay(layers: DataFrame, key: list[str], order: str, label: str) -> DataFr
 
 
 def relabel(df: DataFrame, label: str, part: list[str]) -> DataFrame:
-    """Labels renumbered from 1 without gaps; 0 stays background."""
-    lab = df.where(F.col(label) > 0).select(*part, label).distinct().withColumn("new_label", F.row_number().over(Window.partitionBy(*part).orderBy(label)))
+    """Labels renumbered from 1 without gaps, inside each ``part`` or over the whole table; 0 stays background."""
+    lab = df.where(F.col(label) > 0).select(*part, label).distinct()
+    lab = lab.withColumn("new_label", F.row_number().over(Window.partitionBy(*part).orderBy(label))) if part else place(lab, label, name="new_label")
     return df.join(lab, [*part, label], "left").withColumn("new_label", F.coalesce("new_label", F.lit(0)))
 
 

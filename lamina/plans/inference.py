@@ -34,9 +34,14 @@ def st2_signed_rank(spark, d):
     return stats.signed_rank(m, ["grp"], "d").select("grp", "n", "w", *r6("p_greater", "p_two"))
 
 
-@query(f"SELECT grp, count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT grp, {_rank('x', 'grp')} AS a, {_rank('y', 'grp')} AS b FROM runs) GROUP BY grp")
+@query(f"""
+WITH c AS (SELECT grp, count(*) AS n, corr(a, b) AS rho FROM (SELECT grp, {_rank('x', 'grp')} AS a, {_rank('y', 'grp')} AS b FROM runs) GROUP BY grp)
+, m AS (SELECT *, n % 2 = 1 AS odd, 1 - rho * rho AS c2, CAST(floor((CASE WHEN n % 2 = 1 THEN n - 3 ELSE n - 2 END) / 2) AS INT) AS m FROM c)
+, s AS (SELECT *, coalesce(list_sum(list_transform(range(0, m), lambda k: CASE WHEN odd THEN exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(c2, k + 0.5) ELSE exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) * pow(c2, k) END)), 0) AS s FROM m)
+SELECT grp, n, round(rho, 6) AS rho, CASE WHEN n >= 3 THEN round(greatest(0.0, 1 - CASE WHEN odd THEN 2 / pi() * (asin(abs(rho)) + abs(rho) * s) ELSE abs(rho) * s END), 6) END AS p FROM s
+""")
 def st4_spearman(spark, d):
-    return stats.spearman(runs(spark, d), ["grp"], "x", "y").select("grp", "n", F.round("rho", 6).alias("rho"))
+    return stats.spearman(runs(spark, d), ["grp"], "x", "y").select("grp", "n", *r6("rho", "p"))
 
 
 @query(f"""
@@ -117,9 +122,18 @@ def st13_fisher(spark, d):
     return stats.fisher_combined(p, ["sub"], "p").select("sub", "k", *r6("chi2", "p"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT sub, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM (SELECT sub, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM runs) GROUP BY sub)
+, k AS (SELECT CAST(0 AS DOUBLE) AS ratio UNION ALL SELECT pow(10, -4 + 7 * i / 140.0) FROM (SELECT unnest(range(141)) AS i))
+, a AS (SELECT ratio, sum(n - k * n * n) AS a, sum(sx - k * n * sx) AS b, sum(xx - k * sx * sx) AS c, sum(sy - k * n * sy) AS u, sum(xy - k * sx * sy) AS v, sum(yy - k * sy * sy) AS q, sum(n) AS total, sum(ln(1 + n * ratio)) AS logdet
+    FROM (SELECT *, ratio / (1 + n * ratio) AS k FROM s, k) GROUP BY ratio)
+, f AS (SELECT *, (a * v - b * u) / (a * c - b * b) AS slope, (c * u - b * v) / (a * c - b * b) AS intercept FROM a)
+, l AS (SELECT *, -0.5 * (total * ln(2 * pi() * (q - intercept * u - slope * v) / total) + total + logdet) AS ll, -0.5 * (total * ln(2 * pi() * (q - u * u / a) / total) + total + logdet) AS l0 FROM f)
+SELECT round(arg_max(slope, ll), 6) AS slope, round(arg_max(intercept, ll), 4) AS intercept, round(arg_max(ratio, ll), 6) AS ratio, round(max(ll), 4) AS loglik, round(greatest(0.0, 2 * (max(ll) - max(l0))), 4) AS lr FROM l
+""")
 def st14_random_intercept(spark, d):
-    return stats.random_intercept(runs(spark, d), "sub", "x", "y")
+    out = stats.random_intercept(runs(spark, d), "sub", "x", "y")
+    return out.select(*r6("slope", "ratio"), *[F.round(c, 4).alias(c) for c in ("intercept", "loglik", "lr")])
 
 
 @query("""

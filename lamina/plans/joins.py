@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.operators import relational as rel
+from lamina.operators.ranking import place
 from lamina.plans.fixtures import panel, points, query, r6, read
 
 
@@ -86,9 +86,9 @@ WITH k AS (SELECT c_custkey AS run, row_number() OVER (ORDER BY c_acctbal DESC,
 SELECT run, place, n, 'ranked' AS kind FROM k LEFT JOIN m USING (run) UNION ALL SELECT s_suppkey, (SELECT max(place) FROM k) + row_number() OVER (ORDER BY s_suppkey), NULL, 'imaging_only' FROM supplier
 """)
 def join6_rank_append(spark, d):
-    k = read(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
+    k = place(read(spark, d, "customer").select(F.col("c_custkey").alias("run"), "c_acctbal"), F.desc("c_acctbal"), "run").drop("c_acctbal")
     m = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("n"))
-    extra = read(spark, d, "supplier").select(F.col("s_suppkey").alias("run"), F.row_number().over(Window.orderBy("s_suppkey")).alias("i")).join(F.broadcast(k.agg(F.max("place").alias("top"))))
+    extra = place(read(spark, d, "supplier").select(F.col("s_suppkey").alias("run")), "run", name="i").join(F.broadcast(k.agg(F.max("place").alias("top"))))
     extra = extra.select("run", (F.col("top") + F.col("i")).alias("place"), F.lit("imaging_only").alias("kind"))
     return k.join(m, "run", "left").withColumn("kind", F.lit("ranked")).unionByName(extra, allowMissingColumns=True)
 

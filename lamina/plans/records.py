@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions import columns as fc
 from lamina.operators import relational as rel
 from lamina.operators import series, stats
+from lamina.operators.ranking import place
 from lamina.plans.fixtures import panel, query, r6, read, runs
 from lamina.sources import readers
 
@@ -69,7 +70,7 @@ def prj5_record_score(spark, d):
     s = F.when(F.col("quality") == 1, 2.0).otherwise(0.0) + F.when(F.col("n_chars") >= 3000, 1.0).when(F.col("n_chars") >= 1000, 0.5).otherwise(0.0)
     x = x.select("doc_id", s.alias("score"), (F.coalesce("toxic", F.lit(0)) == 1).alias("marked"))
     p = F.when(F.col("marked"), "P5").when(F.col("score") >= 4, "P1").when(F.col("score") >= 2.5, "P2").when(F.col("score") >= 1, "P3").otherwise("P4")
-    return x.select("doc_id", "score", p.alias("priority"), F.row_number().over(Window.orderBy("marked", F.desc("score"), "doc_id")).alias("place"))
+    return place(x.withColumn("priority", p), "marked", F.desc("score"), "doc_id").drop("marked")
 
 
 @query("SELECT user_id, " + "(['" + "','".join(fc.STAGES) + "'])[1 + greatest(0, CASE WHEN bool_or(event_type = 'view') THEN 1 ELSE 0 END, CASE WHEN bool_or(event_type = 'click') THEN 2 ELSE 0 END, CASE WHEN bool_or(event_type = 'signup') THEN 3 ELSE 0 END, CASE WHEN bool_or(value > 485) THEN 4 ELSE 0 END)] AS stage FROM events GROUP BY user_id")
@@ -122,7 +123,8 @@ SELECT s_suppkey, n AS name, row_number() OVER (ORDER BY g, CASE WHEN g = 1 THEN
 """)
 def prj15_anatomical_order(spark, d):
     name = F.concat(F.get(F.array(*[F.lit(x) for x in ("Branch", "trunk", "soma", "dendrite", "nexus", "branch-far")]), (F.col("s_suppkey") % 6).cast("int")), F.col("s_suppkey").cast("string"))
-    return read(spark, d, "supplier").select("s_suppkey", F.lower(name).alias("name"), F.row_number().over(Window.orderBy(fc.anatomy_key(name))).alias("place"))
+    x = read(spark, d, "supplier").select("s_suppkey", F.lower(name).alias("name"), fc.anatomy_key(name).alias("key"))
+    return place(x, "key").drop("key")
 
 
 @query("SELECT o_orderkey, CASE WHEN p <= 1.0 / 501 + 1e-15 THEN '< 1/501' ELSE printf('%.3e', p) END AS txt FROM (SELECT o_orderkey, (o_orderkey % 1000) / 1000.0 AS p FROM orders)")
@@ -351,8 +353,8 @@ def win11_group_size(spark, d):
 @query("SELECT doc_id, row_number() OVER (ORDER BY toxic NULLS LAST, quality DESC NULLS LAST, n_chars DESC, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
 def srt1_multi_key(spark, d):
     x = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
-    w = Window.orderBy(F.asc_nulls_last("toxic"), F.desc_nulls_last("quality"), F.desc("n_chars"), "doc_id")
-    return x.select("doc_id", F.row_number().over(w).alias("place"))
+    x = x.select("doc_id", "toxic", "quality", "n_chars")
+    return place(x, F.asc_nulls_last("toxic"), F.desc_nulls_last("quality"), F.desc("n_chars"), "doc_id").select("doc_id", "place")
 
 
 @query("SELECT user_id, arg_max(event_id, struct_pack(v := value, e := -event_id)) AS best FROM events GROUP BY user_id")

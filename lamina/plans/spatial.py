@@ -123,8 +123,8 @@ def vol9_path(spark, d):
 
 @query("SELECT vec_id, label, dense_rank() OVER (ORDER BY label) AS new_label FROM embeddings WHERE label > 2 UNION ALL SELECT vec_id, label, 0 FROM embeddings WHERE label <= 2")
 def x20_relabel(spark, d):
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.when(F.col("label") > 2, F.col("label")).otherwise(0).alias("kept"), F.lit(1).alias("part"))
-    return vol.relabel(e, "kept", ["part"]).select("vec_id", "label", F.col("new_label").cast("long").alias("new_label"))
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.when(F.col("label") > 2, F.col("label")).otherwise(0).alias("kept"))
+    return vol.relabel(e, "kept", []).select("vec_id", "label", F.col("new_label").cast("long").alias("new_label"))
 
 
 @query("WITH l AS (SELECT frame, y, x, 1 AS ord, 5 AS label FROM mask UNION ALL SELECT frame, y, x, 2, 9 FROM mask WHERE x < 4) SELECT frame, y, x, arg_max(label, ord) AS label FROM l GROUP BY ALL")

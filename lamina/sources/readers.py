@@ -72,6 +72,13 @@ def round_trip(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("j")).select(F.from_json("j", df.schema).alias("r")).select("r.*")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, for plans that read it more than once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
