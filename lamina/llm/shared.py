@@ -57,17 +57,22 @@ def stage(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame
 def stage_at(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
     """``stage`` at a given path, with a folder for each of the few values of the columns ``by``."""
     spark = df.sparkSession
-    # Nothing reads this query's shuffle files after the write, so they need not stay on disk.
+    write_tidily(df, path, batch_bytes, by)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_tidily(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+    """Write a frame as Parquet; its shuffle files, which nothing reads afterwards, don't stay on disk."""
+    spark = df.sparkSession
     own = {TIDY: "true", BATCH: str(batch_bytes), WRITERS: "4"}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        df.write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

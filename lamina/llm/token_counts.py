@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import stage
+from lamina.llm.shared import stage, write_tidily
 
 SCHEMA = "digest binary, version string, n_tokens long"
 BATCH_BYTES = 4_000_000
+#: At most so many digests of misses are sent to all tasks.
+FEW = 1 << 16
 
 
 def content(text: Column) -> Column:
@@ -55,12 +57,13 @@ def _encode(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, n_tokens long")
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024, batches: int = 1) -> DataFrame:
     """Tokens of every whole text, encoding only contents that the cache lacks.
 
     Args: ``docs`` with ``doc_id`` and ``text``; other columns are ignored.  ``tokenizer_path``: a
     ``tokenizers`` JSON file that executors can open; ``cache_path``: a Parquet folder that all
-    can reach, made if it doesn't exist and appended to.
+    can reach, made if it doesn't exist and appended to.  ``batches``: rows go through the cache in
+    so many turns, dealt by a hash of doc_id, so that later ones find the contents of earlier ones.
     Returns ``doc_id, n_bytes, n_tokens`` longs and ``over_limit`` (more than ``limit`` tokens).
 
     Null and empty texts have 0 bytes and the tokens of an empty text.  Null and repeated doc_ids
@@ -68,15 +71,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     """
     spark = docs.sparkSession
     version = version_of(tokenizer_path)
-    text = content(F.col("text"))
+    text, turn = content(F.col("text")), F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
     spark.createDataFrame([], SCHEMA).write.mode("append").parquet(cache_path)
     stored = lambda: spark.read.schema(SCHEMA).parquet(cache_path).where(F.col("version") == version)
-    digests = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("content"))
-    if not stored().isEmpty():
-        texts = texts.join(stored().select("digest").distinct(), "digest", "left_anti")
-    misses = texts.groupBy("digest").agg(F.any_value("content").alias("content"))
-    _encode(misses, tokenizer_path).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
+    digests = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest, turn.alias("turn")), "digests")
+    for i in range(batches):
+        # Misses are decided on digests; texts move afterwards.
+        misses = stage(digests.where(F.col("turn") == i).select("digest").distinct().join(stored().select("digest"), "digest", "left_anti"), "misses")
+        texts = docs.where(turn == i).select(digest, text.alias("content"))
+        once = lambda x: x.groupBy("digest").agg(F.any_value("content").alias("content"))
+        # Few misses go to all tasks, and no other text moves.  With many, copies meet first in each task.
+        new = once(texts.join(F.broadcast(misses), "digest", "left_semi")) if misses.count() <= FEW else once(texts).join(misses, "digest", "left_semi")
+        write_tidily(_encode(new, tokenizer_path).select("digest", F.lit(version).alias("version"), "n_tokens"), cache_path, mode="append")
     # Two writers may have stored one digest; they stored the same count.
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return digests.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

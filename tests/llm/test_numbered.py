@@ -146,6 +146,17 @@ def test_token_counts_use_the_cache(docs, tmp_path):
     assert docs.sparkSession.read.parquet(cache).count() == len({t or "" for _, t in TEXTS})
 
 
+@pytest.mark.parametrize("few", [-1, 1 << 16])
+def test_token_counts_of_later_batches_hit_those_of_earlier_ones(docs, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(token_counts, "FEW", few)
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    many = docs.crossJoin(docs.sparkSession.range(4).select(F.col("id").alias("copy"))).select((F.col("doc_id") * 4 + F.col("copy")).alias("doc_id"), "text")
+    ask = lambda **x: sorted(map(tuple, token_counts.count_tokens(many, path, x.pop("at"), **x).select(F.coalesce("doc_id", F.lit(-1)), "n_bytes", "n_tokens").collect()))
+    assert ask(at=cache, batches=3) == ask(at=f"{cache}-whole")
+    # Each content is stored once, though its copies are dealt to several batches.
+    assert docs.sparkSession.read.parquet(cache).count() == len({t or "" for _, t in TEXTS})
+
+
 def test_bpe_as_the_library(spark, docs):
     import tiktoken
 
