@@ -88,6 +88,27 @@ def mutual_nearest(a: DataFrame, b: DataFrame, on: list[str], x: str, y: str, lo
     return best_a.join(best_b, [*on, x, y])
 
 
+def greedy_pairs(a: DataFrame, b: DataFrame, on: list[str], x: str, y: str, lo: float, hi: float) -> DataFrame:
+    """One-to-one pairs ``on, x, y``: in order of y each row of b takes the nearest x that is still free
+    with lo <= y - x <= hi.  Times are distinct inside ``on``.
+
+    Only rows that contend are handled together: a chain ends where no later y reaches an x that an
+    earlier one reaches.
+    """
+    reach = band_join(a, b, on, x, y, lo, hi).groupBy(*on, y).agg(F.sort_array(F.collect_list(x), asc=False).alias("_xs"))
+    w = Window.partitionBy(*on).orderBy(y)
+    before = F.max(F.get("_xs", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chains = reach.withColumn("_new", (F.coalesce(F.array_min("_xs") > before, F.lit(True))).cast("long")).withColumn("_chain", F.sum("_new").over(w))
+    g = chains.groupBy(*on, "_chain").agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("y"), F.col("_xs").alias("xs")))).alias("_all"))
+    none = F.transform(F.slice("_all", 1, 0), lambda r: F.struct(F.get(r["xs"], F.lit(0)).alias("x"), r["y"].alias("y")))
+
+    def take(done, r):
+        free = F.get(F.filter(r["xs"], lambda v: ~F.exists(done, lambda p: p["x"] == v)), F.lit(0))
+        return F.when(free.isNull(), done).otherwise(F.concat(done, F.array(F.struct(free.alias("x"), r["y"].alias("y")))))
+
+    return g.select(*on, F.explode(F.aggregate("_all", none, take)).alias("_p")).select(*on, F.col("_p.x").alias(x), F.col("_p.y").alias(y))
+
+
 def nearest_donor(missing: DataFrame, donors: DataFrame, on: list[str], t: str, value: str) -> DataFrame:
     """The value of the donor nearest in time, by the last before and the first after; earlier wins a tie."""
     u = missing.select(*on, t, F.lit(None).cast(donors.schema[value].dataType).alias(value), F.lit(True).alias("_ask")).unionByName(donors.select(*on, t, value, F.lit(False).alias("_ask")))

@@ -70,6 +70,20 @@ def join4_mutual_nearest(spark, d):
     return rel.mutual_nearest(a, b, ["user_id"], "x", "y", 0, 21600)
 
 
+@query(AB.replace("WITH", "WITH RECURSIVE", 1) + """
+, c AS (SELECT a.user_id, y, list(x ORDER BY x DESC) AS xs, row_number() OVER (PARTITION BY a.user_id ORDER BY y) AS i FROM a JOIN b ON a.user_id = b.user_id AND y - x BETWEEN 0 AND 864000 GROUP BY a.user_id, y)
+, s AS (
+    SELECT user_id, i, y, xs[1] AS x, xs[1:1] AS taken FROM c WHERE i = 1
+    UNION ALL
+    SELECT user_id, i, y, free, CASE WHEN free IS NULL THEN taken ELSE list_append(taken, free) END
+    FROM (SELECT c.user_id, c.i, c.y, s.taken, list_filter(c.xs, lambda v: NOT list_contains(s.taken, v))[1] AS free FROM s JOIN c ON c.user_id = s.user_id AND c.i = s.i + 1)
+) SELECT user_id, x, y FROM s WHERE x IS NOT NULL
+""")
+def join4_greedy_pairs(spark, d):
+    a, b = _ab(spark, d)
+    return rel.greedy_pairs(a, b, ["user_id"], "x", "y", 0, 864000)
+
+
 @query("""
 WITH a AS (SELECT DISTINCT user_id, s FROM points WHERE region = 'error'), b AS (SELECT user_id, s, max(event_id) AS v FROM points WHERE region = 'view' GROUP BY ALL)
 SELECT user_id, a.s, arg_min(v, struct_pack(far := abs(a.s - b.s), s := b.s)) AS v FROM a LEFT JOIN b USING (user_id) GROUP BY ALL

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import columns as fc
-from lamina.operators import relational as rel
-from lamina.operators import series, stats
+from lamina.operators import catalog, series, stats
 from lamina.operators.ranking import place
 from lamina.plans.fixtures import panel, query, r6, read, runs
 from lamina.sources import readers
@@ -177,10 +176,10 @@ def src4_metadata(spark, d):
     return readers.parse_json(read(spark, d, "events"), "props", "k bigint").select("event_id", "k", (F.col("k") * 0.5).alias("rate"))
 
 
-@query("SELECT user_id, coalesce(l[1 + user_id % 5], l[1]) AS picked FROM (SELECT user_id, list(event_id ORDER BY event_id) AS l FROM events GROUP BY user_id)")
+@query("SELECT user_id, coalesce(l[1 + user_id % 400], list_filter(l, lambda v: v % 2 = 0)[1], l[1]) AS picked FROM (SELECT user_id, list(event_id ORDER BY event_id) AS l FROM events GROUP BY user_id)")
 def src6_pattern(spark, d):
     x = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
-    return x.select("user_id", F.coalesce(F.try_element_at("l", (F.col("user_id") % 5 + 1).cast("int")), F.get("l", F.lit(0))).alias("picked"))
+    return x.select("user_id", readers.pick_element(F.col("l"), F.col("user_id") % 400, lambda v: v % 2 == 0).alias("picked"))
 
 
 @query("SELECT doc_id, CAST(nullif(regexp_extract(text, 'Frames: (\\d+)', 1), '') AS DOUBLE) AS frames, CAST(nullif(regexp_extract(text, 'Loss: ([0-9.]+)', 1), '') AS DOUBLE) AS loss, 2 AS n_warnings, 'late start | short' AS warnings FROM (SELECT doc_id, 'Frames: ' || CAST(n_chars AS VARCHAR) || ' Loss: ' || CAST(doc_id % 9 AS VARCHAR) || '.5' AS text FROM documents)")
@@ -189,10 +188,17 @@ def src9_text_report(spark, d):
     return read(spark, d, "documents").select("doc_id", readers.report(report, {"frames": r"Frames: (\d+)", "loss": r"Loss: ([0-9.]+)"}).alias("r")).select("doc_id", "r.*")
 
 
-@query("SELECT user_id, channel, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, channel) AS i FROM (SELECT user_id, event_type AS channel, count(*) AS n FROM events GROUP BY ALL)) WHERE i = 1")
+@query("""
+WITH v AS (SELECT user_id, event_id % 3 AS wh, event_type AS e, count(*) AS n FROM events GROUP BY ALL)
+, i AS (SELECT *, row_number() OVER (PARTITION BY user_id, wh ORDER BY e) AS i, count(*) OVER (PARTITION BY user_id, wh) AS w FROM v)
+, l AS (SELECT user_id, n, coalesce(CASE WHEN w = 3 THEN ['d0', 'd1', 'd2'][i] WHEN w = 2 THEN ['a0', 'a1'][i] END, CASE WHEN e <> 'error' THEN e END, wh || '_var' || (i - 1)) AS channel FROM i WHERE n > 1)
+SELECT user_id, channel, max(n) AS n FROM l GROUP BY ALL
+""")
 def src11_longest_channel(spark, d):
-    n = read(spark, d, "events").groupBy("user_id", F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
-    return rel.keep_latest(n, ["user_id"], [F.desc("n"), F.asc("channel")])
+    v = read(spark, d, "events").groupBy("user_id", (F.col("event_id") % 3).alias("wh"), F.col("event_type").alias("e")).agg(F.count("*").alias("n"))
+    own = F.when(F.col("e") != "error", F.col("e"))
+    x = v.withColumn("i", F.row_number().over(Window.partitionBy("user_id", "wh").orderBy("e")) - 1).withColumn("own", own)
+    return catalog.name_channels(x, "user_id", "wh", "i", "own", "n", [["d0", "d1", "d2"], ["a0", "a1"]])
 
 
 @query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey")

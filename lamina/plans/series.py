@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lamina.operators import catalog
 from lamina.operators import events as ev
 from lamina.operators import learn, series
 from lamina.operators.relational import band_join
@@ -304,10 +305,22 @@ def win13_decimate(spark, d):
     return series.decimate(panel(spark, d), R, how="mean").withColumn("f", F.round("f", 6))
 
 
-@query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY f DESC, t) AS i FROM panel) SELECT region, t, i AS place, round(f, 6) AS f FROM n WHERE i <= 5")
+@query("""
+WITH RECURSIVE n AS (SELECT region, t, f, row_number() OVER w AS i, lag(f) OVER w AS p, lead(f) OVER w AS q FROM panel WINDOW w AS (PARTITION BY region ORDER BY t))
+, c AS (SELECT region, i AS ix, row_number() OVER (PARTITION BY region ORDER BY f DESC, i) AS i FROM n WHERE f > p AND f > q)
+, s AS (
+    SELECT region, i, [ix] AS ys FROM c WHERE i = 1
+    UNION ALL
+    SELECT s.region, s.i + 1, CASE WHEN ok THEN list_append(ys, ix) ELSE ys END
+    FROM (SELECT s.*, c.ix, len(ys) < 5 AND len(list_filter(ys, lambda y: abs(y - c.ix) <= 4)) = 0 AS ok FROM s JOIN c ON c.region = s.region AND c.i = s.i + 1) s
+), e AS (SELECT region, ys, unnest(range(1, len(ys) + 1)) AS place FROM (SELECT region, arg_max(ys, i) AS ys FROM s GROUP BY region))
+SELECT e.region, t, place, round(f, 6) AS f FROM e JOIN n ON n.region = e.region AND n.i = ys[place]
+""")
 def srt2_top_peaks(spark, d):
-    w = Window.partitionBy("region").orderBy(F.desc("f"), "t")
-    return panel(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 5").select("region", "t", "place", F.round("f", 6).alias("f"))
+    w = Window.partitionBy("region").orderBy("t")
+    x = panel(spark, d).withColumn("i", F.row_number().over(w)).withColumn("up", (F.col("f") > F.lag("f").over(w)) & (F.col("f") > F.lead("f").over(w)))
+    top = catalog.greedy_suppression(x.where("up"), R, [-F.col("f")], ["i"], 4, most=5)
+    return x.join(F.broadcast(top), ["region", "i"]).select("region", "t", F.col("place").cast("long").alias("place"), F.round("f", 6).alias("f"))
 
 
 @query("SELECT region, count(*) AS n, round(count(*) / 720.0, 6) AS rate FROM points GROUP BY region")

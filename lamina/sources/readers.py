@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,12 @@ def read_json_tree(spark: SparkSession, path: str, schema: str, skip: str = r"/(
     return df if ignored is None else df.join(ignored, ignored.columns, "left_anti")
 
 
+def pick_element(items: Column, index: Column, has: Callable[[Column], Column]) -> Column:
+    """The element at ``index`` from 0 if there is one, else the first that ``has`` accepts, else the first."""
+    named = F.when((index >= 0) & (index < F.size(items)), F.get(items, index.cast("int")))
+    return F.coalesce(named, F.get(F.filter(items, has), F.lit(0)), F.get(items, F.lit(0)))
+
+
 def latest_version(df: DataFrame, root: str, schema: str, kind: str = "parquet") -> DataFrame:
     """Rows of the newest stamp under root; older versions stay as the archive.  ``df`` lends its session."""
     every = df.sparkSession.read.format(kind).schema(schema).option("recursiveFileLookup", "true").load(root).withColumn("stamp", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1))
