@@ -191,7 +191,7 @@ def ts25_metric_row(spark, d):
 WITH d AS (SELECT sub, run, x - z AS d FROM runs), r AS (SELECT sub, d, rank() OVER (PARTITION BY sub ORDER BY abs(d)) + (count(*) OVER (PARTITION BY sub, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)
 , g AS (SELECT sub, count(*) AS n, CAST(coalesce(sum(r) FILTER (d > 0), 0) AS DOUBLE) AS w, (coalesce(sum(r) FILTER (d > 0), 0) - sum(r) / 2) / sqrt(sum(r * r) / 4) AS z FROM r GROUP BY sub)
 , p AS (SELECT *, greatest(-8.3, least(8.3, z)) AS c FROM g)
-SELECT sub, n, w, round(z, 6) AS z, round(least(1.0, greatest(0.0, 0.5 - c * exp(-c * c / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 201), lambda k: pow(c * c, k) * exp(-(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))))), 6) AS p FROM p
+SELECT sub, n, w, round(z, 6) AS z, round(least(1.0, greatest(0.0, 0.5 - c * exp(-c * c / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 201), lambda k: exp(k * ln(greatest(c * c, 1e-300)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))))), 6) AS p FROM p
 """)
 def st3_paired_signed_rank(spark, d):
     x = runs(spark, d).withColumn("d", F.col("x") - F.col("z"))
