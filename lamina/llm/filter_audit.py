@@ -40,18 +40,15 @@ def word_totals(docs: DataFrame) -> DataFrame:
     """Words and distinct words of each text: ``doc_id, content, n_words, n_distinct``.
 
     ``docs``: ``doc_id``, ``text``.  ``content`` is the text's SHA-256.  Rows that repeat a doc_id with one
-    text come out once; of another text, by themselves.  A text without words has zeros.
+    text come out once; of another text, by themselves.  Texts without words are left out.
     """
-    # An empty string, which is no word, stands for the row itself.
-    entries = F.explode(F.concat(F.array(F.lit("")), F.regexp_extract_all(_text(), F.lit(WORD), F.lit(0))))
-    words = docs.select("doc_id", F.substring(_content(), 1, 16).alias("content"), entries.alias("word"))
-    counted = words.groupBy("doc_id", "content", "word").agg(F.count("*").alias("n"))
-    is_word = F.col("word") != ""
-    return counted.groupBy("doc_id", "content").agg(
-        F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)).alias("all_words"),
-        F.count(F.when(is_word, 1)).alias("n_distinct"),
-        F.sum(F.when(~is_word, F.col("n"))).alias("n_rows"),
-    ).select("doc_id", "content", F.expr("all_words div n_rows").alias("n_words"), "n_distinct")
+    # Rows, not words, are dealt out, each by itself, so that copies of one document can't meet in a task; both counts
+    # then need no further shuffle.  The digest is taken before words are exploded, once for each text.
+    rows = docs.select("doc_id", F.substring(_content(), 1, 16).alias("content"), _text().alias("text"), F.monotonically_increasing_id().alias("row")).repartition("row")
+    words = rows.select("row", "doc_id", "content", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    counted = words.groupBy("row", "doc_id", "content", "word").agg(F.count("*").alias("n"))
+    totals = counted.groupBy("row", "doc_id", "content").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+    return totals.groupBy("doc_id", "content").agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def failures(docs: DataFrame) -> DataFrame:
@@ -78,7 +75,7 @@ def failures(docs: DataFrame) -> DataFrame:
     own = kept.join(first, "digest", "left")
     same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.substring("digest", 1, 16) == F.col("its_content"))
     return own.join(totals, same, "full_outer").select(
-        "doc_id", "part", "n_rows", (F.col("n_words") < 200).alias("A"), (100 * F.col("n_distinct") < 50 * F.col("n_words")).alias("B"), "C", "D",
+        "doc_id", "part", "n_rows", (F.coalesce("n_words", F.lit(0)) < 200).alias("A"), F.coalesce(100 * F.col("n_distinct") < 50 * F.col("n_words"), F.lit(False)).alias("B"), "C", "D",
         F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("E"),
     )
 
