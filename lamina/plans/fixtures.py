@@ -35,6 +35,12 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy(F.col("event_type").alias("region"), since("HOUR").alias("t")).agg(F.avg("value").alias("f"))
 
 
+def hours(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole hour from the first event to the last: ``t``."""
+    ends = read(spark, d, "events").agg(F.min(since("HOUR")).alias("a"), F.max(since("HOUR")).alias("b"))
+    return ends.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("t"))
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Event times in whole seconds: ``user_id, region, s``."""
     return read(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("region"), since("SECOND").alias("s"), "value")

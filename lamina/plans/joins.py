@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import relational as rel
 from lamina.operators.ranking import place
-from lamina.plans.fixtures import panel, points, query, r6, read
+from lamina.plans.fixtures import hours, panel, points, query, r6, read
 
 
 def _units(spark, d):
@@ -161,22 +161,22 @@ def join14_shared_owner(spark, d):
 
 
 @query("""
-WITH s AS (SELECT t, f FROM panel WHERE region = 'error'), g AS (SELECT unnest(range(0, 720)) + 0.5 AS t), a AS (SELECT g.t, (SELECT max(t) FROM s WHERE s.t <= g.t) AS pt, (SELECT min(t) FROM s WHERE s.t >= g.t) AS nt FROM g)
+WITH s AS (SELECT t, f FROM panel WHERE region = 'error'), g AS (SELECT unnest(range(min(t), max(t) + 1)) + 0.5 AS t FROM panel), a AS (SELECT g.t, (SELECT max(t) FROM s WHERE s.t <= g.t) AS pt, (SELECT min(t) FROM s WHERE s.t >= g.t) AS nt FROM g)
 SELECT CAST(a.t AS DOUBLE) AS t, round(CASE WHEN pt IS NULL THEN q.f WHEN nt IS NULL OR pt = nt THEN p.f ELSE p.f + (q.f - p.f) * (a.t - pt) / (nt - pt) END, 6) AS f FROM a LEFT JOIN s p ON p.t = pt LEFT JOIN s q ON q.t = nt
 """)
 def join15_interpolate(spark, d):
     s = panel(spark, d).where("region = 'error'").select("region", F.col("t").cast("double").alias("t"), "f")
-    g = spark.range(720).select(F.lit("error").alias("region"), (F.col("id") + 0.5).cast("double").alias("t"))
+    g = hours(spark, d).select(F.lit("error").alias("region"), (F.col("t") + 0.5).cast("double").alias("t"))
     return rel.interpolate_at(s, g, ["region"], "t", "f").select("t", F.round("f", 6).alias("f"))
 
 
 @query("""
-WITH s AS (SELECT s, value FROM points WHERE region = 'error'), g AS (SELECT unnest(range(0, 720)) * 3600 + 1800 AS t)
+WITH s AS (SELECT s, value FROM points WHERE region = 'error'), g AS (SELECT unnest(range(min(t), max(t) + 1)) * 3600 + 1800 AS t FROM panel)
 SELECT t, round(coalesce(sum(value), 0) / greatest(count(value), 1), 6) AS v FROM g LEFT JOIN s ON s >= t - 1800 AND s < t + 1800 GROUP BY t
 """)
 def join16_range_average(spark, d):
     s = points(spark, d).where("region = 'error'").select("region", F.col("s").alias("t"), F.col("value").alias("v"))
-    g = spark.range(720).select(F.lit("error").alias("region"), (F.col("id") * 3600 + 1800).alias("t"))
+    g = hours(spark, d).select(F.lit("error").alias("region"), (F.col("t") * 3600 + 1800).alias("t"))
     return rel.range_average(s, g, ["region"], "t", "v", 1800).select("t", F.round("v", 6).alias("v"))
 
 

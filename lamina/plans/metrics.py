@@ -293,7 +293,7 @@ def src17_chunked_scan(spark, d):
 WITH c AS (SELECT frame, sum(y * greatest(v, 0)) / nullif(sum(greatest(v, 0)), 0) AS cy, sum(x * greatest(v, 0)) / nullif(sum(greatest(v, 0)), 0) AS cx FROM voxels GROUP BY frame)
 SELECT a.frame, round(a.cy - b.cy, 6) AS d_y, round(a.cx - b.cx, 6) AS d_x, round(sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)), 6) AS length FROM c a JOIN c b ON a.frame = b.frame + 1
 """)
-def ts20_drift(spark, d):
+def ts20_centre_of_mass(spark, d):
     return catalog.drift(voxels(spark, d), "frame", YX, "v").select("frame", *r6("d_y", "d_x", "length"))
 
 

@@ -9,7 +9,7 @@ from lamina.operators import catalog
 from lamina.operators import events as ev
 from lamina.operators import learn, series
 from lamina.operators.relational import band_join
-from lamina.plans.fixtures import panel, points, query, r6, read
+from lamina.plans.fixtures import hours, panel, points, query, r6, read
 
 R = ["region"]
 
@@ -18,6 +18,11 @@ def _wide(spark, d):
     return panel(spark, d).groupBy("t").pivot("region", ["click", "error", "purchase", "signup", "view"]).agg(F.first("f"))
 
 
+def _hours(spark, d) -> int:
+    """Hours from the first event to the last: one number."""
+    return hours(spark, d).count()
+
+
 WIDE = "SELECT t, max(f) FILTER (region = 'click') AS click, max(f) FILTER (region = 'error') AS error, max(f) FILTER (region = 'purchase') AS purchase, max(f) FILTER (region = 'signup') AS signup, max(f) FILTER (region = 'view') AS view FROM panel GROUP BY t"
 
 
@@ -323,14 +328,14 @@ def srt2_top_peaks(spark, d):
     return x.join(F.broadcast(top), ["region", "i"]).select("region", "t", F.col("place").cast("long").alias("place"), F.round("f", 6).alias("f"))
 
 
-@query("SELECT region, count(*) AS n, round(count(*) / 720.0, 6) AS rate FROM points GROUP BY region")
+@query("SELECT region, count(*) AS n, round(count(*) / (SELECT max(t) - min(t) + 1.0 FROM panel), 6) AS rate FROM points GROUP BY region")
 def agg14_event_rate(spark, d):
-    return ev.event_rate(points(spark, d), R, 720.0).withColumn("rate", F.round("rate", 6))
+    return ev.event_rate(points(spark, d), R, _hours(spark, d)).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT user_id, round(count(DISTINCT s // 3600) / 720.0, 6) AS share FROM points GROUP BY user_id")
+@query("SELECT user_id, round(count(DISTINCT s // 3600) / (SELECT max(t) - min(t) + 1.0 FROM panel), 6) AS share FROM points GROUP BY user_id")
 def agg15_block_activity(spark, d):
-    return ev.block_activity(points(spark, d), ["user_id"], "s", 3600, 720).withColumn("share", F.round("share", 6))
+    return ev.block_activity(points(spark, d), ["user_id"], "s", 3600, _hours(spark, d)).withColumn("share", F.round("share", 6))
 
 
 @query("""

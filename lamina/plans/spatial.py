@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import volume as vol
 from lamina.plans.fixtures import mask, panel, query, r6, read, voxels
-from lamina.streaming import windows
+from lamina.streaming import stateful, windows
 
 YX = ["y", "x"]
 BOX = {"y": (0, 7), "x": (0, 7)}
@@ -148,3 +148,26 @@ def x12_shared_sessions(spark, d):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_hourly_counts(spark, d):
     return windows.hourly_counts(spark, f"{d}/events.parque[t]")  # a pattern, as streams take no single file
+
+
+@query("""
+WITH w AS (SELECT *, unnest([0, 1, 2, 3]) AS k, to_timestamp(epoch(date_trunc('hour', ts)) + CASE WHEN minute(ts) >= 30 THEN 1800 ELSE 0 END)::TIMESTAMP AS latest FROM events)
+SELECT latest - to_minutes(30 * k) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY ALL
+""")
+def stream_sliding_counts(spark, d):
+    return windows.sliding_counts(spark, f"{d}/events.parque[t]")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k
+""")
+def stream_sessions(spark, d):
+    return windows.user_sessions(spark, f"{d}/events.parque[t]", "6 hours")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_x, round(avg(user_id), 6) AS mean_y, round(var_pop(value), 5) AS var_x, round(var_pop(user_id), 4) AS var_y, round(covar_pop(value, user_id), 4) AS cov_xy FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY event_type")
+def stream_moments(spark, d):
+    out = stateful.running_moments(windows.event_stream(spark, f"{d}/events.parque[t]"), "event_type", "value", "user_id", 40 * 86_400_000, "31 days")
+    last = windows.drain(out, "update", ["event_type"], {stateful.PROVIDER: stateful.ROCKS})
+    return last.select("event_type", "n", *r6("mean_x", "mean_y"), F.round("var_x", 5).alias("var_x"), F.round("var_y", 4).alias("var_y"), F.round("cov_xy", 4).alias("cov_xy"))
