@@ -26,8 +26,8 @@ MOST_BITS = 16
 #: which costs its owner time but no memory, as it takes one key at a time.
 DEEPEST = 24
 #: Bytes of contents that a reading task holds to merge their copies.
-HELD_BYTES = 64 << 20
-BATCH_BYTES = 4 << 20
+HELD_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 ENTRY = "bucket long, key long, keep_id long, n long, sha binary, content binary"
 
 
@@ -67,28 +67,25 @@ def _merge_copies(batches):
             yield _batch(rows)
 
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        contents = batch.column(5)
-        for i, (bucket, key, keep, n, sha) in enumerate(zip(*columns, strict=True)):
-            chain, content = held.setdefault(key, []), contents[i].as_buffer()
+        for bucket, key, keep, n, sha, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            chain = held.setdefault(key, [])
             for entry in chain:
                 if entry[4] == content:
                     entry[1], entry[2] = _least(entry[1], keep), entry[2] + n
                     break
             else:
-                content = content.to_pybytes()
-                chain.append([bucket, keep, n, sha, pa.py_buffer(content)])
+                chain.append([bucket, keep, n, sha, content])
                 size += len(content)
         if size > HELD_BYTES:
             yield from flush()
             held, size = {}, 0
+            pa.default_memory_pool().release_unused()
     yield from flush()
 
 
 def _batch(rows):
     cols = list(zip(*rows, strict=True))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    cols[5] = [memoryview(c) for c in cols[5]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "key", "keep_id", "n", "sha", "content"])
 
 
@@ -96,10 +93,7 @@ def _own(batches):
     """Entries of the keys of an owner, which come in order of bucket and key, one chain at a time."""
     at, chain, out, room = None, [], [], 0
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        contents = batch.column(5)
-        for i, (bucket, key, keep, n, sha) in enumerate(zip(*columns, strict=True)):
-            content = contents[i].as_buffer()
+        for bucket, key, keep, n, sha, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != (bucket, key):
                 out += [(*at, *entry) for entry in chain] if at else []
                 at, chain = (bucket, key), []
@@ -113,9 +107,8 @@ def _own(batches):
                 if entry[2] == sha:
                     raise ValueError("two different contents have one SHA-256")
             else:
-                # A copy, so that the batch it came in can go.
-                chain.append([keep, n, sha, pa.py_buffer(content.to_pybytes())])
-                room += content.size
+                chain.append([keep, n, sha, content])
+                room += len(content)
     out += [(*at, *entry) for entry in chain] if at else []
     if out:
         yield _batch(out)
@@ -181,10 +174,14 @@ class HashIndex:
             found = place if found is None else F.coalesce(found, place)
         return found
 
-    def add(self, rows: DataFrame) -> None:
-        """Take a batch in: ``doc_id`` (null: unnamed), long ``key``, binary ``sha`` and ``content``."""
+    def add(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
+        """Take a batch in: ``doc_id`` (null: unnamed), long ``key``, binary ``sha`` and ``content``.
+
+        ``keys``: the batch's ``key`` column, where it is at hand without the contents.
+        """
         old = self.entries
-        keys = rows.select("key") if old is None else rows.select("key").union(old.select("key"))
+        keys = (rows if keys is None else keys).select("key")
+        keys = keys if old is None else keys.union(old.select("key"))
         self._split(stage(keys.distinct(), "index-keys"))
         fresh = rows.select(self.bucket(F.col("key")).alias("bucket"), "key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), "sha", "content")
         merged = fresh.mapInArrow(_merge_copies, ENTRY)
@@ -212,7 +209,7 @@ def dedup(docs: DataFrame, key: Callable[[Column], Column] = default_key, capaci
     content = normalised(F.col("text"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("content")).select("doc_id", "content", F.unhex(F.sha2("content", 256)).alias("sha"), key(F.col("content")).alias("key"))
     rows = stage(read.select("doc_id", "key", "sha", F.monotonically_increasing_id().alias("row")), "contents")
-    index.add(read.select("doc_id", "key", "sha", F.col("content").cast("binary").alias("content")))
+    index.add(read.select("doc_id", "key", "sha", F.col("content").cast("binary").alias("content")), rows)
     groups = index.entries.where("n > 1").select("key", "sha", "keep_id", "n")
     # Written by itself, so that the join can split the rows of a very large group.
     ties = stage(rows.groupBy("doc_id", "key", "sha").agg(F.min("row").alias("first_row"), F.count("*").alias("m")).where("m > 1").drop("m"), "content-ties").withColumnsRenamed({"doc_id": "its_id", "key": "its_key", "sha": "its_sha"})
