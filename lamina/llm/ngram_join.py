@@ -76,13 +76,22 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g[order], c[order]
 
 
-def _digest(g: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _digest(g: np.ndarray, n: np.ndarray, salt: int = 0xA5A5A5A5) -> np.ndarray:
     """A 64-bit name of each set: rows with equal sets have equal names."""
-    total = np.r_[np.uint64(0), np.cumsum(tm.mix(g ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)]
+    total = np.r_[np.uint64(0), np.cumsum(tm.mix(g ^ np.uint64(salt)), dtype=np.uint64)]
     ends = np.r_[0, np.cumsum(n)]
     return tm.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64) * tm.PLACE[13]).view(np.int64)
 
 
+def _named(g: np.ndarray, n: np.ndarray, odd: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each set and 64 more bits that tell sets of one name apart; names in ``odd`` give way to one of both."""
+    name, check = _digest(g, n) >> np.int64(64 - bits), _digest(g, n, 0x3C3C3C3C5A5A5A5A)
+    if len(odd):
+        both = tm.mix(name.view(np.uint64) ^ tm.mix(check.view(np.uint64))).view(np.int64)
+        name = np.where(np.isin(name, odd), both, name)
+    return name, check
+
+
 def _lengths(n: np.ndarray, est: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The multi-match count l of sets of size n with the fewest estimated candidates."""
     total = np.r_[0.0, np.cumsum(est - 1.0)]  # partners of each shingle besides the set itself
@@ -109,10 +118,10 @@ def _room(n: str = "n", place: str = "place"):
     return (F.col(n) - at).cast("long")
 
 
-def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
-    """One row for each document: ``doc_id, n, node``, and packed prefix shingles by bucket.
+def _prefixes(docs: DataFrame, frequent, k: int, buckets: int, odd: np.ndarray, bits: int) -> DataFrame:
+    """One row for each document: ``doc_id, n, node, check``, and packed prefix shingles by bucket.
 
-    A set that a task meets again is not packed again; ``node`` names the set.
+    A set that a task meets again is not packed again; ``node`` names the set (see ``_named``).
     """
 
     def run(batches):
@@ -131,17 +140,17 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
                 for c, v in zip(cols, (int(b), nodes[used].tobytes(), ns[used].astype(np.int32).tobytes(), ells[used].astype(np.int32).tobytes(), member.astype(np.uint32).tobytes(), tok[own].tobytes(), at[own].tobytes()), strict=True):
                     c.append(v)
             none = pa.nulls(len(cols[0]), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
 
         base = 0
         for batch in batches:
             ids = batch.column(0)
             for first, raw, offs in tm.slices(batch.column(1)):
                 rows, g, n = tm.shingle_sets(raw, offs, k)
-                node = _digest(g, n)
+                node, check = _named(g, n, odd, bits)
                 m = len(n)
                 empty = pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, m), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.nulls(m, pa.int32()), *[empty] * 6], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, m), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(check, mask=n == 0), pa.nulls(m, pa.int32()), *[empty] * 6], names)
                 fresh = np.array([n[i] > 0 and not (d in seen or seen.add(d)) for i, d in enumerate(node.tolist())], bool)
                 if not fresh.any():
                     continue
@@ -170,8 +179,8 @@ def _prefixes(docs: DataFrame, frequent, k: int, buckets: int) -> DataFrame:
         if held:
             yield out()
 
-    names = ["doc_id", "n", "node", "bucket", "nodes", "ns", "ells", "idx", "tok", "places"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bucket int, nodes binary, ns binary, ells binary, idx binary, tok binary, places binary")
+    names = ["doc_id", "n", "node", "check", "bucket", "nodes", "ns", "ells", "idx", "tok", "places"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long, bucket int, nodes binary, ns binary, ells binary, idx binary, tok binary, places binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -189,13 +198,13 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(tok[many].view(np.int64)), pa.array(node[many]), pa.array(n[many]), pa.array(ell[many]), pa.array(place[many].astype(np.int32))], ["tok", "node", "n", "ell", "place"])
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, k: int, odd: np.ndarray, bits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, raw, offs in tm.slices(batch.column(0)):
                 _, g, n = tm.shingle_sets(raw, offs, k)
                 ends = np.r_[0, np.cumsum(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(_digest(g, n)), pa.array([g[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(_named(g, n, odd, bits)[0]), pa.array([g[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["node", "grams"])
 
     return docs.select("text").mapInArrow(run, "node long, grams binary")
 
@@ -239,30 +248,40 @@ def _verify(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "src long, dst long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, bits: int = 64) -> DataFrame:
     """Group documents whose k-word shingle sets have a Jaccard similarity of 0.8 or more.
 
     Args: ``docs`` with ``doc_id`` long and ``text``; other columns are ignored.
     Returns ``doc_id, n_shingles, component_id``; component_id is the least doc_id that
-    links reach.  Links are exact on 64-bit shingle hashes.
+    links reach.  Links are exact on 64-bit shingle hashes; sets count as equal by 128 bits.  ``bits``: of the
+    names that sets go by first; any number gives the same groups.
 
     Null or blank texts have no shingles and are alone in their component.  A null doc_id is
-    kept with its size, joins the component of its text and never names one (a component
+    kept with its size, joins the component of its text, which its links join to others, and never names one (a component
     of nulls only is null).  Repeated rows give repeated rows.  An empty table gives none.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
-    packed = stage(_prefixes(docs, frequent, k, partitions(spark)), "prefixes")
-    sizes = packed.where("bucket is null").select("doc_id", "n", "node")
+    odd = np.zeros(0, np.int64)
+    while True:
+        packed = stage(_prefixes(docs, frequent, k, partitions(spark), odd, bits), "prefixes")
+        sizes = packed.where("bucket is null").select("doc_id", "n", "node")
+        reps = stage(packed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")), "reps")
+        # Names are 64 bits; the few that two sets share (one pair in 2**64) are told apart by 64 more.
+        shared = np.array([r["node"] for r in reps.where("lo <> hi").select("node").collect()], np.int64)
+        if not len(shared):
+            break
+        odd = np.union1d(odd, shared)
     entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place int"), "entries")
     # The first common shingle of a set with a similar one has 4 / 5 of the set at and after it.
     # It has as many common ones with its prefix as the least l of the two.
     able = entries.withColumn("room", _room()).groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max("room").alias("most")).where("5 * most >= 4 * n").where(F.col("c") >= _at_least()).select("node")
     entries = stage(entries.join(able, "node", "left_semi"), "entries")
-    reps = sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = reps.join(able, "node", "left_semi").select("doc_id")
-    sets = stage(_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k).dropDuplicates(["node"]), "sets")
+    # A set that only rows without a doc_id have is found by its name.
+    unnamed = _sets(docs.where("doc_id is null"), k, odd, bits).join(able, "node", "left_semi")
+    sets = stage(_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k, odd, bits).unionByName(unnamed).dropDuplicates(["node"]), "sets")
 
     # First each entry's document against the leader of its shingle.
     leader = entries.groupBy("tok").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("ell").alias("bl"), _room().alias("b_room"))).alias("x")).select("tok", "x.b", "x.bn", "x.bl", "x.b_room")
