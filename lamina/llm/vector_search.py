@@ -15,6 +15,7 @@ are scanned against all blocks.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -24,14 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.shared import stage
-from lamina.llm.vectors import matrix, usable, width
+from lamina.llm.vectors import matrix, usable
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 4, 3, 1.5, 9
 BLOCK, QUERIES = 2048, 512
 #: Rows that one task packs, about.
 PACK = 16_384
-#: Bands of at most so many rows are scanned whole.
-WHOLE = 2048
 #: Bands of one width; norms below the last but one share the last.
 BANDS = 32
 
@@ -202,38 +201,42 @@ def _bands(counts: list[tuple[int, int, float]], whole: int) -> dict[int, tuple[
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, functions: int = FUNCTIONS, bucket_width: float = WIDTH, probes: int = PROBES, seed: int = 5, whole: int = WHOLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, functions: int = FUNCTIONS, bucket_width: float = WIDTH, probes: int = PROBES, seed: int = 5, whole: int = 0) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product found for each query, or all rows if fewer.
 
     Args: both with ``vec_id`` long and ``embedding`` array; other columns are ignored.  A query
     doesn't find rows of its own vec_id.  Every row is indexed in each table; ``tables`` and
-    ``probes`` trade work for recall.  Bands of norms of at most ``whole`` rows are searched
-    exactly, and so are all rows for a query that finds fewer than ``k`` by its buckets.
+    ``probes`` trade work for recall.  All rows are searched for a query that finds fewer than ``k`` by its
+    buckets, and bands of norms of at most ``whole`` rows always; by default there are none.
     Returns ``query_id, rank`` from 1, ``vec_id, score``: doubles of the original components,
     largest first, ties to the smaller vec_id.
 
-    Null, empty or zero vectors, those with null or non-finite components, those of an
-    uncommon width and those with a null vec_id take no part.  Rows that repeat a vec_id are one
+    Null, empty or zero vectors, those with null or non-finite components and those with a null vec_id
+    take no part.  Vectors meet those of their own width only, each width by itself.  Rows that repeat a vec_id are one
     row, the nearest.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     index = pick(vectors)
     dtype = np.float32 if dict(index.dtypes)["v"] == "array<float>" else np.float64
-    d = width(index, "v")
-    index, asked = index.where(F.size("v") == d), pick(queries).where(F.size("v") == d)
+    found = [
+        _of_width(index.where(F.size("v") == d), pick(queries).where(F.size("v") == d), d, dtype, k, Hashes(d, tables, functions, bucket_width, seed), probes, whole)
+        for d in sorted(r["d"] for r in index.select(F.size("v").alias("d")).distinct().collect())
+    ]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_width(index: DataFrame, asked: DataFrame, d: int, dtype, k: int, h: Hashes, probes: int, whole: int) -> DataFrame:
+    """``nearest`` for usable vectors of one width."""
     wide = F.col("v").cast("array<double>")
     most = F.aggregate(wide, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     norm = F.log2("most") + F.log2(F.aggregate(wide, F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))) / 2
     index, asked = (df.withColumn("most", most).select("vec_id", "v", norm.alias("lg")) for df in (index, asked))
     n, ids, longest = index.agg(F.count("*"), F.count_distinct("vec_id"), F.max("lg")).first()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Norms that differ by rounding alone stay in one band.
     index = index.withColumn("band", F.greatest(F.lit(0), F.floor(2 * (F.lit(longest) - F.col("lg")) - 1e-6)).cast("int"))
     bands = _bands([tuple(r) for r in index.groupBy("band").agg(F.count("*"), F.max("lg")).collect()], whole)
     asked = asked.withColumn("band", F.lit(0))
-    h = Hashes(d, tables, functions, bucket_width, seed)
     m = max(1, asked.count())
     parts = ceil(m / (PACK // 4))
     blocks = _packed(index.repartition(ceil(n / PACK)), h, bands, dtype, 0, BLOCK, parts)

@@ -4,7 +4,9 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from lamina.llm import licenses, line_dedup, mixing, vector_dedup, vector_search
+from pyspark.sql import functions as F
+
+from lamina.llm import licenses, line_dedup, lm, mixing, ngram_join, textmath, vector_dedup, vector_search
 
 
 def best(x, q, k, ids=None):
@@ -28,7 +30,7 @@ def test_nearest_finds_all_of_a_tiny_table(spark):
 
 
 @pytest.mark.parametrize("norms", ["lognormal", "one long", "equal"])
-@pytest.mark.parametrize("whole", [vector_search.WHOLE, 0])
+@pytest.mark.parametrize("whole", [2048, 0])
 def test_nearest_recall_at_unequal_norms(spark, norms, whole):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6000, 64))
@@ -47,7 +49,7 @@ def test_nearest_recall_at_unequal_norms(spark, norms, whole):
 def test_nearest_counts_a_repeated_id_once(spark):
     rows = [(1, [1.0, 0.0])] + [(2, [9.0 + i, 0.0]) for i in range(40)] + [(i, [1.0 / i, 1.0]) for i in range(3, 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for whole in (vector_search.WHOLE, 0):
+    for whole in (2048, 0):
         got = [r["vec_id"] for r in vector_search.nearest(df, df.where("vec_id = 1"), whole=whole).orderBy("rank").collect()]
         assert got == list(range(2, 22))
 
@@ -157,3 +159,63 @@ def test_pipeline_keeps_null_ids_and_one_row_of_a_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted({(i, t) for i, t in rows if i != 2}, key=str)
+
+
+def thue_morse(n, a="a", b="b"):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_cancel_in_polynomials_are_different_words(spark, n):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one), (4, one[:300]), (5, two[:300])], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.similar_groups(docs).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)]
+    known = {r["doc_id"]: r["n_known"] for r in lm.score_texts(docs, F.col("doc_id") == 1).collect()}
+    assert known == {1: 2, 2: 1, 3: 2, 4: 1, 5: 1}
+
+
+def test_word_hashes_are_all_different():
+    words = [f"{a}{i}" for i in range(3000) for a in ("w", "W", "longer-word-", "x" * 600)] + ["a" * i for i in range(1, 700)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    start, end, *_ = textmath.words(raw, np.array([0, len(raw)]))
+    h = textmath.span_hashes(raw, start, end)
+    assert len(h) == len(words) and len(set(h.tolist())) == len({w.lower() for w in words})
+    # The same wherever a word stands.
+    again = textmath.span_hashes(raw[start[7] :], start[7:] - start[7], end[7:] - start[7])
+    assert (again == h[7:]).all()
+
+
+def test_links_through_rows_without_an_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = " ".join(w)
+    texts = [(1, " ".join(w[:-6])), (None, near), (3, " ".join(w[6:]))]
+    for rows in (texts, [(i or 2, t) for i, t in texts]):
+        got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [r["component_id"] for r in got] == [1, 1, 1]
+
+
+def test_sets_that_share_a_name_stay_apart(spark):
+    rows = [(i, " ".join(f"t{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (64, 2):
+        assert sorted(tuple(r) for r in ngram_join.similar_groups(docs, bits=bits).collect()) == [(i, 26 + i % 2, i - i % 2) for i in range(12)]
+
+
+def test_nearest_finds_rows_of_every_width(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)] + [(100 + i, rng.normal(size=7).tolist()) for i in range(5)] + [(200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.nearest(df, df.where("vec_id in (0, 100, 200)"), k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    four, seven = np.array([v for i, v in rows if i < 40]), np.array([v for i, v in rows if 100 <= i < 200])
+    assert got[0] == best(four, 0, 6) and got[100] == [100 + i for i in best(seven, 0, 6)] and 200 not in got
+
+
+def test_nearest_ties_at_the_last_rank(spark):
+    rows = [(1, [1.0, 0.0])] + [(i, [0.5, float(i % 2)]) for i in range(2, 30)]
+    got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), k=5)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [2, 3, 4, 5, 6]
