@@ -80,7 +80,7 @@ def metric_rows(vox: DataFrame, regions: DataFrame, runs: DataFrame, states: Dat
     seconds (2 frames if the rate is unknown).  Chance levels move events by at least 20 s, or 5 windows.  The state counts if it is active in over 0.1 and
     under 0.9 of the frames.
 
-    A run without soma or trunk has a ``note`` and nulls, as has one without branches for its branch metrics.  Runs without frames are left out.
+    A run without soma or trunk has a ``note`` and nulls but for its state, as has one without branches for its branch metrics.  Runs without frames are left out.
     """
     compartments = regions.select(*REGION, "compartment", "place")
     soma = compartments.where("compartment = 'soma'").groupBy(*RUN).agg(F.min("region").alias("_soma"))
@@ -143,13 +143,14 @@ def metric_rows(vox: DataFrame, regions: DataFrame, runs: DataFrame, states: Dat
     row = row.join(branches, RUN, "left")
     note = F.when(F.col("ref").isNull(), "needs a soma or trunk region as the reference").when(F.col("_has").isNull(), "no branch region")
     without = lambda n, m: 1 - F.coalesce(F.col(m), F.lit(0)) / F.col(n)
-    n = lambda c: F.when(F.col("_has") & F.col("ref").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
+    met = F.col("_has") & F.col("ref").isNotNull()
+    n = lambda c: F.when(met, F.coalesce(c, F.lit(0))).alias(c)
     return row.select(
         *RUN, "n_frames", "n_regions", "rate", "window", "reference", note.alias("note"), "r_soma_branch", "r_soma_branch_core", "r_soma_branch_corr", "r_soma_trunk", "r_soma_trunk_corr", "r_trunk_branch",
-        "rate_ref_per_min", "rate_trunk_per_min", "rate_branch_per_min", n("n_ref_events"), n("n_branch_events"),
-        without("n_branch_events", "_b_near").alias("frac_branch_independent"), without("n_ref_events", "_a_near").alias("frac_ref_independent"), (F.coalesce("_a_near", F.lit(0)) / F.col("n_ref_events")).alias("frac_global"),
+        *[F.when(F.col("ref").isNotNull(), F.col(c)).alias(c) for c in ("rate_ref_per_min", "rate_trunk_per_min", "rate_branch_per_min")], n("n_ref_events"), n("n_branch_events"),
+        F.when(met, without("n_branch_events", "_b_near")).alias("frac_branch_independent"), F.when(met, without("n_ref_events", "_a_near")).alias("frac_ref_independent"), F.when(met, F.coalesce("_a_near", F.lit(0)) / F.col("n_ref_events")).alias("frac_global"),
         "frac_branch_independent_null", "p_branch_coupled", "frac_ref_independent_null", "p_ref_coupled", n("n_paired_events"), "branch_first_frac", "lag_frames", "frac_active", "r_active", "r_quiet",
-        "ref_f_raw", "branch_f_raw", "ref_snr", "bleaching")
+        "ref_f_raw", F.when(F.col("ref").isNotNull(), F.col("branch_f_raw")).alias("branch_f_raw"), "ref_snr", "bleaching")
 
 
 def state_of(signals: DataFrame, names: list[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import distance, mixture, registration, skeleton, trees
+from lamina.operators import distance, hierarchy, mixture, placement, registration, run_row, skeleton, trees
 from lamina.plans.fixtures import query, r6, runs, voxels
 from lamina.sources.readers import staged
 
@@ -193,3 +194,51 @@ def ml9_leave_one_out(spark, d):
     x = v.join(row, ["frame", "y"]).join(column, ["frame", "x"]).withColumn("bright", F.col("v") + F.col("mean_y") + F.col("mean_x") > 0.15)
     out = trees.leave_one_out(x, "label", ["v", "mean_y", "mean_x", "top_y", "top_x", "y", "x"], "bright", [0.3 + 0.05 * i for i in range(12)], trees=4, depth=3, rate=0.3)
     return out.select("label", "n", "n_positive", *r6("dice_half", "precision_half", "recall_half", "best_dice", "best_cut"))
+
+
+@query()
+def ts25_full_row(spark, d):
+    """Labels as runs of frames and lines of a plane as regions; some runs lack a soma, a rate or branches."""
+    v = voxels(spark, d).select(F.col("label").alias("run"), "frame", *YX, "v")
+    t = v.select("run", "frame").distinct().withColumn("t", F.row_number().over(Window.partitionBy("run").orderBy("frame")) - 1)
+    x = v.join(t, ["run", "frame"]).where("run <> 9 or y < 3")
+    vox = x.select("run", F.col("y").alias("region"), F.col("x").alias("cell"), "t", (F.col("v") + 1).alias("v"), F.col("x").between(1, 6).alias("core"))
+    kind = F.when((F.col("region") == 0) & (F.col("run") % 3 != 1), "soma").when(F.col("region") < 3, "trunk").otherwise("branch")
+    regions = vox.select("run", "region").distinct().select("run", "region", kind.alias("compartment"), F.col("region").cast("double").alias("place"))
+    per_run = vox.select("run").distinct().select("run", F.when(F.col("run") != 4, 0.2 + F.col("run") * 0.05).alias("rate"), (F.col("run") % 2 == 0).alias("deep_first"))
+    signals = x.groupBy("run", "t").agg(F.avg("v").alias("pupil"), F.max(F.when(F.col("x") < 4, F.col("v"))).alias("whisker"))
+    row = run_row.metric_rows(vox, regions, per_run, run_row.state_of(signals, ["pupil", "whisker"]), draws=200)
+    return row.select(*[F.round(c, 5).alias(c) if k == "double" else c for c, k in row.dtypes])
+
+
+@query()
+def ml3_cell_types(spark, d):
+    profile = runs(spark, d).groupBy("sub").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.stddev_samp("x").alias("spread"))
+    out = hierarchy.cell_types(profile.withColumn("sub", F.col("sub").cast("long")), "sub", ["x", "y", "z", "spread"])
+    return out.withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("""
+WITH v AS (SELECT label AS cell, frame AS t, y * 8 + x AS voxel, x * 4.0 + y * 0.5 AS loc, v FROM voxels)
+, z AS (SELECT DISTINCT cell, zone, lo, hi FROM v, (VALUES (0, 0.0, 16.0), (1, 16.0, 32.0)) t(zone, lo, hi))
+, w AS (SELECT cell, zone, lo + i * 2.0 AS start, least(lo + i * 2.0 + n, hi) AS "end" FROM z, (VALUES (6.4), (8.0), (9.6), (5.0), (12.0)) l(n), range(8) r(i) WHERE lo + i * 2.0 + n <= hi + 0.01)
+, p AS (SELECT cell, zone, start, "end", count(*) AS n_voxels FROM (SELECT DISTINCT cell, voxel, loc FROM v) JOIN w USING (cell) WHERE loc >= start AND loc < "end" GROUP BY ALL)
+SELECT cell, zone, CAST(start AS DOUBLE) AS start, CAST("end" AS DOUBLE) AS "end", n_voxels FROM p WHERE n_voxels >= 10
+""")
+def vol12_windows(spark, d):
+    vox, zones = _zones(spark, d)
+    out = placement.window_reliability(vox, placement.candidate_windows(zones, 8.0, 5.0, 2.0), 10)
+    return out.select("cell", "zone", "start", "end", "n_voxels")
+
+
+@query()
+def vol12_regions(spark, d):
+    vox, zones = _zones(spark, d)
+    return placement.place_regions(vox, zones, 8.0, 5.0, 2.0, 10).withColumn("reliability", F.round("reliability", 6))
+
+
+def _zones(spark, d):
+    """Planes as cells along x, and their halves as zones."""
+    vox = voxels(spark, d).select(F.col("label").alias("cell"), F.col("frame").alias("t"), (F.col("y") * 8 + F.col("x")).alias("voxel"), (F.col("x") * 4.0 + F.col("y") * 0.5).alias("at"), "v")
+    zone = F.explode(F.array(*[F.struct(F.lit(i).alias("zone"), F.lit(16.0 * i).alias("lo"), F.lit(16.0 * (i + 1)).alias("hi")) for i in range(2)]))
+    return vox, vox.select("cell").distinct().select("cell", zone.alias("_z")).select("cell", "_z.*")
