@@ -29,14 +29,14 @@ def candidate_windows(zones: DataFrame, target: float = 20.0, least: float = 5.0
 def window_reliability(vox: DataFrame, windows: DataFrame, voxels: int = 25) -> DataFrame:
     """The split-half reliability of windows: ``cell, zone, start, end, n_voxels, reliability``.
 
-    ``vox``: ``cell, voxel, at`` (its distance along the cell), ``t, v``.  Voxels are dealt to halves in turns in the order of a hash.  The ends of a zone's windows cut it into
+    ``vox``: ``cell, voxel, at`` (its distance along the cell), ``t, v``.  Voxels are dealt to halves in turns along the cell (ties by a hash), so both halves of any window are of like size.  The ends of a zone's windows cut it into
     pieces; each frame's sums of the pieces are added up along the zone once, and a window's trace is the difference at its ends.  The reliability is 2 r / (1 + r), r the
     correlation of the halves' traces, null if r <= -0.99 or undefined.  Windows [start, end) of fewer than ``voxels`` voxels, or with an empty half, are left out.
     """
     ends = windows.select("cell", "zone", F.explode(F.array("start", "end")).alias("cut")).distinct()
     span = ends.groupBy("cell", "zone").agg(F.sort_array(F.collect_set("cut")).alias("_cuts"))
     places = vox.select("cell", "voxel", "at").distinct()
-    dealt = places.withColumn("_a", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("voxel"), "voxel")) % 2 == 1)
+    dealt = places.withColumn("_a", F.row_number().over(Window.partitionBy("cell").orderBy("at", F.xxhash64("voxel"), "voxel")) % 2 == 1)
     # The piece of a voxel: how many cuts lie at or below it, the first cut excepted.
     inside = dealt.join(span, "cell").where((F.col("at") >= F.element_at("_cuts", 1)) & (F.col("at") < F.element_at("_cuts", -1)))
     inside = inside.select("cell", "zone", "voxel", "_a", F.size(F.filter("_cuts", lambda c: c <= F.col("at"))).alias("_piece"))

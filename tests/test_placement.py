@@ -31,7 +31,7 @@ def test_best_windows(spark):
     zones = spark.createDataFrame(ZONES, "cell int, zone string, lo double, hi double")
     order = {}
     for r in vox.select("cell", "voxel").distinct().withColumn("h", F.xxhash64("voxel")).collect():
-        order.setdefault(r["cell"], []).append((r["h"], r["voxel"]))
+        order.setdefault(r["cell"], []).append(((at[r["cell"]][r["voxel"]], r["h"]), r["voxel"]))
     first = {c: np.isin(np.arange(len(at[c])), [i for n, (_, i) in enumerate(sorted(o)) if n % 2 == 0]) for c, o in order.items()}
     best = {}
     for w in placement.candidate_windows(zones).collect():
