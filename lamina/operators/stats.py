@@ -57,6 +57,54 @@ def normal_above(z: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 - F.exp(-z * z / 2) / float(np.sqrt(2 * np.pi)) * F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda a: a["sum"])))
 
 
+#: A rational start for the inverse normal: fixed coefficients of the published approximation by Acklam, centre and tails.
+CENTRE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+
+
+def normal_quantile(p: Column) -> Column:
+    """z with P(Z > z) = p of a standard normal, to about 1e-12; null for p outside (0, 1)."""
+    def at(x: Column, c: tuple[float, ...]) -> Column:
+        return reduce(lambda total, k: total * x + k, c[1:], F.lit(c[0]))
+
+    # Each value is bound once, so that the expression stays small.
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def start(below: Column) -> Column:
+        tail = bound(F.sqrt(-2 * F.log(below)), lambda t: -at(t, TAIL[0]) / at(t, TAIL[1]))
+        centre = bound(0.5 - below, lambda q: bound(q * q, lambda r: q * at(r, CENTRE[0]) / at(r, CENTRE[1])))
+        return F.when(below < 0.02425, tail).otherwise(centre)
+
+    def better(z: Column, below: Column) -> Column:
+        # One step of Halley's method on the smaller tail.
+        off = (normal_above(z) - below) * float(np.sqrt(2 * np.pi)) * F.exp(z * z / 2)
+        return bound(off, lambda o: z + o / (1 - z * o / 2))
+
+    z = bound(F.least(p, 1 - p), lambda below: bound(start(below), lambda z: better(z, below)))
+    return F.when((p > 0) & (p < 1), z * F.when(p <= 0.5, 1.0).otherwise(-1.0))
+
+
+def stouffer_combined(df: DataFrame, on: list[str], p: str, weight: str | None = None) -> DataFrame:
+    """Stouffer's combination of one-sided p-values: ``k, z, p``, by ``weight`` if one is named; p-values outside (0, 1) are left out."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = df.withColumn("_z", normal_quantile(F.col(p).cast("double"))).where("_z is not null")
+    g = x.groupBy(*on).agg(F.count("*").alias("k"), (F.sum(w * F.col("_z")) / F.sqrt(F.sum(w * w))).alias("z"))
+    return g.withColumn("p", normal_above(F.col("z")))
+
+
+def paired_signed_rank(df: DataFrame, on: list[str], d: str, most: int = 50) -> DataFrame:
+    """The two-sided signed-rank test with its method chosen by group: ``n, w, p, method``.
+
+    ``exact`` for at most ``most`` differences of different sizes, none of them 0, else ``normal`` with ties counted.  Groups of zeros only are left out.
+    """
+    x = df.where(F.col(d).isNotNull() & ~F.isnan(d))
+    size = x.groupBy(*on).agg(F.count("*").alias("_n"), F.count_distinct(F.abs(d)).alias("_kinds"), F.min(F.abs(d)).alias("_least"))
+    small = size.where((F.col("_n") <= most) & (F.col("_kinds") == F.col("_n")) & (F.col("_least") > 0)).select(*on)
+    exact = signed_rank(x.join(small, on, "left_semi"), on, d).select(*on, "n", "w", F.col("p_two").alias("p"), F.lit("exact").alias("method"))
+    z = signed_rank_z(x.join(small, on, "left_anti"), on, d)
+    return exact.unionByName(z.select(*on, "n", "w", F.least(F.lit(1.0), 2 * normal_above(F.abs("z"))).alias("p"), F.lit("normal").alias("method")))
+
+
 def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation of n rows by Student's t with n - 2 degrees of freedom; null for n < 3.
 
@@ -80,20 +128,25 @@ def spearman(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
 
 
 def partial_spearman(df: DataFrame, on: list[str], x: str, y: str, z: str) -> DataFrame:
-    """Spearman of x and y with z held fixed, from the three pairwise values."""
-    r = df
+    """``n, rho`` of x and y with z held fixed, from the three pairwise values, and its two-sided ``p`` with n - 3 degrees of freedom.
+
+    Rows that lack any of the three are left out.
+    """
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     for c in (x, y, z):
         r = r.withColumn(f"_{c}", average_rank(c, on))
-    g = r.groupBy(*on).agg(F.corr(f"_{x}", f"_{y}").alias("a"), F.corr(f"_{x}", f"_{z}").alias("b"), F.corr(f"_{y}", f"_{z}").alias("c"))
-    return g.select(*on, ((F.col("a") - F.col("b") * F.col("c")) / F.sqrt((1 - F.col("b") ** 2) * (1 - F.col("c") ** 2))).alias("rho"))
+    g = r.groupBy(*on).agg(F.count("*").alias("n"), F.corr(f"_{x}", f"_{y}").alias("a"), F.corr(f"_{x}", f"_{z}").alias("b"), F.corr(f"_{y}", f"_{z}").alias("c"))
+    g = g.select(*on, "n", ((F.col("a") - F.col("b") * F.col("c")) / F.sqrt((1 - F.col("b") ** 2) * (1 - F.col("c") ** 2))).alias("rho"))
+    return g.withColumn("p", correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "rho")), F.col("n") - 1))
 
 
 def within_group_spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Ranks centred inside groups of two or more, correlated over all rows."""
+    """``n, rho`` of ranks centred inside groups of two or more, over all rows, and its two-sided ``p`` with n - groups - 1 degrees of freedom."""
     n = F.count("*").over(Window.partitionBy(group))
     r = df.withColumn("_n", n).where("_n >= 2").withColumn("_x", average_rank(x, [group])).withColumn("_y", average_rank(y, [group]))
     r = add_group(r, [group], mx=F.avg("_x"), my=F.avg("_y"))
-    return r.agg(F.count("*").alias("n"), F.corr(F.col("_x") - F.col("mx"), F.col("_y") - F.col("my")).alias("rho"))
+    g = r.agg(F.count("*").alias("n"), F.count_distinct(group).alias("_g"), F.corr(F.col("_x") - F.col("mx"), F.col("_y") - F.col("my")).alias("rho"))
+    return g.select("n", "rho", correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "rho")), F.col("n") - F.col("_g") + 1).alias("p"))
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -44,20 +44,43 @@ def st4_spearman(spark, d):
     return stats.spearman(runs(spark, d), ["grp"], "x", "y").select("grp", "n", *r6("rho", "p"))
 
 
+# The two-sided p of a correlation rho with m - 2 degrees of freedom, from rows c.
+P_OF_RHO = """
+, m AS (SELECT *, m % 2 = 1 AS odd, 1 - rho * rho AS c2, CAST(floor((CASE WHEN m % 2 = 1 THEN m - 3 ELSE m - 2 END) / 2) AS INT) AS terms FROM c)
+, s AS (SELECT *, coalesce(list_sum(list_transform(range(0, terms), lambda k: CASE WHEN odd THEN exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(c2, k + 0.5) ELSE exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) * pow(c2, k) END)), 0) AS s FROM m)
+, p AS (SELECT *, CASE WHEN m >= 3 THEN round(greatest(0.0, 1 - CASE WHEN odd THEN 2 / pi() * (asin(abs(rho)) + abs(rho) * s) ELSE abs(rho) * s END), 6) END AS p FROM s)
+"""
+
+
 @query(f"""
-WITH r AS (SELECT grp, {_rank('x', 'grp')} AS x, {_rank('y', 'grp')} AS y, {_rank('z', 'grp')} AS z FROM runs), c AS (SELECT grp, corr(x, y) AS a, corr(x, z) AS b, corr(y, z) AS c FROM r GROUP BY grp)
-SELECT grp, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS rho FROM c
+WITH r AS (SELECT grp, {_rank('x', 'grp')} AS x, {_rank('y', 'grp')} AS y, {_rank('z', 'grp')} AS z FROM runs), a AS (SELECT grp, count(*) AS n, corr(x, y) AS a, corr(x, z) AS b, corr(y, z) AS c FROM r GROUP BY grp)
+, c AS (SELECT grp, n, n - 1 AS m, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS rho FROM a){P_OF_RHO}
+SELECT grp, n, round(rho, 6) AS rho, p FROM p
 """)
 def st4_partial_spearman(spark, d):
-    return stats.partial_spearman(runs(spark, d), ["grp"], "x", "y", "z").select("grp", F.round("rho", 6).alias("rho"))
+    return stats.partial_spearman(runs(spark, d), ["grp"], "x", "y", "z").select("grp", "n", *r6("rho", "p"))
 
 
 @query(f"""
-WITH r AS (SELECT sub, {_rank('x', 'sub')} AS a, {_rank('y', 'sub')} AS b, count(*) OVER (PARTITION BY sub) AS n FROM runs), c AS (SELECT a - avg(a) OVER (PARTITION BY sub) AS a, b - avg(b) OVER (PARTITION BY sub) AS b FROM r WHERE n >= 2)
-SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM c
+WITH r AS (SELECT sub, {_rank('x', 'sub')} AS a, {_rank('y', 'sub')} AS b, count(*) OVER (PARTITION BY sub) AS n FROM runs), e AS (SELECT sub, a - avg(a) OVER (PARTITION BY sub) AS a, b - avg(b) OVER (PARTITION BY sub) AS b FROM r WHERE n >= 2)
+, c AS (SELECT count(*) AS n, count(*) - count(DISTINCT sub) + 1 AS m, corr(a, b) AS rho FROM e){P_OF_RHO}
+SELECT n, round(rho, 6) AS rho, p FROM p
 """)
 def st4_within_spearman(spark, d):
-    return stats.within_group_spearman(runs(spark, d), "sub", "x", "y").select("n", F.round("rho", 6).alias("rho"))
+    return stats.within_group_spearman(runs(spark, d), "sub", "x", "y").select("n", *r6("rho", "p"))
+
+
+@query()
+def st13_stouffer(spark, d):
+    p = runs(spark, d).select("sub", ((F.col("run") % 97 + 1) / 98).alias("p"), F.col("n_orders").alias("w"))
+    return stats.stouffer_combined(p, ["sub"], "p", "w").select("sub", "k", *r6("z", "p"))
+
+
+@query()
+def st3_by_size(spark, d):
+    """Small groups have an exact p, large or tied ones a normal one."""
+    x = runs(spark, d).withColumn("d", F.when(F.col("grp") == 0, F.round(F.col("x") / 1000)).otherwise(F.col("x") - 4000))
+    return stats.paired_signed_rank(x, ["sub"], "d").select("sub", "n", "w", F.round("p", 6).alias("p"), "method")
 
 
 @query("""

@@ -278,11 +278,11 @@ def win4_sessions(spark, d):
 
 
 @query("""
-WITH h AS (SELECT region, t FROM panel WHERE f > 250), g AS (SELECT *, sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY t) AS k FROM (SELECT *, t - lag(t) OVER (PARTITION BY region ORDER BY t) AS gap FROM h))
+WITH h AS (SELECT region, t FROM panel WHERE f > 22), g AS (SELECT *, sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY t) AS k FROM (SELECT *, t - lag(t) OVER (PARTITION BY region ORDER BY t) AS gap FROM h))
 SELECT region, min(t) AS start, max(t) AS stop, count(*) AS length FROM g GROUP BY region, k HAVING count(*) >= 3
 """)
 def win5_runs(spark, d):
-    return series.runs_of(panel(spark, d), R, F.col("f") > 250, gap=2, least=3).select("region", "start", "stop", "length")
+    return series.runs_of(panel(spark, d), R, F.col("f") > 22, gap=2, least=3).select("region", "start", "stop", "length")
 
 
 @query("SELECT region, t, round(f - avg(f) OVER w, 6) AS centred, round((f - avg(f) OVER w) / stddev_pop(f) OVER w, 6) AS z FROM panel WINDOW w AS (PARTITION BY region)")

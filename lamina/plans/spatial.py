@@ -50,9 +50,9 @@ def vol4_dilate(spark, d):
     return vol.dilate(mask(spark, d), ["frame"], YX, BOX)
 
 
-@query(f"SELECT m.frame, m.y, m.x FROM mask m JOIN (SELECT frame, y + dy AS y, x + dx AS x, count(*) AS n FROM mask, {STEPS} GROUP BY ALL) s USING (frame, y, x) WHERE n = 8")
+@query(f"WITH m AS (SELECT frame, y, x FROM voxels WHERE abs(v) > 0.02) SELECT m.frame, m.y, m.x FROM m JOIN (SELECT frame, y + dy AS y, x + dx AS x, count(*) AS n FROM m, {STEPS} GROUP BY ALL) s USING (frame, y, x) WHERE n = 8")
 def vol4_erode(spark, d):
-    return vol.erode(mask(spark, d), ["frame"], YX)
+    return vol.erode(mask(spark, d, 0.02), ["frame"], YX)
 
 
 NODES = "WITH RECURSIVE n AS (SELECT frame, y, x, frame * 64 + y * 8 + x AS id FROM mask), e AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON a.frame = b.frame AND {near}) "
