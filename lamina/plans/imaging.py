@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import distance, hierarchy, mixture, placement, registration, run_row, skeleton, trees
+from lamina.operators import distance, growth, hierarchy, mixture, placement, registration, run_row, skeleton, trees
 from lamina.plans.fixtures import query, r6, runs, voxels
 from lamina.sources.readers import staged
 
@@ -242,3 +242,37 @@ def _zones(spark, d):
     vox = voxels(spark, d).select(F.col("label").alias("cell"), F.col("frame").alias("t"), (F.col("y") * 8 + F.col("x")).alias("voxel"), (F.col("x") * 4.0 + F.col("y") * 0.5).alias("at"), "v")
     zone = F.explode(F.array(*[F.struct(F.lit(i).alias("zone"), F.lit(16.0 * i).alias("lo"), F.lit(16.0 * (i + 1)).alias("hi")) for i in range(2)]))
     return vox, vox.select("cell").distinct().select("cell", zone.alias("_z")).select("cell", "_z.*")
+
+
+@query()
+def x24_high_pass(spark, d):
+    v = voxels(spark, d).select("frame", *YX, "v")
+    high = growth.high_pass(v, ["frame"], BOX, {"y": 0.5, "x": 0.5}, {"y": 2.0, "x": 2.0}, "v")
+    scaled = staged(growth.normalised(high, ["frame"], "v"), "scaled")
+    return growth.keep_touching(scaled.where("v > 0.2"), scaled.where("v > 0.9"), ["frame"], YX)
+
+
+@query()
+def vol17_connected_growth(spark, d):
+    v = voxels(spark, d).select("label", "frame", *YX, "v")
+    seeds = v.where("y in (3, 4) and x in (3, 4)").select("label", *YX).distinct()
+    scored = staged(growth.seed_correlation(v, seeds, ["label"], "frame", YX, "v", 9), "scored")
+    return growth.grow_by_seed(scored, seeds, ["label"], YX, 0.05, 0.6, 0.2, "x", 3, 0.3, 2)
+
+
+@query("""
+WITH n AS (SELECT label, frame, row_number() OVER (PARTITION BY label ORDER BY frame) AS i FROM (SELECT DISTINCT label, frame FROM voxels))
+, m AS (SELECT label, y, x, avg(v) AS m, arg_min(v, frame) AS first FROM voxels GROUP BY ALL)
+, p AS (SELECT a.label, a.y AS p, b.y AS q, corr(a.m, b.m) AS r, bool_and(a.first = b.first) AS same FROM m a JOIN m b ON a.label = b.label AND a.x = b.x AND a.y <= b.y GROUP BY ALL)
+, l AS (SELECT label, max(m) - min(m) AS mean_range FROM (SELECT label, y, avg(m) AS m FROM m GROUP BY ALL) GROUP BY label)
+SELECT label, (SELECT count(*) FROM n WHERE n.label = p.label) AS n_frames, count(DISTINCT p) AS n_planes, round(avg(r) FILTER (q = p + 1), 6) AS neighbour_r, round(max(r) FILTER (p = 0 AND q = 7), 6) AS first_last_r, count(*) FILTER (q = p + 1 AND same) AS equal_planes, round(any_value(mean_range), 6) AS mean_range
+FROM p JOIN l USING (label) GROUP BY label
+""")
+def ml11_plane_likeness(spark, d):
+    out = growth.plane_redundancy(voxels(spark, d), ["label"], "frame", "y", ["x"], "v")
+    return out.select("label", "n_frames", "n_planes", *r6("neighbour_r", "first_last_r"), "equal_planes", F.round("mean_range", 6).alias("mean_range"))
+
+
+@query()
+def ml11_redundancy(spark, d):
+    return growth.plane_redundancy(voxels(spark, d), ["label"], "frame", "y", ["x"], "v").select("label", F.round("pc1_share", 6).alias("pc1_share"), "n_comp_95")
