@@ -18,7 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection line."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = toxicity.score(docs, model, keep_columns=True).where(F.col("severity") < model.reject)
-    return kept.select(*docs.columns)
+    # Whole texts pass through the tasks' Python here, so in small batches.
+    return stage(kept.select(*docs.columns), "clean", 4 << 20)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
