@@ -117,8 +117,8 @@ def drift(vox: DataFrame, t: str, axes: list[str], v: str) -> DataFrame:
     return out.withColumn("length", F.sqrt(sum((F.col(f"d_{a}") ** 2 for a in axes), F.lit(0.0))))
 
 
-def name_channels(df: DataFrame, file: str, table: str, i: str, own: str, size: str, lists: list[list[str]]) -> DataFrame:
-    """Names of a file's recorded columns: ``file, channel, size``, the longest column of each name.
+def name_channels(df: DataFrame, file: str, table: str, i: str, own: str, size: str, lists: list[list[str]], carry: list[str] | None = None) -> DataFrame:
+    """Names of a file's recorded columns: ``file, channel, size`` and what it is to ``carry``, the longest column of each name.
 
     A table with as many columns as one of ``lists`` has takes its names by place ``i`` from 0 (the first
     such list); others keep their ``own`` name, or else table_var<i>.  Columns of one value are left out.
@@ -126,4 +126,7 @@ def name_channels(df: DataFrame, file: str, table: str, i: str, own: str, size:
     width = F.count("*").over(Window.partitionBy(file, table))
     by_place = [F.when(F.col("_w") == len(names), F.get(F.array(*map(F.lit, names)), F.col(i).cast("int"))) for names in lists]
     label = F.coalesce(*by_place, F.nullif(F.col(own), F.lit("")), F.concat(F.col(table).cast("string"), F.lit("_var"), F.col(i).cast("string")))
-    return df.withColumn("_w", width).where(F.col(size) > 1).groupBy(file, label.alias("channel")).agg(F.max(size).alias(size))
+    long = df.withColumn("_w", width).where(F.col(size) > 1).groupBy(file, label.alias("channel"))
+    if not carry:
+        return long.agg(F.max(size).alias(size))
+    return long.agg(F.min_by(F.struct(size, *carry), F.struct(-F.col(size), table, i)).alias("_row")).select(file, "channel", "_row.*")

@@ -88,17 +88,21 @@ def mutual_nearest(a: DataFrame, b: DataFrame, on: list[str], x: str, y: str, lo
     return best_a.join(best_b, [*on, x, y])
 
 
-def greedy_pairs(a: DataFrame, b: DataFrame, on: list[str], x: str, y: str, lo: float, hi: float) -> DataFrame:
+def greedy_pairs(a: DataFrame, b: DataFrame, on: list[str], x: str, y: str, lo: float, hi: float, also: Column | None = None) -> DataFrame:
     """One-to-one pairs ``on, x, y``: in order of y each row of b takes the nearest x that is still free
-    with lo <= y - x <= hi.  Times are distinct inside ``on``.
+    with lo <= y - x <= hi, and ``also`` (a condition on columns of both) true or null.  Times are distinct
+    inside ``on``.
 
     Only rows that contend are handled together: a chain ends where no later y reaches an x that an
     earlier one reaches.
     """
-    reach = band_join(a, b, on, x, y, lo, hi).groupBy(*on, y).agg(F.sort_array(F.collect_list(x), asc=False).alias("_xs"))
+    fits = F.lit(True) if also is None else F.coalesce(also, F.lit(True))
+    free = F.sort_array(F.collect_list(F.when(fits, F.col(x))), asc=False)
+    reach = band_join(a, b, on, x, y, lo, hi).groupBy(*on, y).agg(free.alias("_xs"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     w = Window.partitionBy(*on).orderBy(y)
-    before = F.max(F.get("_xs", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    chains = reach.withColumn("_new", (F.coalesce(F.array_min("_xs") > before, F.lit(True))).cast("long")).withColumn("_chain", F.sum("_new").over(w))
+    # Chains go by all times in reach: one that ``also`` refuses to this row may be free to a later one.
+    before = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chains = reach.withColumn("_new", (F.coalesce(F.col("_lo") > before, F.lit(True))).cast("long")).withColumn("_chain", F.sum("_new").over(w))
     g = chains.groupBy(*on, "_chain").agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("y"), F.col("_xs").alias("xs")))).alias("_all"))
     none = F.transform(F.slice("_all", 1, 0), lambda r: F.struct(F.get(r["xs"], F.lit(0)).alias("x"), r["y"].alias("y")))
 
