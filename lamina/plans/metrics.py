@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import catalog, series, stats
+from lamina.operators import catalog, series, shrinkage, stats
 from lamina.operators import volume as vol
 from lamina.plans.fixtures import mask, panel, query, r6, read, runs, voxels
 
@@ -284,6 +284,27 @@ def ml8_mahalanobis(spark, d):
     return catalog.mahalanobis(runs(spark, d), ["sub"], "x", "y").select("run", F.round("d2", 5).alias("d2"))
 
 
+@query("""
+WITH r AS (SELECT sub, run, CASE WHEN run % 17 > 0 THEN x END AS x, y, CASE WHEN run % 23 > 0 THEN z END AS z, run % 3 < 2 AS good FROM runs)
+, g AS (SELECT DISTINCT sub AS g FROM r), l AS (UNPIVOT r ON x, y, z INTO NAME f VALUE v)
+, m AS (SELECT g, f, median(v) AS c, stddev_samp(v) AS sd FROM l JOIN g ON sub <> g WHERE good GROUP BY ALL)
+, s AS (SELECT m.g, m.f, c, greatest(1.4826 * median(abs(v - c)), coalesce(0.5 * any_value(sd), 0)) + 1e-9 AS s FROM m JOIN l ON l.f = m.f AND l.sub <> m.g AND good GROUP BY ALL)
+, w AS (SELECT g, max(c) FILTER (f = 'x') AS cx, max(s) FILTER (f = 'x') AS sx, max(c) FILTER (f = 'y') AS cy, max(s) FILTER (f = 'y') AS sy, max(c) FILTER (f = 'z') AS cz, max(s) FILTER (f = 'z') AS sz FROM s GROUP BY g HAVING count(*) = 3)
+, t AS (SELECT w.g, sub, run, good, coalesce((x - cx) / sx, 0) AS a, coalesce((y - cy) / sy, 0) AS b, coalesce((z - cz) / sz, 0) AS c FROM r CROSS JOIN w)
+, k AS (SELECT g, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc FROM t WHERE good AND sub <> g GROUP BY g)
+, q AS (SELECT g, avg(power(power(a - ma, 2) + power(b - mb, 2) + power(c - mc, 2), 2)) AS q4 FROM t JOIN k USING (g) WHERE good AND sub <> g GROUP BY g)
+, h AS (SELECT *, (aa + bb + cc) / 3 AS mu, aa * aa + bb * bb + cc * cc + 2 * (ab * ab + ac * ac + bc * bc) AS size FROM k JOIN q USING (g))
+, b AS (SELECT *, least((q4 - size) / (3 * n), (size - 3 * mu * mu) / 3) / ((size - 3 * mu * mu) / 3) AS weight FROM h)
+, e AS (SELECT g, weight, (1 - weight) * aa + weight * mu AS aa, (1 - weight) * bb + weight * mu AS bb, (1 - weight) * cc + weight * mu AS cc, (1 - weight) * ab AS ab, (1 - weight) * ac AS ac, (1 - weight) * bc AS bc FROM b)
+, d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM e)
+SELECT run, sub, round(sqrt((a * a * (bb * cc - bc * bc) + b * b * (aa * cc - ac * ac) + c * c * (aa * bb - ab * ab) + 2 * a * b * (ac * bc - ab * cc) + 2 * a * c * (ab * bc - ac * bb) + 2 * b * c * (ab * ac - aa * bc)) / det / 3), 5) AS distance, round(weight, 5) AS weight FROM t JOIN d USING (g) WHERE sub = g
+""")
+def ml8_shrunk_distance(spark, d):
+    r = runs(spark, d).withColumn("x", F.when(F.col("run") % 17 > 0, F.col("x"))).withColumn("z", F.when(F.col("run") % 23 > 0, F.col("z")))
+    found = shrinkage.mahalanobis_without_group(r, "run", "sub", ["x", "y", "z"], F.col("run") % 3 < 2)
+    return found.select("run", "sub", F.round("distance", 5).alias("distance"), F.round("weight", 5).alias("weight"))
+
+
 @query("SELECT frame // 16 AS chunk, y, x, round(avg(v), 6) AS v, count(*) AS n FROM voxels GROUP BY ALL")
 def src17_chunked_scan(spark, d):
     return catalog.chunk_means(voxels(spark, d), "frame", YX, "v", 16).select("chunk", *YX, F.round("v", 6).alias("v"), "n")
