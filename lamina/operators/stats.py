@@ -229,12 +229,19 @@ def iid_bootstrap(df: DataFrame, on: list[str], value: str, draws: int, seed: in
 def permutation_test(df: DataFrame, group: str, x: str, y: str, draws: int, seed: int = 0) -> DataFrame:
     """Correlation of y with x shuffled inside groups: ``observed, p`` (two-sided, (1 + #) / (1 + n)).
 
-    A shuffle pairs the order of y's rows with the order of hashes of x's rows in each group.
+    A shuffle pairs the order of y's rows with the order of hashes of x's rows in each group.  Rows move once for 16
+    draws, which are made where both orders are known: each row lends its x to the place of its hash and its y to its own.
     """
-    base = df.select(group, x, y).withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(y, x)))
-    many = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    xs = many.withColumn("j", F.row_number().over(Window.partitionBy("draw", group).orderBy(F.xxhash64(F.lit(seed), "draw", "i")))).select("draw", group, F.col("j").alias("i"), F.col(x).alias("_x"))
-    null = many.join(xs, ["draw", group, "i"]).groupBy("draw").agg(F.corr("_x", y).alias("r"))
+    base = df.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("i", F.row_number().over(Window.partitionBy("_g").orderBy("_y", "_x")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 16)))).repartition(parts, "_b", "_g")
+    many = many.withColumn("draw", F.explode(F.sequence(16 * F.col("_b") + 1, F.least(16 * F.col("_b") + 16, F.lit(draws)))))
+    key = ["_b", "_g", "draw"]
+    many = many.withColumn("j", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "draw", "i"))))
+    none = F.lit(None)
+    lent = F.array(F.struct(F.col("j").alias("at"), F.col("_x").alias("x"), none.cast(df.schema[y].dataType).alias("y")), F.struct(F.col("i").alias("at"), none.cast(df.schema[x].dataType).alias("x"), F.col("_y").alias("y")))
+    met = many.select(*key, F.inline(lent)).groupBy(*key, "at").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    null = met.groupBy("draw").agg(F.corr("x", "y").alias("r"))
     obs = df.agg(F.corr(x, y).alias("observed"))
     return null.join(F.broadcast(obs)).groupBy("observed").agg(((1 + F.sum((F.abs("r") >= F.abs("observed")).cast("int"))) / (1 + F.count("*"))).alias("p"))
 
