@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lamina.operators.ranking import place
 from lamina.operators.relational import band_join
 from lamina.operators.series import add_group, average_rank
+from lamina.operators.slopes import theil_sen as theil_sen
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], key: str) -> DataFrame:
@@ -161,12 +162,6 @@ def binomial_tail(k: Column, n: Column, p: float = 0.5) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(k.cast("int"), n.cast("int")), term), F.lit(0.0), lambda a, b: a + b))
 
 
-def theil_sen(df: DataFrame, on: list[str], x: str, y: str) -> DataFrame:
-    """The median slope of all pairs of a small group's rows with different x."""
-    b = df.select(*on, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    return df.join(b, on).where(F.col("_x") > F.col(x)).groupBy(*on).agg(F.median((F.col("_y") - F.col(y)) / (F.col("_x") - F.col(x))).alias("slope"), F.count("*").alias("pairs"))
-
-
 def mean_of_means(df: DataFrame, outer: list[str], inner: list[str], value: str) -> DataFrame:
     return df.groupBy(*outer, *inner).agg(F.avg(value).alias("m")).groupBy(*outer).agg(F.avg("m").alias("mean_of_means"), F.count("*").alias("groups"))
 

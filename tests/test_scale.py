@@ -1,9 +1,27 @@
 """Forms that hold on large groups, against plain numeric ones."""
 
+import numpy as np
+import pytest
 
 from lamina.operators import stats
 
 
+@pytest.mark.parametrize(("direct", "block"), [(1 << 18, 65_536), (1_600, 128), (320, 500)])
+def test_median_slope_by_counts(spark, direct, block):
+    rng, rows, want = np.random.default_rng(1), [], {}
+    for g, n in enumerate([300, 301, 40, 900, 600]):
+        x = rng.normal(size=n) if g % 2 == 0 else rng.integers(0, 20, n).astype(float)
+        y = 2 * x + rng.normal(size=n) * (0.1 if g != 4 else 0)  # the last group has one slope only
+        rows += [(g, float(a), float(b)) for a, b in zip(x, y, strict=True)]
+        i, j = np.nonzero(x[None] > x[:, None])
+        want[g] = float(np.median((y[j] - y[i]) / (x[j] - x[i]))), len(i)
+    rows += [(0, None, 1.0), (None, 1.0, 2.0), (7, 1.0, 2.0), (7, 1.0, 3.0), (8, 1.0, None), (8, 2.0, 1.0)]
+    got = {r["g"]: r for r in stats.theil_sen(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y", direct, block).collect()}
+    assert set(got) == {*want, 8} and got[8]["slope"] is None and got[8]["pairs"] == 1
+    for g, (slope, pairs) in want.items():
+        assert got[g]["pairs"] == pairs and abs(got[g]["slope"] - slope) < 1e-12
+
+
 def test_permutations_are_not_broadcast(spark):
     rows = [(i % 3, float(i * 7 % 101), float(i * 13 % 89)) for i in range(300)] + [(None, 1.0, 2.0)]
     out = stats.permutation_test(spark.createDataFrame(rows, "g int, x double, y double"), "g", "x", "y", 40)
