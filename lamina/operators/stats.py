@@ -242,12 +242,11 @@ def permutation_test(df: DataFrame, group: str, x: str, y: str, draws: int, seed
 
 
 def fisher_combined(df: DataFrame, on: list[str], p: str) -> DataFrame:
-    """Fisher's combination of p-values; with 2k degrees of freedom its tail is a finite sum."""
+    """Fisher's combination of p-values; with 2k degrees of freedom its tail is a finite sum of k terms, each from the one before."""
     g = df.where(F.col(p) > 0).groupBy(*on).agg(F.count("*").cast("int").alias("k"), F.sum(-F.log(p)).alias("h"))
-    terms = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: i - 1)
-    log_fact = lambda i: F.aggregate(F.when(i >= 1, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + F.log(j.cast("double")))
-    tail = F.aggregate(F.transform(terms, lambda i: F.exp(i * F.log("h") - F.col("h") - log_fact(i))), F.lit(0.0), lambda a, b: a + b)
-    return g.select(*on, "k", (2 * F.col("h")).alias("chi2"), F.least(F.lit(1.0), tail).alias("p"))
+    step = lambda a, i: F.struct((a["term"] + F.log("h") - F.log(i.cast("double"))).alias("term"), (a["sum"] + F.exp(a["term"])).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(1), F.col("k")), F.struct((-F.col("h")).alias("term"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"])
+    return g.select(*on, "k", (2 * F.col("h")).alias("chi2"), F.when(F.col("h") > 0, F.least(F.lit(1.0), tail)).otherwise(1.0).alias("p"))
 
 
 def mad_outliers(df: DataFrame, on: list[str], value: str, factor: float = 4.0) -> DataFrame:
