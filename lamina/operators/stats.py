@@ -157,9 +157,10 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float = 0.5) -> Column:
-    """P(X >= k) of a binomial, summed exactly."""
-    term = lambda i: F.exp(log_choose(n, i) + i * F.log(F.lit(p)) + (n - i) * F.log(F.lit(1 - p)))
-    return F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(k.cast("int"), n.cast("int")), term), F.lit(0.0), lambda a, b: a + b))
+    """P(X >= k) of a binomial, summed exactly; each term's logarithm comes from the one before."""
+    first = log_choose(n, k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
+    step = lambda a, i: F.struct((a["term"] + F.log((n - i) / (i + 1.0)) + F.log(F.lit(p / (1 - p)))).alias("term"), (a["sum"] + F.exp(a["term"])).alias("sum"))
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(k.cast("int"), n.cast("int")), F.struct(first.alias("term"), F.lit(0.0).alias("sum")), step, lambda a: a["sum"]))
 
 
 def mean_of_means(df: DataFrame, outer: list[str], inner: list[str], value: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Forms that hold on large groups, against plain numeric ones."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.operators import stats
 
@@ -22,6 +25,20 @@ def test_median_slope_by_counts(spark, direct, block):
         assert got[g]["pairs"] == pairs and abs(got[g]["slope"] - slope) < 1e-12
 
 
+def test_tails_of_many_terms(spark):
+    """Sums of 20,000 terms; with each term's logarithm summed anew these took 10^8 steps a row."""
+    n, k = 20_000, 10_100
+    lg = math.lgamma
+    want = sum(math.exp(lg(n + 1) - lg(i + 1) - lg(n - i + 1) + n * math.log(0.5)) for i in range(k, n + 1))
+    x = spark.range(8).select(F.lit(k).alias("k"), F.lit(n).alias("n"))
+    assert all(abs(r[0] - want) < 1e-9 for r in x.select(stats.binomial_tail(F.col("k"), F.col("n"))).collect())
+    p = spark.range(n).select(F.lit(1).alias("g"), ((F.col("id") % 97 + 1) / 98).alias("p"))
+    h = -sum(math.log((i % 97 + 1) / 98) for i in range(n))
+    got = stats.fisher_combined(p, ["g"], "p").first()
+    assert abs(got["p"] - min(1.0, sum(math.exp(i * math.log(h) - h - lg(i + 1)) for i in range(n)))) < 1e-8
+    assert stats.fisher_combined(spark.sql("SELECT 1 AS g, 1.0D AS p"), ["g"], "p").first()["p"] == 1.0
+
+
 def test_permutations_are_not_broadcast(spark):
     rows = [(i % 3, float(i * 7 % 101), float(i * 13 % 89)) for i in range(300)] + [(None, 1.0, 2.0)]
     out = stats.permutation_test(spark.createDataFrame(rows, "g int, x double, y double"), "g", "x", "y", 40)
