@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def load_catalog(rows: DataFrame, keep: Column, unit: list[str], order: list[str], fingerprint: list[str]) -> DataFrame:
-    """One row a unit (the first by ``order``) of those to keep, with a ``fingerprint`` of some columns."""
-    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    """One row a unit (the first by ``order``, of equal ones the least in all columns) of those to keep, with a ``fingerprint`` of some columns."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order, *[c for c in rows.columns if c not in order]))
     one = rows.where(keep).groupBy(*unit).agg(first.alias("_row")).select("_row.*")
     return one.withColumn("fingerprint", F.concat_ws("|", *[F.col(c).cast("string") for c in fingerprint]))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import stats
+from lamina.operators import catalog, stats
 
 
 @pytest.mark.parametrize(("direct", "block"), [(1 << 18, 65_536), (1_600, 128), (320, 500)])
@@ -45,3 +45,12 @@ def test_permutations_are_not_broadcast(spark):
     assert 0 < out.first()["p"] <= 1
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "HashJoin" in line and "draw" in line]
+
+
+def test_catalog_settles_ties(spark):
+    """Rows that the order holds equal give the same unit however they are dealt."""
+    rows = [(1, 2, 5, "R"), (1, 2, 5, "A"), (2, 1, 1, "N")]
+    for turned in (rows, rows[::-1]):
+        df = spark.createDataFrame(turned, "k long, n int, part long, flag string").coalesce(1)
+        got = catalog.load_catalog(df, F.lit(True), ["k"], ["n", "part"], ["flag", "part"]).orderBy("k").collect()
+        assert [r["fingerprint"] for r in got] == ["A|5", "N|1"]
