@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.ranking import place
-from lamina.sources.readers import shared_path
+from lamina.sources.readers import shared_path, staged
 
 
 def offsets(axes: list[str], reach: dict[str, int] | None = None, faces: bool = False):
@@ -49,15 +50,19 @@ def close(vox: DataFrame, on: list[str], axes: list[str]) -> DataFrame:
 
 def fill_holes(vox: DataFrame, space: DataFrame, on: list[str], axes: list[str], box: dict[str, tuple[int, int]]) -> DataFrame:
     """The mask and the cells of ``space`` that no path of faces through the rest joins to the box's edge."""
-    cells = space.select(*on, *axes).distinct()
-    rest = cells.join(vox, [*on, *axes], "left_anti").withColumn("id", F.xxhash64(*on, *axes))
-    found = components(rest.select("id"), neighbour_edges(rest, on, axes, "id", faces=True))
+    from lamina.operators.tiles import pieces
+
+    cells = space.select(*on, *axes, F.lit(False).alias("_set"), F.lit(True).alias("_own")).unionByName(vox.select(*on, *axes, F.lit(True).alias("_set"), F.lit(False).alias("_own")))
+    cells = staged(cells.groupBy(*on, *axes).agg(F.bool_or("_set").alias("_set"), F.bool_or("_own").alias("_own")).where("_own").drop("_own"), "space")
     edge = F.lit(False)
     for a, (lo, hi) in box.items():
         edge = edge | (F.col(a) == lo) | (F.col(a) == hi)
-    placed = rest.join(found, "id")
-    outside = placed.where(edge).select("root").distinct()
-    return cells.join(placed.join(outside, "root", "left_semi").select(*on, *axes), [*on, *axes], "left_anti")
+    edge = F.coalesce(edge, F.lit(False))
+    known = reduce(lambda c, a: c & F.col(a).isNotNull(), [*on, *axes], F.lit(True))
+    # A cell without a place meets no other.
+    kept = cells.where((known & F.col("_set")) | (~known & ~edge)).select(*on, *axes)
+    rest = cells.where(known & ~F.col("_set")).select(*on, *axes, edge.alias("_edge"))
+    return kept.unionByName(pieces(rest, on, axes, "_edge", faces=True).where("not marked").select(*on, *axes))
 
 
 def neighbour_edges(vox: DataFrame, on: list[str], axes: list[str], key: str, faces: bool = False) -> DataFrame:
