@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.series import add_group, rolling_mean
+from lamina.operators.tiles import pieces
 from lamina.operators.volume import components, neighbour_edges
 from lamina.sources.readers import staged
 
@@ -63,9 +64,9 @@ def _pieces(cells: DataFrame, on: list[str], axes: list[str]) -> DataFrame:
 
 def keep_touching(candidates: DataFrame, seeds: DataFrame, on: list[str], axes: list[str]) -> DataFrame:
     """The candidate cells whose connected piece holds a seed."""
-    pieces = staged(_pieces(candidates, on, axes), "pieces")
-    touched = pieces.join(seeds.select(*on, *axes).distinct(), [*on, *axes], "left_semi").select("root").distinct()
-    return pieces.join(touched, "root", "left_semi").select(*on, *axes)
+    known = candidates.select(*on, *axes, F.lit(True).alias("_own"), F.lit(False).alias("_seed")).unionByName(seeds.select(*on, *axes, F.lit(False).alias("_own"), F.lit(True).alias("_seed"))).dropna(subset=[*on, *axes])
+    cells = known.groupBy(*on, *axes).agg(F.bool_or("_own").alias("_own"), F.bool_or("_seed").alias("_seed")).where("_own")
+    return pieces(cells, on, axes, "_seed").where("marked").select(*on, *axes)
 
 
 def seed_correlation(vox: DataFrame, seeds: DataFrame, on: list[str], t: str, axes: list[str], v: str, window: int = 0) -> DataFrame:
@@ -98,11 +99,11 @@ def grow_by_seed(scored: DataFrame, seeds: DataFrame, on: list[str], axes: list[
         wide = moved(region).distinct()
         filled = moved(wide).groupBy(*on, *axes).agg(F.count("*").alias("_n")).where(F.col("_n") == width)
         region = filled.select(*on, *axes).join(scored.select(*on, *axes), [*on, *axes], "left_semi").unionByName(region).distinct()
-    pieces = staged(_pieces(region, on, axes), "pieces").join(scored.select(*on, *axes, "r"), [*on, *axes], "left")
+    found = staged(_pieces(region, on, axes), "pieces").join(scored.select(*on, *axes, "r"), [*on, *axes], "left")
     marked = seeds.select(*on, *axes).distinct().withColumn("_seed", F.lit(True))
-    told = pieces.join(marked, [*on, *axes], "left").groupBy("root").agg(F.count("*").alias("_n"), F.avg("r").alias("_r"), F.bool_or(F.coalesce("_seed", F.lit(False))).alias("_has"))
+    told = found.join(marked, [*on, *axes], "left").groupBy("root").agg(F.count("*").alias("_n"), F.avg("r").alias("_r"), F.bool_or(F.coalesce("_seed", F.lit(False))).alias("_has"))
     far = F.col("_r") >= apart if apart is not None else F.lit(False)
-    return pieces.join(told.where((F.col("_has") | far) & (F.col("_n") >= cells)), "root", "left_semi").select(*on, *axes)
+    return found.join(told.where((F.col("_has") | far) & (F.col("_n") >= cells)), "root", "left_semi").select(*on, *axes)
 
 
 def plane_redundancy(vox: DataFrame, on: list[str], t: str, plane: str, axes: list[str], v: str) -> DataFrame:
