@@ -36,6 +36,9 @@ ORDER = 3
 PRIOR = 8.0
 #: Bytes of text in one chunk, about, and for each bucket of counts.
 CHUNK_BYTES = 4 << 20
+#: Chunks that a task's writer or reader holds at once, and that a task's sort gets, about.
+HELD = 2
+SORTED = 8
 #: Bytes of an n-gram's name inside its bucket.  Of two million names in a bucket some two are equal with a chance of 0.7 %; such
 #: a pair of n-grams gets the sum of both counts.  Longer names would cost shuffle bytes in proportion.
 NAME = 6
@@ -130,7 +133,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             yield out()
 
     sized = docs.select("doc_id", "train", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    return stage(sized.mapInArrow(run, "chunk long, ids array<long>, train array<boolean>, texts array<string>"), "chunks")
+    return stage(sized.mapInArrow(run, "chunk long, ids array<long>, train array<boolean>, texts array<string>"), "chunks", rows=HELD)
 
 
 def _unpack(texts, train):
@@ -231,7 +234,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, prior: float
     spark = docs.sparkSession
     chunks = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text")))
     buckets = max(partitions(spark), chunks.count())
-    answers = stage(_questions(chunks, order, buckets).groupBy("bucket").applyInArrow(_answer, "of long, bucket long, n long, counts binary, sums array<long>"), "answers")
+    # Tasks grow in number with the corpus, not in size.
+    tasks = max(partitions(spark), -(-buckets // SORTED))
+    answers = stage(_questions(chunks, order, buckets).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answer, "of long, bucket long, n long, counts binary, sums array<long>"), "answers")
     n, v = (x or 0 for x in answers.where("of is null").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(2)]).first())
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -254,4 +259,4 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, prior: float
     out = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.where("of is not null").select("of", "bucket", "n", "counts")
-    return chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(run, schema)
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(back.repartition(tasks, "of").groupBy("of")).applyInArrow(run, schema)

@@ -45,23 +45,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, rows: int | None = None) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the tasks that ran on it, not the plan
-    behind the table.  Tasks get Arrow batches of about ``batch_bytes``.
+    behind the table.  Tasks get Arrow batches of about ``batch_bytes``.  ``rows``: the most of a
+    row group, for rows of megabytes; a writer and a reader hold a group's rows, up to 4,096, at once.
     """
-    return stage_at(df, fresh_path(df.sparkSession, name), batch_bytes)
+    return stage_at(df, fresh_path(df.sparkSession, name), batch_bytes, rows=rows)
 
 
-def stage_at(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = ()) -> DataFrame:
+def stage_at(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """``stage`` at a given path, with a folder for each of the few values of the columns ``by``."""
     spark = df.sparkSession
-    write_tidily(df, path, batch_bytes, by)
+    write_tidily(df, path, batch_bytes, by, rows=rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_tidily(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+def write_tidily(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: tuple[str, ...] = (), mode: str = "errorifexists", rows: int | None = None) -> None:
     """Write a frame as Parquet; its shuffle files, which nothing reads afterwards, don't stay on disk."""
     spark = df.sparkSession
     own = {TIDY: "true", BATCH: str(batch_bytes), WRITERS: "4"}
@@ -69,7 +70,8 @@ def write_tidily(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, by: t
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
+        grouped = {"parquet.block.row.count.limit": str(rows)} if rows else {}
+        df.write.mode(mode).options(compression="zstd", **grouped).partitionBy(*by).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

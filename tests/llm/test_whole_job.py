@@ -219,3 +219,13 @@ def test_nearest_ties_at_the_last_rank(spark):
     rows = [(1, [1.0, 0.0])] + [(i, [0.5, float(i % 2)]) for i in range(2, 30)]
     got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), k=5)
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [2, 3, 4, 5, 6]
+
+
+def test_a_reader_of_chunks_holds_few_of_them(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 100)
+    docs = spark.range(400).repartition(1).selectExpr("id as doc_id", "true as train", "repeat(concat('w', id, ' '), 9) as text")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in lm._chunks(docs).inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 50 and max(groups) <= lm.HELD
