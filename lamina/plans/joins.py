@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.operators import relational as rel
+from lamina.operators.nearest import two_nearest
 from lamina.operators.ranking import place
 from lamina.plans.fixtures import hours, panel, points, query, r6, read
 
@@ -147,11 +148,9 @@ WITH p AS (SELECT unnest([0, 1, 2, 3]) AS i), s AS (SELECT a.vec_id AS key, b.ve
 SELECT key, max(candidate) FILTER (r = 1) AS candidate, round(max(score) FILTER (r = 1), 6) AS best, round(max(score) FILTER (r = 2), 6) AS runner_up, coalesce(max(score) FILTER (r = 2) < 5 * max(score) FILTER (r = 1), false) AS weak FROM k WHERE r <= 2 GROUP BY key
 """)
 def join13_shape_match(spark, d):
-    e = read(spark, d, "embeddings")
-    b = e.select(F.col("vec_id").alias("candidate"), "label", F.col("embedding").alias("w"))
-    probe = lambda i: F.abs(F.get("embedding", F.lit(16 * i)).cast("double") - F.get("w", F.lit(16 * i)).cast("double"))
-    s = e.join(b, "label").where("vec_id <> candidate").withColumn("score", (probe(0) + probe(1) + probe(2) + probe(3)) / 4)
-    out = rel.best_and_runner_up(s.withColumnRenamed("vec_id", "key"), "key", "candidate", "score")
+    probes = [F.get("embedding", F.lit(16 * i)).cast("double").alias(f"p{i}") for i in range(4)]
+    s = two_nearest(read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "label", *probes), "key", "label", [f"p{i}" for i in range(4)])
+    out = rel.best_and_runner_up(s, "key", "candidate", "score")
     return out.select("key", "candidate", *r6("best", "runner_up"), "weak")
 
 
