@@ -105,8 +105,8 @@ def _bright(spark, d):
 def vol10_path(spark, d):
     cells = _bright(spark, d)
     end = lambda x: cells.where(F.col("x") == x).groupBy("frame").agg(F.max_by("id", F.struct("value", -F.col("y"))).alias("id")).select("id")
-    tree = staged(skeleton.geodesic_tree(skeleton.weighted_edges(cells, ["frame"], SPACING, "id", "cost"), end(0)), "tree")
-    return skeleton.path_to(tree, end(7)).select("target", "id", F.round("dist", 6).alias("dist"))
+    tree = staged(skeleton.cell_tree(cells, ["frame"], SPACING, "id", end(0), "cost"), "tree")
+    return skeleton.cell_path(tree, ["frame"], YX, end(7)).select("target", "id", F.round("dist", 6).alias("dist"))
 
 
 @query()
@@ -115,7 +115,7 @@ def vol10_growth(spark, d):
     line = cells.where("value > 0.5")
     # The way costs more where it is dark.
     dark = cells.withColumn("cost", 1 / (F.col("value") + 0.05))
-    tree = staged(skeleton.geodesic_tree(skeleton.weighted_edges(dark, ["frame"], SPACING, "id", "cost"), line.select("id")), "tree")
+    tree = staged(skeleton.cell_tree(dark, ["frame"], SPACING, "id", line.select("id"), "cost"), "tree")
     grown = skeleton.grow(cells.withColumn("radius", 8 * F.col("value")), tree, "id", "value", "radius", 0.4, 2.0)
     return grown.withColumn("dist", F.round("dist", 6))
 
