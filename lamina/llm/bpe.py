@@ -35,6 +35,10 @@ SLOTS = 1 << 16
 LONG = 256
 #: Bytes of words in one chunk, about.
 CHUNK_BYTES = 32 << 20
+#: Effort that packs a chunk's texts, which lie on disk twice while ids go back to them.
+EFFORT = 9
+#: Numbers of words that are exchanged for ids at once, about.
+TAKE = 1 << 18
 #: Encoded words that one task packs for their chunks at a time.
 PACK = 1 << 20
 #: Words that are sent to all tasks with their ids, those of most chunks, and bytes of the longest such word.
@@ -148,14 +152,34 @@ def _numbered(words: pa.ListArray, inside: np.ndarray):
     edges = np.flatnonzero(cut)
     first = np.searchsorted(edges, at)
     pieces = _binary(raw, edges).dictionary_encode() if len(raw) else pa.array([], pa.binary()).dictionary_encode()
-    number = pieces.indices.to_numpy().astype(np.int64)
+    number = pieces.indices.to_numpy()
+    # A batch has less than 2 ** 31 bytes, so all counts fit in 32 bits, which halves what a task holds.
+    first = first.astype(np.int32)
     many = np.diff(first)[which]
-    ends = np.r_[0, np.cumsum(many)]
-    flat = number[np.repeat(first[which] - ends[:-1], many) + np.arange(ends[-1])]
+    ends = np.zeros(len(many) + 1, np.int32)
+    np.cumsum(many, out=ends[1:])
+    flat = np.repeat(first[which] - ends[:-1], many)
+    flat += np.arange(ends[-1], dtype=np.int32)
+    flat = number[flat]
     order = np.argsort(-np.bincount(flat, minlength=len(pieces.dictionary)), kind="stable")
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order))
-    return place[flat], ends[bounds], pieces.dictionary.take(pa.array(order))
+    return place[flat], ends[bounds].astype(np.int64), pieces.dictionary.take(pa.array(order))
+
+
+def _exchanged(flat: np.ndarray, of: np.ndarray, size: np.ndarray, begin: np.ndarray, values: np.ndarray):
+    """The ids of rows of numbers (row i has those from of[i] to of[i + 1]): ids and their offsets, some rows at a time.
+
+    Number k stands for size[k] values from begin[k] on.
+    """
+    a = 0
+    while a < len(of) - 1:
+        b = max(a + 1, int(np.searchsorted(of, of[a] + TAKE, "right")) - 1)
+        part = flat[of[a] : of[b]]
+        long = size[part]
+        ends = np.r_[0, np.cumsum(long)]
+        yield values[np.repeat(begin[part] - ends[:-1], long) + np.arange(ends[-1])], ends[of[a : b + 1] - of[a]]
+        a = b
 
 
 class Bpe:
@@ -272,7 +296,7 @@ class Bpe:
                 flat, bounds, pieces = _numbered(batch.column(1), inside)
                 m, rows = len(pieces), batch.column(0)
                 one = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), one, pa.array([packed(np.diff(bounds))]), pa.array([len(flat)]), pa.array([packed(flat)]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), one, pa.array([packed(np.diff(bounds))]), pa.array([len(flat)]), pa.array([packed(flat, EFFORT)]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
                 for i in range(0, m, 1 << 16):
                     part = pieces.slice(i, 1 << 16)
                     n = len(part)
@@ -333,11 +357,13 @@ class Bpe:
             rows = texts["rows"].combine_chunks().flatten()
             flat = unpacked(texts["numbers"][0].as_py(), texts["n"][0].as_py(), np.uint32)
             of = np.r_[0, np.cumsum(unpacked(texts["sizes"][0].as_py(), len(rows), np.int64))]
-            long = size[flat]
-            ends = np.r_[0, np.cumsum(long)]
-            out = values[np.repeat(begin[flat] - ends[:-1], long) + np.arange(ends[-1])]
-            bounds = ends[of]
-            return pa.table([rows, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out)), _binary(out.astype("<u4").view(np.uint8), 4 * bounds)], ["row", "ids", "packed"])
+            # Batches of some texts each, so that neither side of the exchange holds a chunk's ids at once.
+            out, done = [], 0
+            for got, bounds in _exchanged(flat, of, size, begin, values):
+                row = rows.slice(done, len(bounds) - 1)
+                out.append(pa.RecordBatch.from_arrays([row, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(got)), _binary(got.astype("<u4", copy=False).view(np.uint8), 4 * bounds)], ["row", "ids", "packed"]))
+                done += len(row)
+            return pa.Table.from_batches(out)
 
         kinds = StructType([StructField("row", coded.schema["rows"].dataType.elementType), *StructType.fromDDL("ids array<int>, packed binary").fields])
         texts = coded.where("part = 'texts'").select("chunk", "rows", "sizes", "n", "numbers")

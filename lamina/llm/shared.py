@@ -83,9 +83,9 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray, level: int = 1) -> bytes:
     """The bytes of an array of one dimension, those of equal weight together, compressed."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+    return pa.Codec("zstd", compression_level=level).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), asbytes=True) if len(x) else b""
 
 
 def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
