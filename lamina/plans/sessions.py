@@ -45,8 +45,11 @@ def src4_unit_channels(spark, d):
         "MultiROIProtocolJSON": doc(F.struct(F.array(plain, ribbon).alias("patterns")).alias("scanPatterns"), F.struct(F.when(k % 4 != 3, k % 4).otherwise(-1).alias("mainPatternIndex")).alias("protocol")),
     }
     shape = F.array((F.col("n") * 12).cast("int"), F.lit(8), F.lit(16))
-    channels = read(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("name"), shape.alias("shape"))).alias("channels"))
-    units = read(spark, d, "orders").join(channels, F.col("l_orderkey") == k).select(F.concat(F.lit("f"), "o_custkey").alias("file"), F.concat(F.lit("s"), k % 3).alias("session"), k.cast("string").alias("unit"), doc(*[v.alias(n) for n, v in attributes.items()]).alias("attributes"), "channels")
+    # Dealt by number: the texts are made and read behind this shuffle of narrow rows, whose bytes would merge it into a few tasks.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    flags = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag").repartition(parts, "l_orderkey")
+    channels = flags.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("name"), shape.alias("shape"))).alias("channels"))
+    units = read(spark, d, "orders").repartition(parts, "o_orderkey").join(channels, F.col("l_orderkey") == k).select(F.concat(F.lit("f"), "o_custkey").alias("file"), F.concat(F.lit("s"), k % 3).alias("session"), k.cast("string").alias("unit"), doc(*[v.alias(n) for n, v in attributes.items()]).alias("attributes"), "channels")
     return sessions.unit_channels(units)
 
 
