@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import textmath as tm
-from lamina.llm.shared import connected_components, partitions, stage
+from lamina.llm.shared import connected_components, discard, fresh_path, partitions, stage, stage_at
 
 #: Shingles the frequency estimate keeps at most (the order of others is by hash alone).
 FREQUENT = 1 << 17
@@ -265,15 +265,20 @@ def similar_groups(docs: DataFrame, k: int = 5, bits: int = 64) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     odd = np.zeros(0, np.int64)
     while True:
-        packed = stage(_prefixes(docs, frequent, k, partitions(spark), odd, bits), "prefixes")
-        sizes = packed.where("bucket is null").select("doc_id", "n", "node")
-        reps = stage(packed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")), "reps")
+        path, entries_path = fresh_path(spark, "prefixes"), fresh_path(spark, "entries")
+        rows = _prefixes(docs, frequent, k, partitions(spark), odd, bits).withColumn("part", F.when(F.col("bucket").isNull(), "sizes").otherwise("buckets"))
+        packed = stage_at(rows, path, by=("part",))
+        sizes = packed.where("part = 'sizes'").select("doc_id", "n", "node")
+        reps = stage(packed.where("part = 'sizes' and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi")), "reps")
         # Names are 64 bits; the few that two sets share (one pair in 2**64) are told apart by 64 more.
         shared = np.array([r["node"] for r in reps.where("lo <> hi").select("node").collect()], np.int64)
         if not len(shared):
             break
         odd = np.union1d(odd, shared)
-    entries = stage(packed.where("bucket is not null").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place int"), "entries")
+        discard(spark, path)
+    entries = stage_at(packed.where("part = 'buckets'").drop("part").groupBy("bucket").applyInArrow(_shared, "tok long, node long, n int, ell int, place int"), entries_path)
+    # Only the sizes are read from here on.
+    discard(spark, f"{path}/part=buckets")
     # The first common shingle of a set with a similar one has 4 / 5 of the set at and after it.
     # It has as many common ones with its prefix as the least l of the two.
     able = entries.withColumn("room", _room()).groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max("room").alias("most")).where("5 * most >= 4 * n").where(F.col("c") >= _at_least()).select("node")
@@ -282,6 +287,7 @@ def similar_groups(docs: DataFrame, k: int = 5, bits: int = 64) -> DataFrame:
     # A set that only rows without a doc_id have is found by its name.
     unnamed = _sets(docs.where("doc_id is null"), k, odd, bits).join(able, "node", "left_semi")
     sets = stage(_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k, odd, bits).unionByName(unnamed).dropDuplicates(["node"]), "sets")
+    discard(spark, entries_path)
 
     # First each entry's document against the leader of its shingle.
     leader = entries.groupBy("tok").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("ell").alias("bl"), _room().alias("b_room"))).alias("x")).select("tok", "x.b", "x.bn", "x.bl", "x.b_room")
